@@ -38,7 +38,7 @@ def text_or_empty(column: str) -> Column:
 def in_block_pairs(members: DataFrame, key: list[str], order: Column, block: int) -> DataFrame:
     """Deals the rows of each key to comparison groups of at most about 2 * block rows, so that any two rows of a key meet.
 
-    Adds `pair_lo`, `pair_hi`. A key of up to `block` rows stays whole (0, 0). A larger one is hashed by `order` into chunks of
+    Adds `chunk`, `pair_lo`, `pair_hi`. A key of up to `block` rows stays whole (0, 0). A larger one is hashed by `order` into chunks of
     about `block` rows and each chunk meets each: a row is copied once per chunk, never once per row.
     """
     counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
@@ -46,10 +46,10 @@ def in_block_pairs(members: DataFrame, key: list[str], order: Column, block: int
     dealt = (
         members.join(counts, key, "left")
         .withColumn("_chunks", chunks)
-        .withColumn("_chunk", F.pmod(F.xxhash64(order, F.lit(7)), F.col("_chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64(order, F.lit(7)), F.col("_chunks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     )
-    return dealt.withColumns({"pair_lo": F.least("_chunk", "_other"), "pair_hi": F.greatest("_chunk", "_other")}).drop("_n", "_chunks", "_chunk", "_other")
+    return dealt.withColumns({"pair_lo": F.least("chunk", "_other"), "pair_hi": F.greatest("chunk", "_other")}).drop("_n", "_chunks", "_other")
 
 
 def spanning_edges(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
