@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chartspan.llm import embedding_dedup, quality_rules, sentencepieces, simhash, token_counts
+from chartspan.llm import embedding_dedup, mixing, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, simhash, token_counts, url_filters
 from chartspan.llm.common import shared_dir
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -24,10 +25,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document that the last number of its path names, so that document's quality label is the page's."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_key"), (1 - F.col("quality")).alias("bad"))
+    return url_filters.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host, its language the path below."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.judge(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as flat as they can be with no source over twice as often in as another; every document is in at least once."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), repeats=2.0)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_slot", "mix_tokens")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
@@ -37,6 +60,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for the file path."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.summary(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 

@@ -1,8 +1,55 @@
-"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; all but the last return
+the columns of documents. Every stage's result is written as Parquet in the shared folder and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chartspan.llm import mixing, personal_data, quality_rules, sentencepieces, simhash
+from chartspan.llm.common import written
+
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject. The field is fitted on those of docs that have labels."""
+    field = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.keep(docs, field)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows."""
+    return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at weights as flat as they can be with none over twice as often in as another; every document at least once."""
+    return mixing.mix(docs, repeats=2.0).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token counts and digests of their ids, a row for each time that a document is in the mix."""
+    return sentencepieces.summary(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("personal_data", personal), ("mixing", mixed), ("sentencepiece", encoded)]
+
+#: SQL can't state the results of a fitted field, of reachability at a bit distance, or of a tokenizer: brute force tests do.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
