@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker's table of encoded words is emptied beyond so many.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 MARK = "▁"
 
 
@@ -45,6 +48,7 @@ class Model:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces = [p.piece for p in proto.pieces]
+        self.sizes = list(map(len, self.pieces))
         #: Pieces by their characters from the last to the first: character -> (next characters, piece that starts here or -1).
         self.ends: dict = {}
         for piece, k in self.ids.items():
@@ -78,24 +82,6 @@ class Model:
         known = self.pairs[a << 32 | b + (1 << 31)] = self.merged(x + y) == [x, y]
         return known
 
-    def _piece_at_end(self, word: str, end: int, last: list[int]) -> int:
-        """The piece that ends word[:end] in a byte-pair model's own segmentation."""
-        node, pairs, start = self.ends, self.pairs, end
-        while start:
-            start -= 1
-            node = node.get(word[start])
-            if node is None:
-                break
-            k = node.get("", -1)
-            if k >= 0:
-                if not start:
-                    return k
-                before = last[start]
-                known = pairs.get(before << 32 | k + (1 << 31))
-                if known or known is None and self.follows(before, k):
-                    return k
-        return ~ord(word[end - 1])
-
     def _best_at_end(self, word: str, end: int, score: list[float]) -> tuple[int, float]:
         """The last piece of the best segmentation of word[:end] in a unigram model, and its score."""
         found, best, node, start = ~ord(word[end - 1]), score[end - 1] + self.lowest, self.ends, end
@@ -109,37 +95,67 @@ class Model:
     def encode_words(self, words: list[str]) -> None:
         """Adds to the table of words: sorted, they are the trie of their prefixes in depth-first order; the forward tables of
         the prefix that a word shares with the one before stay, and only those beyond it are made."""
-        before, last, score, pieces = "", [0], [0.0], self.pieces
+        if self.unigram:
+            return self._encode_words_by_score(words)
+        before, last, sizes, table = "", [0], self.sizes, self.words
+        pairs, ends, follows = self.pairs, self.ends, self.follows
         for key in sorted(words):
             word = MARK + key
-            n, shared = len(word), 0
+            if key[:1] == MARK:  # pieces that are runs of marks have equal scores: merged as defined
+                table[key] = self._bytes([self.ids.get(p, ~ord(p[0])) for p in self.merged(word)])
+                continue
+            shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
             del last[shared + 1 :]
-            out: list[int] = []
-            if self.unigram:
-                del score[shared + 1 :]
-                for end in range(shared + 1, n + 1):
-                    k, value = self._best_at_end(word, end, score)
-                    last.append(k)
-                    score.append(value)
-            elif word[1:2] == MARK:  # pieces that are runs of marks have equal scores: merged as defined
-                last[1:], n = [], 0
-                out = [self.ids.get(p, ~ord(p[0])) for p in reversed(self.merged(word))]
-            else:
-                for end in range(shared + 1, n + 1):
-                    last.append(self._piece_at_end(word, end, last))
-            before = word if n else ""
+            n = len(word)
+            for end in range(shared, n):  # one step of the trie: the piece that ends word[: end + 1] in the model's own segmentation
+                node, start, found = ends, end, None
+                while (node := node.get(word[start])) is not None:
+                    if "" in node:
+                        k = node[""]
+                        if not start:
+                            found = k
+                            break
+                        pair = last[start] << 32 | k + 2147483648
+                        if pairs[pair] if pair in pairs else follows(last[start], k):
+                            found = k
+                            break
+                    if not start:
+                        break
+                    start -= 1
+                last.append(~ord(word[end]) if found is None else found)
+            before, out = word, []
             while n:
                 k = last[n]
                 out.append(k)
-                n -= len(pieces[k]) if k >= 0 else 1
+                n -= sizes[k] if k >= 0 else 1
             out.reverse()
-            if out and min(out) < 0:
-                out = [j for k in out for j in ([k] if k >= 0 else [self.bytes_[b] for b in chr(~k).encode("utf-8", "surrogatepass")])]
-            self.words[key] = np.array(out, "<i4").tobytes()
+            table[key] = self._bytes(out)
+
+    def _encode_words_by_score(self, words: list[str]) -> None:
+        before, last, score = "", [0], [0.0]
+        for key in sorted(words):
+            word = MARK + key
+            shared = len(os.path.commonprefix((before, word)))
+            del last[shared + 1 :], score[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                k, value = self._best_at_end(word, end, score)
+                last.append(k)
+                score.append(value)
+            before, out, n = word, [], len(word)
+            while n:
+                out.append(last[n])
+                n -= self.sizes[last[n]] if last[n] >= 0 else 1
+            self.words[key] = self._bytes(out[::-1])
+
+    def _bytes(self, pieces: list[int]) -> bytes:
+        """The ids as little-endian int32; characters that are no piece become their bytes' pieces."""
+        if min(pieces) < 0:
+            pieces = [j for k in pieces for j in ([k] if k >= 0 else [self.bytes_[b] for b in chr(~k).encode("utf-8", "surrogatepass")])]
+        return array("i", pieces).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. The distinct words of all that the table lacks are encoded first, in sorted order."""
@@ -211,17 +227,23 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", to: str =
 
 
 def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens, ids_sha256 (of the ids, comma-joined), round_trip (decoding gives the text).
+    """One row per document: id, n_bytes, n_tokens, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text).
 
-    A null text counts as empty. A text that holds U+2581 itself comes back with spaces for it, so its round_trip is false.
-    Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows.
+    The same encoding and decoding as encode() and decode(), in one pass, so that ids and texts stay in the worker. A null text
+    counts as empty. A text that holds U+2581 itself comes back with spaces for it, so its round_trip is false. Null ids and
+    repeated rows stay. Other columns are ignored. An empty table gives no rows. No row leaves its partition.
     """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    both = decode(encode(base, model_path, "_text", "_ids"), model_path, "_ids", "_decoded")
-    return both.select(
-        id_col,
-        F.octet_length("_text").cast("long").alias("n_bytes"),
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("_ids", ","), 256).alias("ids_sha256"),
-        (F.col("_decoded") == F.col("_text")).alias("round_trip"),
-    )
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, round_trip boolean")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(model_path)
+        for s in batches:
+            texts = s.fillna("").tolist()
+            rows = []
+            for at in range(0, len(texts), CHUNK):
+                part = texts[at : at + CHUNK]
+                rows += [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), model.decode(ids) == t) for t, ids in zip(part, model.encode(part))]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"])
+
+    base = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), coded(F.col(text_col)).alias("m"))
+    return base.select(id_col, "n_bytes", "m.*")
