@@ -5,10 +5,11 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chartspan.functions.times import parsed
 
@@ -29,7 +30,7 @@ PERSON = T.StructType([
 def read_documents(spark: SparkSession, path: str, person_ids: list[str] | None = None) -> DataFrame:
     """(person_id, path, xml, size) of a folder, a glob or a file; the id is the file's stem. person_ids prunes by name."""
     docs = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
-    docs = docs.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", F.lit("UTF-8")).alias("xml"), F.col("length").alias("size"))
+    docs = docs.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", "UTF-8").alias("xml"), F.col("length").alias("size"))
     return docs if person_ids is None else docs.where(F.col("person_id").isin(person_ids))
 
 
@@ -64,42 +65,46 @@ def _rows(person: str, xml: str, tag: str) -> Iterator[dict]:
         }
 
 
+def _people(person: str, xml: str) -> Iterator[dict]:
+    try:
+        found = ET.fromstring(xml).findall("encounter")
+    except ET.ParseError as e:
+        yield {"person_id": person, "corrupt": str(e)}
+        return
+    paths = {"birthdate": "birthdate", "age_years": "age/years", "gender": "demographics/gender", "race": "demographics/race", "ethnicity": "demographics/ethnicity", "payerplan": "payerplan"}
+    for a, enc in enumerate(found):
+        who = enc.find("person")
+        held = {c: who.findtext(p) for c, p in paths.items()} if who is not None else {}
+        yield {"person_id": person, "enc_idx": a, "has_events": enc.find("events") is not None, "has_person": who is not None, "has_demographics": who is not None and who.find("demographics") is not None} | held
+
+
 def events(documents: DataFrame, tag: str = "event") -> DataFrame:
     """A row per element of the tag in document order, with its place and all attributes; a file that is no XML gives one row
     with `corrupt` set. Documents are parsed where they lie, one at a time."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for person, xml in zip(pdf["person_id"], pdf["xml"]):
-                rows = list(_rows(person, xml or "", tag))
+    shape = to_arrow_schema(EVENT)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc in batch.to_pylist():
+                rows = [row | {"attrs": list(row.get("attrs", {}).items())} for row in _rows(doc["person_id"], doc["xml"] or "", tag)]
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=EVENT.names).astype({c: "Int32" for c in ("enc_idx", "ent_idx", "ev_idx", "flat_idx")})
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    return documents.select("person_id", "xml").mapInPandas(parse, EVENT).withColumn("ts", parsed(F.col("ts_raw")))
+    return documents.select("person_id", "xml").mapInArrow(parse, EVENT).withColumn("ts", parsed(F.col("ts_raw")))
 
 
 def persons(documents: DataFrame) -> DataFrame:
     """A row per encounter: whether it has events, and the person block as it stands there."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for person, xml in zip(pdf["person_id"], pdf["xml"]):
-                try:
-                    found = ET.fromstring(xml or "").findall("encounter")
-                except ET.ParseError as e:
-                    rows.append({"person_id": person, "corrupt": str(e)})
-                    continue
-                for a, enc in enumerate(found):
-                    who = enc.find("person")
-                    text = (lambda p: who.findtext(p)) if who is not None else (lambda p: None)
-                    rows.append({
-                        "person_id": person, "enc_idx": a, "has_events": enc.find("events") is not None, "has_person": who is not None, "has_demographics": who is not None and who.find("demographics") is not None,
-                        "birthdate": text("birthdate"), "age_years": text("age/years"), "gender": text("demographics/gender"), "race": text("demographics/race"), "ethnicity": text("demographics/ethnicity"), "payerplan": text("payerplan"),
-                    })
-            yield pd.DataFrame(rows).reindex(columns=PERSON.names).astype({"enc_idx": "Int32"})
-
-    return documents.select("person_id", "xml").mapInPandas(parse, PERSON)
+    shape = to_arrow_schema(PERSON)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for doc in batch.to_pylist() for row in _people(doc["person_id"], doc["xml"] or "")]
+            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    return documents.select("person_id", "xml").mapInArrow(parse, PERSON)
 
 
 def linked(rows: DataFrame) -> DataFrame:

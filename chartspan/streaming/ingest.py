@@ -9,7 +9,7 @@ from chartspan.sources import timelines
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (person_id, path, xml, size) as files come into the folder."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.xml").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", F.lit("UTF-8")).alias("xml"), F.col("length").alias("size"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", "UTF-8").alias("xml"), F.col("length").alias("size"))
 
 
 def ingest(documents: DataFrame, out: str, checkpoint: str):
