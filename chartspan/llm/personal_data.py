@@ -33,8 +33,9 @@ CUES = (
 )
 COUNTER_CUES = ("version", "isbn", "order", "invoice", "page", "pages", "year", "article", "section", "id", "no", "number", "price", "score", "figure", "table", "serial", "doi", "release")
 CONTEXT = 32
-#: Examples that the trees are fitted on, half of them held out for the thresholds, and the precision these must show.
-EXAMPLES, PRECISION = 4000, 0.99
+#: Examples that the trees are fitted on, half of them held out for the thresholds, and the precision these must show: the lower
+#: end of its 95 % interval (Wilson's, of one side), so that a lucky run of few spans sets no threshold.
+EXAMPLES, PRECISION, SURE = 8000, 0.98, 1.64
 
 
 def luhn(digits: str) -> bool:
@@ -156,7 +157,7 @@ def false_version(r: random.Random, true: bool) -> bool:
 @functools.lru_cache(2)
 def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted, list[float]]:
     """(trees, a threshold for each kind): fitted on one half of `examples` made-up labelled spans; each threshold is the least
-    at which the other half's spans of the kind show the PRECISION."""
+    at which the other half's spans of the kind surely show the PRECISION."""
     r = random.Random(seed)
     made = [_example(r) for _ in range(examples)]
     x = np.array([features(t, s) for t, s, _ in made], np.float64)
@@ -167,8 +168,11 @@ def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted,
     for k in range(4):
         own = kind[half:] == k
         order = np.argsort(-p[own])
-        right = np.cumsum(y[half:][own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
+        n = np.arange(1, own.sum() + 1)
+        right = np.cumsum(y[half:][own][order]) / n
+        low = (right + SURE**2 / (2 * n) - SURE * np.sqrt(right * (1 - right) / n + SURE**2 / (4 * n**2))) / (1 + SURE**2 / n)
+        ends = np.append(np.diff(p[own][order]) < 0, True)  # spans of one probability come in together
+        good = np.flatnonzero((low >= PRECISION) & ends)
         limits.append(float(p[own][order][good[-1]]) if len(good) else 1.1)
     return trees, limits
 
