@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import text_or_empty
+from chartspan.llm.common import text_or_empty, written
 
 #: Texts that a worker hands to the tokenizer at once; bounds the token lists in memory.
 CHUNK = 64
@@ -67,5 +67,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = hashed.select("digest", "_text").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
     count_misses(misses, tokenizer_path).write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # writers at a time may both append a digest
+    counts = written(counts, "token-counts")  # so that the join's sides are plain and a digest that many rows share can be split
     sizes = hashed.select(id_col, F.octet_length("_text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
