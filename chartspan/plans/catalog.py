@@ -125,14 +125,16 @@ def _ranked(scores: DataFrame, k: int, **kw) -> DataFrame:
 
 @query(_BM25.format(corpus="'all'", docs="documents", qid="item_id", queries="benchmark") + "SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def bm25_search(spark, sf):
-    index = text_index.build(table(spark, sf, "documents"), "doc_id", "text")
-    return _ranked(text_index.bm25(index, text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")), 10).select("query", "doc", "score", "rank")
+    asked = text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
+    index = text_index.build(table(spark, sf, "documents"), "doc_id", "text", only=asked)
+    return _ranked(text_index.bm25(index, asked), 10).select("query", "doc", "score", "rank")
 
 
 @query(_BM25.format(corpus="lang", docs="documents", qid="item_id", queries="benchmark") + "SELECT corpus, query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY corpus, query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
 def bm25_per_corpus(spark, sf):
-    index = text_index.build(table(spark, sf, "documents"), "doc_id", "text", F.col("lang"))
-    return _ranked(text_index.bm25(index, text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")), 3)
+    asked = text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
+    index = text_index.build(table(spark, sf, "documents"), "doc_id", "text", F.col("lang"), only=asked)
+    return _ranked(text_index.bm25(index, asked), 3)
 
 
 @query(_BM25.format(corpus="'all'", docs="conversation_docs", qid="doc_id", queries="conversation_docs").replace("WITH t AS", "WITH conversation_docs AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), t AS", 1) + "SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s WHERE doc <> query QUALIFY rank <= 5")
