@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker's table of encoded words is emptied beyond so many.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 MARK = "▁"
 
 
@@ -195,7 +195,7 @@ def _model(path: str) -> Model:
 
 
 #: Texts encoded at once; bounds the distinct words in memory, and is many enough to share prefixes.
-CHUNK = 1024
+CHUNK = 512
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", to: str = "ids") -> DataFrame:

@@ -61,6 +61,16 @@ def predicate(docs: DataFrame, filters: dict[str, object]) -> Column:
     return out
 
 
+def mentions(docs: DataFrame, query: str) -> Column:
+    """Whether every word of the query begins a word in some field; no typos are forgiven."""
+    fields = [F.col(c) if isinstance(t, T.StringType) else F.array_join(c, " ") for c, t in ((f.name, f.dataType) for f in docs.schema) if isinstance(t, (T.StringType, T.ArrayType))]
+    words = F.split(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+")
+    out = F.lit(True)
+    for q in query.lower().split():
+        out &= F.exists(words, lambda w: w.startswith(q))  # noqa: B023
+    return out
+
+
 def in_bounds(name: str, low: float | None = None, high: float | None = None) -> Column:
     """Bounds of zero or less are no bounds."""
     out = F.lit(True)

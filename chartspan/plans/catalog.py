@@ -504,6 +504,20 @@ def daily_token_totals(spark, sf):
     return activity.token_totals(_events(spark, sf), "content").withColumn("bin", F.date_format("bin", "yyyy-MM-dd"))
 
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bin, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf):
+    """The events as a stream, all that is there in one go; its final counts."""
+    import uuid
+
+    from chartspan.streaming.ingest import windowed_counts
+
+    shape = table(spark, sf, "events").schema
+    rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"counts_{uuid.uuid4().hex}"
+    windowed_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("bin"), "event_type", "n")
+
+
 @query("SELECT event_id, CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS positive FROM events")
 def answer_parsing(spark, sf):
     said = F.when(F.col("amount") > 50, "I think the answer is Yes.").otherwise('{"outcome": "False"}')

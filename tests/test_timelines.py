@@ -130,3 +130,36 @@ def test_search_filters(spark, rows):
     assert events.by_type(base, "measurement", events.Filters(start="2023-01-01", end="2023-01-15")).count() == 0  # its midnight
     scores = base.select("event_id").limit(0).withColumn("score", F.lit(1.0))
     assert events.search(base, scores, events.Filters(max_results=3, sort_by="date_asc")).first().ts is None
+
+
+def test_engine(spark, folder, tmp_path):
+    from chartspan.engine import Engine
+    from tests.test_library import vocabulary
+
+    (tmp_path / "v").mkdir()
+    vocabulary(tmp_path / "v")
+    (tmp_path / "t.csv").write_text("patient_id,prediction_time,value\np1,2023-01-01,True\np1,2023-02-01,False\n")
+    e = Engine.open(spark, folder, str(tmp_path / "v"), label_files={"t": str(tmp_path / "t.csv")}).materialised(str(tmp_path / "store"))
+    e.register()
+    assert spark.sql("select count(*) from events where person_id = 'p1'").first()[0] == 8
+    hits = e.search_patient_events("metoprolol", "p1", events.Filters(max_results=2)).collect()
+    assert hits[0].event_id == "p1_event_4" and hits[0].score > 0 and hits[1].score == 0
+    assert e.search_patient_events("metoprolol").count() == 9 and e.get_events_by_type("condition").count() == 2
+    assert e.get_historical_values({"code": "LOINC/8867-4"}).first().value == "72"
+    assert e.get_patient_event("p1_event_0").first().name == "Heart rate" and e.list_node_ids("p1").count() == 8 and e.list_patients().count() == 3
+    assert e.load_timelines(folder).documents.count() == 3 and e.get_patient_timeline("p1").first().n_chars == len(P1)
+    assert [r.found for r in e.get_code_metadata("SNOMED/123456", "X/1").orderBy("code").collect()] == [True, False]
+    assert e.get_ancestor_subgraph("ICD10CM/E11.9")[0].count() == 3 and e.get_descendant_subgraph("SNOMED/123456")[0].count() == 3
+    assert e.search_codes("one", 5).first().code == "OMOP_CONCEPT_ID/1"
+    found, counts = e.search_patients({"diagnosis_codes": ["E11.9"]}, query="cardio o'neil")
+    assert found.first().person_id == "p1" and counts.where("facet = 'departments'").first().n == 1
+    assert e.get_task_prediction("p1", "t").first().prediction == "yes" and e.get_task_prediction("p9", "t").first().prediction is None
+    assert "metoprolol" in e.patient_context(at(spark, "p1", "2023-02-02T00:00:00"), single_visit=True).first().context
+
+
+def test_sampled_cosines(spark):
+    from chartspan.operators import text_index
+
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "x y z") for i in range(40)], "id int, t string")
+    got = text_index.sampled_cosines(text_index.build(docs, "id", "t"), 20).collect()
+    assert 10 <= len(got) <= 20 and all(abs(r.cosine - ((r.a - r.b) % 2 == 0)) < 1e-9 for r in got)
