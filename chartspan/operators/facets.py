@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +68,7 @@ def mentions(docs: DataFrame, query: str) -> Column:
     fields = [F.col(c) if isinstance(t, T.StringType) else F.array_join(c, " ") for c, t in ((f.name, f.dataType) for f in docs.schema) if isinstance(t, (T.StringType, T.ArrayType))]
     words = F.split(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+")
     out = F.lit(True)
-    for q in query.lower().split():
+    for q in re.findall(r"[^\W_]+", query.lower()):
         out &= F.exists(words, lambda w: w.startswith(q))  # noqa: B023
     return out
 

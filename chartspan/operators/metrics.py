@@ -57,13 +57,19 @@ def class_balance(rows: DataFrame, task: str, label: str) -> DataFrame:
 
 
 def _at_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """rows with `_i`, the place in ascending order from 0, and `_k`, how many there are."""
+    """A row for each distinct value of a key, with `_c`, how often it is there, `_i`, its first place in ascending order from 0,
+    and `_k`, how many values the key has. Counting comes before the window, so a hot key costs its distinct values, not its rows."""
     each = Window.partitionBy(*keys)
-    return rows.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(each.orderBy(value)) - 1, "_k": F.count(F.lit(1)).over(each)})
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.withColumns({"_i": F.sum("_c").over(each.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c"), "_k": F.sum("_c").over(each)})
 
 
 def _pick(value: str, at: Column) -> Column:
-    return F.max(F.when(F.col("_i") == at, F.col(value)))
+    return F.max(F.when((F.col("_i") <= at) & (at < F.col("_i") + F.col("_c")), F.col(value)))
+
+
+def _mean(value: str) -> Column:
+    return F.round(F.sum(F.col(value) * F.col("_c")) / F.sum("_c"), 2)
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -72,9 +78,9 @@ def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     k = F.col("_k")
     at = lambda q: _pick(value, F.floor(k * q))
     low, high = F.min(value), F.max(value)
-    n = F.count(F.lit(1))
+    n = F.sum("_c")
     return _at_rank(rows, keys, value).groupBy(*keys).agg(
-        n.alias("n"), low.alias("min"), high.alias("max"), F.round(F.avg(value), 2).alias("mean"), at(0.5).alias("median"),
+        n.alias("n"), low.alias("min"), high.alias("max"), _mean(value).alias("mean"), at(0.5).alias("median"),
         F.when(n >= 4, at(0.25)).otherwise(low).alias("p25"), F.when(n >= 4, at(0.75)).otherwise(high).alias("p75"), F.when(n >= 10, at(0.9)).otherwise(high).alias("p90"),
     )
 
@@ -83,8 +89,8 @@ def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """As distribution(), with p10 at place int(n / 10) - 1 (the first at least), p90 at int(0.9 * n), and the total."""
     k = F.col("_k")
     return _at_rank(rows, keys, value).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 2).alias("mean"), _pick(value, F.floor(k * 0.5)).alias("median"),
-        _pick(value, F.greatest(F.lit(0), F.floor(k * 0.1) - 1)).alias("p10"), _pick(value, F.least(k - 1, F.floor(k * 0.9))).alias("p90"), F.sum(value).alias("total"),
+        F.sum("_c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), _mean(value).alias("mean"), _pick(value, F.floor(k * 0.5)).alias("median"),
+        _pick(value, F.greatest(F.lit(0), F.floor(k * 0.1) - 1)).alias("p10"), _pick(value, F.least(k - 1, F.floor(k * 0.9))).alias("p90"), F.sum(F.col(value) * F.col("_c")).alias("total"),
     )
 
 

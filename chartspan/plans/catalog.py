@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chartspan.functions.text import estimated_tokens
 from chartspan.operators import activity, cohort, context, events, facets, labels, metrics, ontology, sampling, text_index
-from chartspan.session import table
+from chartspan.session import shared_dir, table
 from chartspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,7 +254,7 @@ def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool) -> DataFra
     """For each text of split 1 that has a label, its neighbours among the labelled texts of split 0."""
     states, items = _cohort(spark, sf)
     index, pool = cohort.task_index(items, states, 0)
-    asked = cohort.joined(items.where("split = 1 and person_id % 100 = 1"), states).select(F.col("task").alias("corpus"), F.col("person_id").alias("q"), "vignette")
+    asked = cohort.joined(items.where("split = 1"), states).select(F.col("task").alias("corpus"), F.col("person_id").alias("q"), "vignette")
     scores = text_index.bm25(index, text_index.query_terms(asked, "q", "vignette")).withColumn("score", F.round("score", 6))
     scores = scores.join(pool.withColumnRenamed("task", "corpus"), ["corpus", "doc"]).withColumn("query_person", F.col("query"))
     return cohort.nearest(scores, k, balanced).select(F.col("corpus").alias("task"), "query", "person_id", "label", "score", "position")
@@ -262,7 +262,7 @@ def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool) -> DataFra
 
 _NEAR = "WITH " + _POOL + """, t AS (SELECT task AS corpus, i.doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 0 AND trim(text) <> ''),
 p AS (SELECT corpus, doc, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT corpus, doc, count(*) AS len FROM t GROUP BY ALL), c AS (SELECT corpus, count(*) AS n, avg(len) AS avgdl FROM l GROUP BY corpus), df AS (SELECT corpus, term, count(*) AS df FROM p GROUP BY ALL),
-q AS (SELECT corpus, query, term, count(*) AS qtf FROM (SELECT task AS corpus, i.doc_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 1 AND i.doc_id % 100 = 1) GROUP BY ALL),
+q AS (SELECT corpus, query, term, count(*) AS qtf FROM (SELECT task AS corpus, i.doc_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 1) GROUP BY ALL),
 sc AS (SELECT q.corpus AS task, query, p.doc AS person_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p ON q.corpus = p.corpus AND q.term = p.term JOIN df ON df.corpus = p.corpus AND df.term = p.term JOIN c ON c.corpus = p.corpus JOIN l ON l.corpus = p.corpus AND l.doc = p.doc GROUP BY ALL),
 r AS (SELECT sc.*, i.label, row_number() OVER (PARTITION BY sc.task, query ORDER BY score DESC, person_id) AS rn FROM sc JOIN items i ON i.task = sc.task AND i.doc_id = sc.person_id)
 """
@@ -342,24 +342,22 @@ def concept_children(spark, sf):
     return ontology.children_of(_tree(spark, sf)[1]).select("code", F.size("children").cast("long").alias("n_children"), F.get("children", F.lit(0)).alias("first_child"))
 
 
-@query("WITH RECURSIVE " + _TREE + ", a AS (SELECT 'PART/' || p_partkey AS root, 'PART/' || p_partkey AS code FROM part WHERE p_partkey <= 20 UNION SELECT root, parent FROM a JOIN edges ON code = child) SELECT root, a.code, coalesce(description, a.code) AS description FROM a LEFT JOIN concepts c ON c.code = a.code")
+@query("WITH RECURSIVE " + _TREE + ", a AS (SELECT 'PART/' || p_partkey AS root, 'PART/' || p_partkey AS code FROM part UNION SELECT root, parent FROM a JOIN edges ON code = child) SELECT root, a.code, coalesce(description, a.code) AS description FROM a LEFT JOIN concepts c ON c.code = a.code")
 def ancestor_closure(spark, sf):
     concepts, edges = _tree(spark, sf)
-    starts = concepts.where("code like 'PART/%' and try_cast(substring(code, 6) as int) <= 20")
-    return ontology.closure(starts, edges, concepts)[0].select("root", "code", "description")
+    return ontology.closure(concepts.where("code like 'PART/%'"), edges, concepts)[0].select("root", "code", "description")
 
 
-@query("WITH RECURSIVE " + _TREE + ", a AS (SELECT 'TYPE/' || p_type AS root, 'TYPE/' || p_type AS code FROM (SELECT min(p_type) AS p_type FROM part) UNION SELECT root, child FROM a JOIN edges ON code = parent WHERE child LIKE 'BRAND/%') SELECT root, child, parent FROM a JOIN edges ON code = parent WHERE child LIKE 'BRAND/%'")
+@query("WITH RECURSIVE " + _TREE + ", a AS (SELECT 'TYPE/' || p_type AS root, 'TYPE/' || p_type AS code FROM part UNION SELECT root, child FROM a JOIN edges ON code = parent WHERE child LIKE 'BRAND/%') SELECT root, child, parent FROM a JOIN edges ON code = parent WHERE child LIKE 'BRAND/%'")
 def descendant_links(spark, sf):
     concepts, edges = _tree(spark, sf)
-    start = concepts.where("code like 'TYPE/%'").orderBy("code").limit(1)
-    return ontology.closure(start, edges, concepts, up=False, vocabularies=["BRAND"])[1].select("root", "child", "parent")
+    return ontology.closure(concepts.where("code like 'TYPE/%'"), edges, concepts, up=False, vocabularies=["BRAND"])[1].select("root", "child", "parent")
 
 
-@query("WITH " + _TREE + ", q AS (SELECT 'PART/' || p_partkey AS code FROM part WHERE p_partkey <= 50 UNION ALL SELECT 'NONE/1') SELECT q.code, coalesce(description, '') AS description, split_part(q.code, '/', 1) AS vocabulary, description IS NOT NULL AS found, (SELECT count(*) FROM edges WHERE child = q.code) AS n_parents FROM q LEFT JOIN concepts c ON c.code = q.code")
+@query("WITH " + _TREE + ", q AS (SELECT 'PART/' || p_partkey AS code FROM part UNION ALL SELECT 'NONE/1') SELECT q.code, coalesce(description, '') AS description, split_part(q.code, '/', 1) AS vocabulary, description IS NOT NULL AS found, coalesce(n, 0) AS n_parents FROM q LEFT JOIN concepts c ON c.code = q.code LEFT JOIN (SELECT child, count(*) AS n FROM edges GROUP BY child) e ON e.child = q.code")
 def code_metadata(spark, sf):
     concepts, edges = _tree(spark, sf)
-    codes = table(spark, sf, "part").where("p_partkey <= 50").select(F.concat(F.lit("PART/"), F.col("p_partkey").cast("string")).alias("code")).union(spark.range(1).select(F.lit("NONE/1")))
+    codes = table(spark, sf, "part").select(F.concat(F.lit("PART/"), F.col("p_partkey").cast("string")).alias("code")).union(spark.range(1).select(F.lit("NONE/1")))
     found = ontology.metadata(codes, concepts, edges)
     return found.select("code", F.coalesce("description", F.lit("")).alias("description"), "vocabulary", "found", F.coalesce(F.size("parents"), F.lit(0)).cast("long").alias("n_parents")).withColumn("n_parents", F.greatest("n_parents", F.lit(0)))
 
@@ -509,13 +507,13 @@ def stream_windowed_counts(spark, sf):
     """The events as a stream, all that is there in one go; its final counts."""
     import uuid
 
-    from chartspan.streaming.ingest import windowed_counts
+    from chartspan.streaming.ingest import counted, windowed_counts
 
     shape = table(spark, sf, "events").schema
     rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    windowed_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("bin"), "event_type", "n")
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counted(windowed_counts(rows), f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd HH").alias("bin"), "event_type", "n")
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS positive FROM events")

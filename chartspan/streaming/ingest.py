@@ -34,3 +34,13 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
     """(start, end, kind, n) over event time; events later than the watermark are dropped. Works on streams and on tables."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
+
+
+def counted(counts: DataFrame, out: str, checkpoint: str):
+    """Keeps the counts as they stand after each batch as Parquet in `out`; state and progress are in `checkpoint`, a shared
+    folder, so that a lost executor or a restart costs a batch at most. Ends when all that is there has been read."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
