@@ -51,7 +51,7 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(words), sum(map(len, words))
         lower = line.lower()
         symbols = sum(map(line.count, SYMBOLS))
-        letters = sum(map(str.isalpha, line)) if n < 2000 else size - symbols
+        letters = sum(map(str.isalpha, line))
         rows.append((
             1.0, n < 5, n > 12, min(1.0, symbols / n), sum(map(str.isupper, words)) / n, min(1.0, line.count("!") / n),
             sum(map(line.count, "0123456789")) / size, letters / size, words[-1][-1] in ".!?…\"'»", line in seen, 1 - len(set(words)) / n, any(x in lower for x in NOTICES), min(2.0, size / n / 8),
