@@ -250,9 +250,12 @@ def _cohort(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cohort.checked(states), items
 
 
-def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool) -> DataFrame:
-    """For each text of split 1 that has a label, its neighbours among the labelled texts of split 0."""
+def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool, whole: bool = False) -> DataFrame:
+    """For each text of split 1 that has a label, its neighbours among the labelled texts of split 0, or, if whole, of all the
+    other splits: each labelled text is then a query or in the pool."""
     states, items = _cohort(spark, sf)
+    if whole:
+        items = items.withColumn("split", (F.col("split") == 1).cast("int"))
     index, pool = cohort.task_index(items, states, 0)
     asked = cohort.joined(items.where("split = 1"), states).select(F.col("task").alias("corpus"), F.col("person_id").alias("q"), "vignette")
     scores = text_index.bm25(index, text_index.query_terms(asked, "q", "vignette")).withColumn("score", F.round("score", 6))
@@ -268,19 +271,35 @@ r AS (SELECT sc.*, i.label, row_number() OVER (PARTITION BY sc.task, query ORDER
 """
 
 
-@query(_NEAR + """, o AS (SELECT * FROM r WHERE rn <= 32 AND person_id <> query), k AS (SELECT *, row_number() OVER (PARTITION BY task, query, label ORDER BY rn) AS cr, count(*) OVER (PARTITION BY task, query, label) AS av, max(score) OVER (PARTITION BY task, query, label) AS tp FROM o),
+_BALANCED = """, o AS (SELECT * FROM r WHERE rn <= 32 AND person_id <> query), k AS (SELECT *, row_number() OVER (PARTITION BY task, query, label ORDER BY rn) AS cr, count(*) OVER (PARTITION BY task, query, label) AS av, max(score) OVER (PARTITION BY task, query, label) AS tp FROM o),
 g AS (SELECT *, dense_rank() OVER (PARTITION BY task, query ORDER BY tp DESC, CAST(label AS VARCHAR)) AS cl FROM k), a AS (SELECT task, query, coalesce(max(av) FILTER (cl = 1), 0) AS a, coalesce(max(av) FILTER (cl = 2), 0) AS b FROM g GROUP BY ALL),
 z AS (SELECT g.*, CASE WHEN cl = 1 THEN least(a, least(2, a) + 2 - least(2, b)) ELSE least(b, least(2, b) + 2 - least(2, a)) END AS quota FROM g JOIN a USING (task, query)),
-y AS (SELECT *, row_number() OVER (PARTITION BY task, query ORDER BY cr, cl) AS position FROM z WHERE cr <= quota) SELECT task, query, person_id, label, score, CAST(position AS INTEGER) AS position FROM y WHERE position <= 4""")
+y AS (SELECT *, row_number() OVER (PARTITION BY task, query ORDER BY cr, cl) AS position FROM z WHERE cr <= quota) SELECT task, query, person_id, label, score, CAST(position AS INTEGER) AS position FROM y WHERE position <= 4"""
+_UNBALANCED = "SELECT task, query, person_id, label, score, CAST(rn AS INTEGER) AS position FROM r WHERE person_id <> query AND rn <= 5"
+#: The same with every labelled text as a query (split 1) or in the pool (all others).
+_NEAR_ALL = _NEAR.replace("WHERE s = 0 AND", "WHERE s <> 1 AND")
+
+
+@query(_NEAR + _BALANCED)
 def balanced_neighbors(spark, sf):
     return _neighbours(spark, sf, 4, True)
 
 
-@query(_NEAR + "SELECT task, query, person_id, label, score, CAST(rn AS INTEGER) AS position FROM r WHERE person_id <> query AND rn <= 5")
+@query(_NEAR + _UNBALANCED)
 def unbalanced_neighbors(spark, sf):
     return _neighbours(spark, sf, 5, False)
 
 
+@query(_NEAR_ALL + _BALANCED)
+def balanced_neighbors_all(spark, sf):
+    return _neighbours(spark, sf, 4, True, whole=True)
+
+
+@query(_NEAR_ALL + _UNBALANCED)
+def unbalanced_neighbors_all(spark, sf):
+    return _neighbours(spark, sf, 5, False, whole=True)
+
+
 @query("WITH " + _POOL + " SELECT s AS split, task, label, count(*) AS n, count(DISTINCT doc_id) AS n_persons FROM items GROUP BY ALL")
 def cohort_counts(spark, sf):
     return metrics.cohort_counts(_cohort(spark, sf)[1]).select(F.col("split").cast("int").alias("split"), "task", "label", "n", "n_persons")
