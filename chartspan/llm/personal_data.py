@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a run of digits is who
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,2}[0-9])++")
+_DIGITS = re.compile(r"[0-9]+")
+_CUT_BEFORE, _CUT_AFTER = re.compile(r"[0-9]([ ().\-/]{0,2})\Z"), re.compile(r"[(]?([ ().\-/]{0,2})[0-9]")
 _AT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
 #: Neighbouring words that speak for a kind, and for none.
 CUES = (
@@ -33,6 +37,8 @@ CUES = (
 )
 COUNTER_CUES = ("version", "isbn", "order", "invoice", "page", "pages", "year", "article", "section", "id", "no", "number", "price", "score", "figure", "table", "serial", "doi", "release")
 CONTEXT = 32
+#: Digits of the longest number that is proposed as a part of a run, and proposals that are looked at together.
+MOST_DIGITS, AT_ONCE = 19, 20_000
 #: Examples that the trees are fitted on, half of them held out for the thresholds, and the precision these must show: the lower
 #: end of its 95 % interval (Wilson's, of one side), so that a lucky run of few spans sets no threshold.
 EXAMPLES, PRECISION, SURE = 8000, 0.98, 1.64
@@ -75,21 +81,62 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
-def candidates(text: str) -> list[Span]:
-    """Proposals, overlapping ones too: anything that looks like a number of some length, and spelled-out addresses."""
+def disjoint(spans: list[Span]) -> list[tuple[int, int]]:
+    """The spans' text as intervals that don't overlap, by start."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the disjoint intervals, ordered by start, overlaps start to end."""
+    k = bisect.bisect_left(taken, (end, 0))
+    return k > 0 and taken[k - 1][1] > start
+
+
+def _numbers(text: str, run: tuple[int, int], taken: list[tuple[int, int]]) -> list[Span]:
+    """Proposals of a run of numbers: all of it and its parts from group to group, longer ones first. What is taken cuts it."""
+    groups, pieces = [m.span() for m in _DIGITS.finditer(text, *run)], [[]]
+    for g in groups:
+        if _overlaps(taken, *g):
+            pieces.append([])
+        else:
+            pieces[-1].append(g)
+    found: list[Span] = [(*run, 1)] if text.count(".", *run) == 3 and not _overlaps(taken, *run) else []
+    for piece in pieces:
+        for i, (first, _) in enumerate(piece):
+            n = 0
+            for j in range(i, len(piece)):
+                n += piece[j][1] - piece[j][0]
+                if n > MOST_DIGITS:
+                    break
+                end = piece[j][1]
+                opened = first > run[0] and (text[first - 1] == "+" or text[first - 1] == "(" and (")" in text[first:end] or len(piece) == j + 1 - i == len(groups)))
+                start = first - 1 if opened and not _overlaps(taken, first - 1, first) else first
+                if 7 <= n <= 16:
+                    found.append((start, end, 3))
+                if n >= 12:
+                    found.append((start, end, 2))
+                if j - i == 3 and (start, end) != run and text.count(".", start, end) == 3:
+                    found.append((start, end, 1))
+    return sorted(found, key=lambda s: s[0] - s[1])
+
+
+def candidates(text: str, base: list[Span] | None = None) -> list[Span]:
+    """Proposals, overlapping ones too: anything that looks like a number of some length, parts of runs of numbers, and
+    spelled-out addresses. None overlaps the rules' spans, given as base."""
     found: list[Span] = []
+    taken = disjoint(base or [])
     for m in _NUMBER.finditer(text):
-        n = sum(c.isdigit() for c in m[0])
-        if 7 <= n <= 16:
-            found.append((*m.span(), 3))
-        if 12 <= n <= 19:
-            found.append((*m.span(), 2))
-        if m[0].count(".") == 3:
-            found.append((*m.span(), 1))
-    if "at" in text:
+        found += _numbers(text, m.span(), taken)
+    if "at" in text.lower():
         for m in _AT.finditer(text):
             start = _run_start(text, m.start(), 0)
-            if start < m.start():
+            if start < m.start() and not _overlaps(taken, start, m.end()):
                 found.append((start, m.end(), 0))
     return found
 
@@ -101,6 +148,7 @@ def features(text: str, span: Span) -> list[float]:
     near = set(re.findall(r"[a-z]+", before.lower())[-2:])
     digits = "".join(c for c in value if c in "0123456789")
     groups = re.findall(r"[0-9]+", value)
+    goes_on = _CUT_BEFORE.search(before), _CUT_AFTER.match(after)
     return [
         *(float(kind == k) for k in range(4)),
         *(float(bool(near & set(c))) for c in CUES),
@@ -112,6 +160,8 @@ def features(text: str, span: Span) -> list[float]:
         float(len(digits) >= 12 and luhn(digits)), float(all(len(g) <= 3 and int(g) <= 255 for g in groups[:4])),
         float(any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)), float(len(set(digits)) <= 2),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in ("$", "€", "#", "v", ".", "=", "/")), float(after[:1] in ("%", "€", "/", ".") and after[1:2].isalnum()),
+        *(float(bool(m)) for m in goes_on), *(float(bool(m) and " " not in m[1]) for m in goes_on),
+        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, len(set(re.split(r"[0-9]+", value)[1:-1])),
         float("(at)" in value.lower() or "[at]" in value.lower()), float(" dot " in value.lower() or "dot)" in value.lower() or "dot]" in value.lower()),
     ]
 
@@ -145,8 +195,23 @@ def _example(r: random.Random) -> tuple[str, Span, int]:
     counter = r.choice(COUNTER_CUES) if not true and r.random() < 0.6 else ""
     lead = " ".join(x for x in (many(r.randint(0, 3)), cue or counter, r.choice(["", "", "is", "me"])) if x)
     lead += r.choice([" ", ": "]) if lead else ""
-    text = f"{lead}{value}{r.choice([' ', '. ', ', ', ''])}{many(r.randint(0, 3))}"
-    return text, (len(lead), len(lead) + len(value), kind), int(true)
+    beside = lambda: _beside(r, number) if kind and r.random() < 0.4 else ""
+    left, right = beside(), beside()
+    lead += f"{left} " if left else ""
+    text = f"{lead}{value}{f' {right}' if right else ''}{r.choice([' ', '. ', ', ', ''])}{many(r.randint(0, 3))}"
+    span = (len(lead), len(lead) + len(value), kind)
+    if kind and r.random() < (0.5 if left or right else 0.25):
+        known = {(m.start(), m.end()) for x in (left, right) if x for m in re.finditer(re.escape(x), text)} | {span[:2]}
+        cut = [c for c in candidates(text) if c[0] < span[1] and span[0] < c[1] and c[:2] not in known]
+        if cut:
+            return text, r.choice(cut), 0
+    return text, span, int(true)
+
+
+def _beside(r: random.Random, number: Callable[..., list[str]]) -> str:
+    """Numbers as they stand beside others in lists and tables."""
+    a, b, c = number(3, 3, 4)
+    return r.choice([f"20{a[:2]}-0{b[0]}-1{c[0]}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", a, c, f"{a}.{b[:2]}", " ".join(number(*[r.randint(1, 4)] * r.randint(2, 5))), ".".join(str(r.randint(0, 255)) for _ in range(4))])
 
 
 def false_version(r: random.Random, true: bool) -> bool:
@@ -180,14 +245,16 @@ def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted,
 def added_spans(texts: list[str], base: list[list[Span]], model: tuple[boosting.Boosted, list[float]]) -> list[list[Span]]:
     """For each text the proposals that the trees accept and that overlap neither the rules' spans nor a likelier proposal."""
     trees, limits = model
-    proposed = [(i, s) for i, t in enumerate(texts) for s in candidates(t) if not any(a < s[1] and s[0] < b for a, b, _ in base[i])]
+    proposed = ((i, s) for i, t in enumerate(texts) for s in candidates(t, base[i]))
+    good: list[tuple[float, int, Span]] = []
+    while some := list(itertools.islice(proposed, AT_ONCE)):
+        p = trees.probability(np.array([features(texts[i], s) for i, s in some], np.float64))
+        good += [(-x, i, s) for x, (i, s) in zip(p.tolist(), some) if x >= limits[s[2]]]
     out: list[list[Span]] = [[] for _ in texts]
-    if not proposed:
-        return out
-    p = trees.probability(np.array([features(texts[i], s) for i, s in proposed], np.float64))
-    for k in np.argsort(-p, kind="stable").tolist():
-        i, s = proposed[k]
-        if p[k] >= limits[s[2]] and not any(a < s[1] and s[0] < b for a, b, _ in out[i]):
+    taken: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for _, i, s in sorted(good, key=lambda g: g[0]):
+        if not _overlaps(taken[i], s[0], s[1]):
+            bisect.insort(taken[i], s[:2])
             out[i].append(s)
     return out
 

@@ -1,0 +1,41 @@
+"""Proposals that leave nothing out: numbers beside each other, secrets of any length and alphabet."""
+
+from __future__ import annotations
+
+import random
+
+from chartspan.llm import personal_data
+from tests.llm.test_exact import frame
+
+
+def test_numbers_beside_each_other(spark):
+    texts = [
+        "call 555-123-4567 555-987-6543", "phone 2024-01-15 555-123-4567", "call 10.0.0.1 555-123-4567", "call (415) 555-2671 (415) 555-2672",
+        "the card 4242.4242.4242.4242 2024-01-15", "mail bob (AT) example (DOT) com", "years 2019 2020 2021 2022 2023 2024 2025", "call " + "555-123-4567 " * 3 + "1 " * 5000,
+    ]
+    want = [["555-123-4567", "555-987-6543"], ["555-123-4567"], ["555-123-4567"], ["(415) 555-2671", "(415) 555-2672"], ["4242.4242.4242.4242"], ["bob (AT) example (DOT) com"], []]
+    for t in texts:
+        assert len(personal_data.candidates(t)) <= 40 * len(t)
+    got = {x.doc_id: x for x in personal_data.find(frame(spark, texts)).collect()}
+    for i, w in enumerate(want):
+        spans = [s.split(":") for s in got[i].spans.split(",") if s]
+        assert [texts[i][int(a) : int(b)] for k, a, b in spans if k != "ip"] == w, texts[i]
+    clean = {x.doc_id: x.text for x in personal_data.redact(frame(spark, texts)).collect()}
+    assert clean[0] == "call [PHONE] [PHONE]" and clean[2] == "call [IP] [PHONE]"
+
+
+def test_proposals_hold_every_part():
+    r = random.Random(6)
+    for _ in range(5000):
+        text = "".join(r.choice(["1", "23", "4567", "4242424242424242", " ", "-", ".", "(", ")", "+", "/", "x", "10.0.0.1"]) for _ in range(r.randint(0, 25)))
+        base = personal_data.base_spans(text)
+        got = set(personal_data.candidates(text, base))
+        free = [m for m in personal_data._NUMBER.finditer(text)]
+        assert not any(a < y and x < b for x, y, _ in got for a, b, _ in base)
+        for m in free:
+            groups = [g.span() for g in personal_data._DIGITS.finditer(text, *m.span())]
+            for i in range(len(groups)):
+                for j in range(i, len(groups)):
+                    a, b, n = groups[i][0], groups[j][1], sum(y - x for x, y in groups[i : j + 1])
+                    if 7 <= n <= 16 and not any(x < b and a < y for x, y, _ in base):
+                        assert (a, b, 3) in got or (a - 1, b, 3) in got, text
