@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 
 from chartspan.llm.common import text_or_empty
 
-#: A run of 16 or more of these characters, a digit among them; whole runs only, so that a long run costs one look.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+_CUE = r"password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private"
+_HEADS = r"AKIA|ASIA|ghp_|gho_|xox[bap]-|sk_live_|AIza|glpat-"
+#: What stands between a cue and its value: the rest of the name, a quote, = or :, and white space.
+_ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:][\s\"']{{0,3}})(?<=(?i:{_CUE})(?i:s|[_-][a-z0-9]{{1,12}}|[0-9]{{1,3}})?[\"']?\s{{0,2}}[=:]\s{{0,2}}"
+#: By turns: what a secret's cue is set to, in quotes or up to white space, of 6 or more characters; a bearer's token; a run of 16
+#: or more with a known head; and one with a digit in it. Whole runs only, so that a long run costs one look.
+CANDIDATE = "|".join([
+    rf"{_ASSIGNED}\")[^\"\r\n]{{6,200}}(?=\")",
+    rf"{_ASSIGNED}')[^'\r\n]{{6,200}}(?=')",
+    rf"{_ASSIGNED}[\"']?)(?![\"'])[^\s\"']{{5,}}[^\s\"',;.)\]]",
+    r"(?<=\s)(?<=(?i:bearer)\s{1,2})[^\s\"']{5,}[^\s\"',;.)\]]",
+    rf"(?<![A-Za-z0-9_+/-])(?=(?:{_HEADS})|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}",
+])
 #: Characters before and after a candidate that are looked at.
 NEAR = 40
 #: Labelled findings that the forest is fitted on, its trees and their depth, and the share of trees that keeps a finding.
@@ -26,10 +37,12 @@ WORDS = (
     "product", "public", "release", "report", "result", "sample", "server", "service", "session", "setting", "source", "stage", "start", "state", "static", "string", "system",
     "table", "temp", "test", "text", "time", "type", "update", "user", "value", "version", "view", "your", "tion", "ing", "the", "and", "ment",
 )
-SECRET_CUES = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private)[^a-z0-9]{0,12}$"
+SECRET_CUES = rf"(?i)({_CUE})(s|[_-][a-z0-9]{{1,12}}|[0-9]{{1,3}})?[^a-z0-9]{{0,12}}$"
 OTHER_CUES = r"(?i)(sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|version|build|order|invoice|isbn|file|image|href|src|id|revision|card|number)[^a-z0-9]{0,12}$"
-KNOWN_HEAD = r"^(AKIA|ASIA|ghp_|gho_|xox[bap]-|sk_live_|AIza|glpat-)"
-FEATURES = ("length", "digits", "upper", "lower", "other", "moves", "repeats", "dictionary", "vowels", "hex", "head", "cue", "other_cue", "assigned", "quoted", "path_test", "path_code", "uuid", "steps")
+KNOWN_HEAD = rf"^({_HEADS})"
+#: How a value begins or ends that is looked up elsewhere, called or left blank.
+REFERENCE = r"^[$<{%\[(*]|[()>}\]]$|(?i)^(self|this|process|os|config|settings|env|get|your)[._-]"
+FEATURES = ("length", "digits", "upper", "lower", "other", "moves", "repeats", "dictionary", "vowels", "hex", "head", "cue", "other_cue", "assigned", "quoted", "path_test", "path_code", "uuid", "steps", "special", "reference", "letters")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -62,12 +75,15 @@ def with_features(findings: DataFrame) -> DataFrame:
         "path_code": flag(path.rlike(r"\.[a-z]{1,5}$")),
         "uuid": flag(s.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "steps": _count(s, "(?i)(012|123|234|345|456|567|678|789|890|abc|bcd|cde|def|xyz|qwe|asd)") / n,
+        "special": _count(s, "[^A-Za-z0-9_+/=-]") / n,
+        "reference": flag(s.rlike(REFERENCE)),
+        "letters": flag(s.rlike("^[A-Za-z][a-z]*([ _.,/-][A-Za-z]?[a-z]*)*$")),
     })
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """n made-up findings (secret, before, after, path, label), by hashes of their numbers: keys and passwords in usual formats,
-    and what is taken for them: digests, identifiers, numbered names, placeholders, long numbers."""
+    short and long, and what is taken for them: digests, identifiers, numbered names, placeholders, references, words, long numbers."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")), 256)
     pick = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m))
     choose = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (pick(k, len(v)) + 1).cast("int"))
@@ -76,12 +92,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     word = lambda k: choose(k, *WORDS)
     number = lambda k: F.substr(F.translate(h(k), "abcdef", "012345"), F.lit(1), (pick(k, 6) + 2).cast("int"))
     cued, other = choose("c", "password=", "token = \"", "api_key: ", "secret=", "Authorization: Bearer ", "access_key = \"", "pwd="), choose("o", "sha256:", "commit ", "md5 ", "file ", "id=", "order ", "build ", "image/", "checksum: ")
+    name = F.concat(word(7), choose("q", "_", ".", "-", ""), word(8))
+    sign = choose("g2", "&", "!", "@", "#", "$", "%", "^", "*", ".", ":", "?", "~")
     plain = choose("p", "the ", "and was ", "in ", "", "see ", "of ")
     width = choose("w", "16", "20", "32", "40", "64").cast("int")
-    rows = spark.range(n).withColumn("k", pick("kind", 12))
+    rows = spark.range(n).withColumn("k", pick("kind", 16))
     k = F.col("k")
     secret = (
-        F.when(k < 2, F.concat(F.lit("AKIA"), F.substr(capital, F.lit(1), F.lit(16))))
+        F.when(k == 0, F.concat(F.lit("AKIA"), F.substr(F.translate(capital, "789", "XYZ"), F.lit(1), F.lit(16))))
+        .when(k == 1, F.concat(F.lit("AKIA"), F.substr(capital, F.lit(1), F.lit(16))))
         .when(k.isin(2, 3), F.substr(h("a"), F.lit(1), width))
         .when(k == 4, F.substr(mixed, F.lit(1), F.least(width, F.lit(40))))
         .when(k == 5, F.concat(choose("g", "ghp_", "sk_live_", "glpat-", "xoxb-"), F.substr(F.translate(mixed, "+/", "x9"), F.lit(1), F.lit(30))))
@@ -89,12 +108,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .when(k == 7, F.concat(F.substr(h("v"), F.lit(1), F.lit(8)), F.lit("-"), F.substr(h("v"), F.lit(9), F.lit(4)), F.lit("-4"), F.substr(h("v"), F.lit(14), F.lit(3)), F.lit("-a"), F.substr(h("v"), F.lit(18), F.lit(3)), F.lit("-"), F.substr(h("v"), F.lit(21), F.lit(12))))
         .when(k.isin(8, 9), F.concat(word(1), choose("s", "_", "-", "/", ""), word(2), choose("t", "_", "-", "", "/"), number("n"), word(3), word(4)))
         .when(k == 10, F.concat(choose("x", "xxxxxxxxxxxx", "1234567890", "abcdef123456", "000000000000", "your-token-here-"), F.substr(F.lit("123456789012345"), F.lit(1), (pick("y", 8) + 6).cast("int"))))
-        .otherwise(F.substr(F.translate(h("z"), "abcdef", "987654"), F.lit(1), F.lit(16)))
+        .when(k == 11, F.substr(F.translate(h("z"), "abcdef", "987654"), F.lit(1), F.lit(16)))
+        .when(k == 12, F.concat(F.substr(mixed, F.lit(1), (pick("i", 7) + 3).cast("int")), sign, F.substr(mixed, F.lit(12), (pick("j", 6) + 3).cast("int"))))
+        .when(k == 13, F.concat(F.when(pick("I", 2) == 0, F.initcap(word(5))).otherwise(word(5)), number("N"), choose("S", "", "!", "#", "", "$"), F.when(pick("W", 2) == 0, word(6)).otherwise("x7")))
+        .when(k == 14, F.concat(choose("r", "${", "<", "{{ ", "%(", "os.environ[", "config.", "self.", "get_", "your-", "process.env.", "****"), F.when(pick("V", 2) == 0, F.upper(name)).otherwise(name), choose("R", "}", ">", " }}", ")", "]", "()", "")))
+        .otherwise(F.concat(F.when(pick("J", 2) == 0, F.initcap(word(9))).otherwise(word(9)), choose("Q", "", "s", "-", "_", ""), word(10), choose("T", "", "ed", "er")))
     )
-    before = F.when(k < 2, F.when(pick("b", 2) == 0, cued).otherwise(plain)).when(k < 6, F.when((k == 5) & (pick("b", 2) == 0), plain).otherwise(cued)).when(k == 10, cued).otherwise(F.when(pick("b", 3) == 0, plain).otherwise(other))
+    before = F.when(k < 2, F.when(pick("b", 2) == 0, cued).otherwise(plain)).when(k < 6, F.when((k == 5) & (pick("b", 2) == 0), plain).otherwise(cued)).when(k.isin(10, 12, 13, 14, 15), cued).otherwise(F.when(pick("b", 3) == 0, plain).otherwise(other))
     after = F.when(before.endswith('"'), '" ').otherwise(choose("e", " ", ".", "\n", ", "))
     path = choose("f", "src1", "app/config.py", "web", "deploy/settings.env", "tests/example.py", "docs/readme.md", "")
-    return rows.select(secret.alias("secret"), before.alias("before"), after.alias("after"), path.alias("path"), (k < 6).cast("double").alias("label"))
+    return rows.select(secret.alias("secret"), before.alias("before"), after.alias("after"), path.alias("path"), ((k < 6) | k.isin(12, 13)).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
