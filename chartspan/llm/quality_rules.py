@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,12 +16,14 @@ from chartspan.llm.common import SPACES
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 5, 10, 20, 0.5
 #: Labelled documents that the field is fitted on, at most.
 TRAIN_DOCS = 1200
-#: Lines of each of them, at most, spread over the whole text.
-TRAIN_LINES = 160
+#: Lines of each of them, at most: a stretch of lines that follow each other, from a place that the text's checksum picks.
+TRAIN_LINES = 64
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices, lower case.
 NOTICES = ("all rights reserved", "copyright", "licensed under", "license", "cookie", "terms of use", "privacy policy", "subscribe", "click here", "log in", "sign up")
-BOILERPLATE, CONTENT = 0, 1
+BOILERPLATE, CONTENT, UNKNOWN = 0, 1, -1
+#: A line of a bad document is taken as boilerplate, or as content, if the odds of its own features are so clear; else it stays open.
+CLEAR = (0.35, 0.75)
 FEATURES = ["one", "short", "long", "symbol_words", "capital_words", "exclaimed_words", "digit_share", "letter_share", "ends_sentence", "seen_before", "repeats_itself", "notice", "word_length"]
 
 
@@ -92,60 +95,123 @@ class Field:
         return np.array(labels[::-1])
 
 
-def fit_field(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float = 0.5, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient ascent (forward-backward) on sequences of one label each; classes weigh the same."""
-    if len({y for _, y in sequences}) < 2:
+def weak_labels(x: np.ndarray, good: bool) -> np.ndarray:
+    """What a document's label says of its lines: notices and lines seen before are boilerplate in any document, the other lines of a
+    good one are content, and those of a bad one, which may hold both, are open."""
+    boilerplate = (x[:, FEATURES.index("notice")] > 0) | (x[:, FEATURES.index("seen_before")] > 0)
+    return np.where(boilerplate, BOILERPLATE, CONTENT if good else UNKNOWN)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, rounds: int = 12, penalty: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (weigh * (y - p)) - penalty * w)
+        w += step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
+    return w
+
+
+def line_labels(documents: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """Labels of the lines of (line features, quality 0 or 1): the weak ones; and of a bad document's open lines those that look
+    unlike, or like, the lines of good documents, by a regression on single lines. The line least like them is boilerplate in
+    any case, since something makes the document bad; what is not clear stays UNKNOWN, for the field to sum over."""
+    labels = [weak_labels(x, bool(good)) for x, good in documents]
+    x, label = np.vstack([d for d, _ in documents]), np.concatenate(labels)
+    side = np.concatenate([np.full(len(d), good) for d, good in documents])
+    each = np.concatenate([np.full(len(d), 1 / len(d)) for d, _ in documents])
+    fit = (label != BOILERPLATE) | (side == 0)
+    each[fit & (side == 1)] /= each[fit & (side == 1)].sum()
+    each[fit & (side == 0)] /= each[fit & (side == 0)].sum()
+    p = 1 / (1 + np.exp(-np.clip(x @ _logistic(x[fit], side[fit].astype(float), each[fit]), -30, 30)))
+    at = 0
+    for own, (d, good) in zip(labels, documents):
+        likely, at = p[at : at + len(d)], at + len(d)
+        if not good:
+            open_ = own == UNKNOWN
+            own[open_ & (likely < CLEAR[0])] = BOILERPLATE
+            own[open_ & (likely > CLEAR[1])] = CONTENT
+            if not (own == BOILERPLATE).any():
+                own[likely.argmin()] = BOILERPLATE
+    return labels
+
+
+def _expected(emit: np.ndarray, moves: np.ndarray, start: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over sequences in columns, the longest first (live[t] of them have a line t): (label probabilities by line
+    and sequence, pair probabilities summed over a sequence's steps)."""
+    e, m = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves)
+    ahead, behind, pairs = np.zeros_like(e), np.ones_like(e), np.zeros((e.shape[1], 2, 2))
+    ahead[0] = e[0] * np.exp(start)
+    ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
+    for t in range(1, len(e)):
+        n = live[t]
+        a = ahead[t - 1, :n] @ m * e[t, :n]
+        ahead[t, :n] = a / a.sum(axis=1, keepdims=True)
+    for t in range(len(e) - 2, -1, -1):
+        n = live[t + 1]
+        after = e[t + 1, :n] * behind[t + 1, :n]
+        b = after @ m.T
+        behind[t, :n] = b / b.sum(axis=1, keepdims=True)
+        pair = ahead[t, :n, :, None] * m * after[:, None, :]
+        pairs[:n] += pair / pair.sum(axis=(1, 2), keepdims=True)
+    p = ahead * behind
+    return p / np.maximum(p.sum(axis=2, keepdims=True), 1e-300), pairs
+
+
+def fit_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 2.0, penalty: float = 1e-3) -> Field:
+    """Maximum likelihood by gradient ascent on (line features, line labels): what the field expects with the known labels held,
+    less what it expects without; UNKNOWN labels are summed over. Sequences weigh the same whatever their length, and so do the two
+    labels. Without lines of both labels, the default field."""
+    known = np.concatenate([y for _, y in sequences]) if sequences else np.zeros(0)
+    if not (known == BOILERPLATE).any() or not (known == CONTENT).any():
         return Field.default()
-    longest = min(TRAIN_LINES, max(len(x) for x, _ in sequences))
-    x = np.zeros((len(sequences), longest, len(FEATURES)))
-    live = np.zeros((len(sequences), longest), bool)
-    y = np.array([label for _, label in sequences])
-    for i, (rows, _) in enumerate(sequences):  # of a longer text, training takes lines spread over the whole
-        rows = rows[np.linspace(0, len(rows) - 1, min(len(rows), longest)).astype(int)]
-        x[i, : len(rows)], live[i, : len(rows)] = rows, True
-    share = np.array([np.average(y == 0), np.average(y == 1)])
-    weigh = (0.5 / share[y] / np.maximum(1, live.sum(axis=1)) / len(y))[:, None] * live
+    sequences = sorted(sequences, key=lambda s: -len(s[1]))
+    size = np.array([len(y) for _, y in sequences])
+    x, held = np.zeros((size[0], len(size), len(FEATURES))), np.zeros((size[0], len(size), 2))
+    for i, (rows, y) in enumerate(sequences):
+        x[: size[i], i] = rows
+        held[: size[i], i, BOILERPLATE], held[: size[i], i, CONTENT] = np.where(y == CONTENT, -1e4, 0), np.where(y == BOILERPLATE, -1e4, 0)
+    live = [int((size > t).sum()) for t in range(size[0])]
+    bad = np.array([np.mean(y == BOILERPLATE) for _, y in sequences])
+    weigh = (bad / bad.sum() + (1 - bad) / max(1e-9, (1 - bad).sum())) / 2 / size
     w, moves, start = np.zeros((2, len(FEATURES))), np.zeros((2, 2)), np.zeros(2)
     for _ in range(rounds):
         emit = x @ w.T
-        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0] + start
-        for t in range(1, longest):
-            ahead[:, t] = np.where(live[:, t, None], emit[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1), ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            behind[:, t] = np.where(live[:, t + 1, None], np.logaddexp.reduce(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2), behind[:, t + 1])
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        p = np.exp(ahead + behind - total[:, None, None])
-        wrong = (y[:, None, None] == np.arange(2)) - p
-        pair = np.exp(ahead[:, :-1, :, None] + moves + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
-        truth = np.zeros((len(y), 2, 2))
-        truth[np.arange(len(y)), y, y] = 1
-        w += rate * (np.einsum("itc,itf,it->cf", wrong, x, weigh) * 4 - penalty * w)
-        moves += rate * ((truth[:, None] * live[:, 1:, None, None] - pair) * weigh[:, 1:, None, None]).sum(axis=(0, 1)) - rate * penalty * moves
-        start += rate * (wrong[:, 0] * weigh[:, :1]).sum(axis=0)
+        p, pairs = _expected(emit, moves, start, live)
+        want_p, want_pairs = _expected(emit + held, moves, start, live)
+        w += rate * (np.tensordot((want_p - p) * weigh[:, None], x, ((0, 1), (0, 1))) - penalty * w)
+        moves += rate / 4 * (np.tensordot(weigh, want_pairs - pairs, 1) - penalty * moves)
+        start += rate / 4 * ((want_p - p)[0] * weigh[:, None]).sum(axis=0)
     return Field(w, moves, start)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
-    """The field, fitted on lines of at most `most` labelled documents (the first by hash, half of them of either label).
+    """The field, fitted on stretches of at most TRAIN_LINES lines of at most `most` labelled documents (the first by hash, half of
+    them of either label), with labels by line: see line_labels().
 
-    A document's label counts for its lines. Only line features leave the executors. Without documents of both labels, the
-    default field.
+    An id that is labelled both ways counts as bad; of rows that share an id, the first by the text's hash come in. So the fit is
+    the same whatever the order of rows. Only line features leave the executors. Without documents of both labels, the default field.
     """
     rank = F.xxhash64("_id", F.lit(3))
-    known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+    known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
     few = known.where("_y = 0").orderBy(rank, "_id").limit(most // 2).unionByName(known.where("_y = 1").orderBy(rank, "_id").limit(most // 2))
     # at most `most` rows of two numbers: broadcast
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(few), "_id").select(rank.alias("a"), F.xxhash64("_text").alias("b"), "_y", "_text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [line_features(t)[0] for t in pdf["_text"]]
-            rows = [x[np.linspace(0, len(x) - 1, min(len(x), TRAIN_LINES)).astype(int)] for x in rows]
-            yield pd.DataFrame({"y": pdf["_y"], "x": [x.ravel() for x in rows]})
+            rows = []
+            for text in pdf["_text"]:
+                x, _ = line_features(text)
+                first = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(x) - TRAIN_LINES + 1)
+                rows.append(x[first : first + TRAIN_LINES].ravel())
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "y": pdf["_y"], "x": rows})
 
-    got = chosen.mapInPandas(features, "y int, x array<double>").limit(2 * most).collect()
-    return fit_field([(np.array(r["x"]).reshape(-1, len(FEATURES)), r["y"]) for r in got if len(r["x"])])
+    got = chosen.mapInPandas(features, "a long, b long, y int, x array<double>").orderBy("a", "b", "y").limit(most).collect()
+    documents = [(np.array(r["x"]).reshape(-1, len(FEATURES)), r["y"]) for r in got if len(r["x"])]
+    if len({y for _, y in documents}) < 2:
+        return Field.default()
+    return fit_field([(x, y) for (x, _), y in zip(documents, line_labels(documents))])
 
 
 def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_CONTENT) -> DataFrame:
@@ -153,8 +219,10 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     kept is false if base_failed (under 10 words, or over 20 % of them in repeated 5-word windows); else whether lines that the
     field's best path marks as content hold at least `least` of the characters. A null text counts as empty: no words, so not
-    kept. Null ids and repeated rows stay, each judged alone. Other columns are ignored. An empty table gives no rows.
+    kept. Null ids and repeated rows stay, each judged alone. Of labels of one score a line is content. A very long text is judged
+    whole, in time and memory proportional to its lines. Other columns are ignored. An empty table gives no rows.
     """
+
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -171,7 +239,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_CONTENT) -> DataFrame:
-    """The documents that judge() keeps, with all their columns; no shuffle."""
+    """The documents that judge() keeps, with all their columns and all rows of repeated ones; no shuffle."""
 
     @F.pandas_udf("boolean")
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

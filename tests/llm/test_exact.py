@@ -172,9 +172,29 @@ def test_viterbi_and_training():
 
         paths = [[k >> i & 1 for i in range(n)] for k in range(2**n)]
         assert score(field.viterbi(x).tolist()) == pytest.approx(max(map(score, paths)))
-    rows = [(r.normal(size=(6, len(quality_rules.FEATURES))) + (1.5 if y else -1.5), y) for y in [0, 1] * 40]
-    fitted = quality_rules.fit_field(rows[:40])
-    assert np.mean([np.mean(fitted.viterbi(x) == y) for x, y in rows[40:]]) > 0.95
+    rows = []
+    for _ in range(80):  # labels switch within a sequence; every third is left open
+        y = np.repeat(r.integers(0, 2, 4), r.integers(1, 4, 4))
+        rows.append((r.normal(size=(len(y), len(quality_rules.FEATURES))) + np.where(y, 1, -1)[:, None], y))
+    fitted = quality_rules.fit_field([(x, np.where(r.random(len(y)) < 0.3, quality_rules.UNKNOWN, y)) for x, y in rows[:40]])
+    assert np.mean(np.concatenate([fitted.viterbi(x) == y for x, y in rows[40:]])) > 0.97
+
+
+def test_expectations():
+    """Forward-backward against all paths, with lines held to a label and sequences of several lengths."""
+    r = np.random.default_rng(4)
+    sizes, moves, start = [6, 4, 4, 1], r.normal(size=(2, 2)), r.normal(size=2)
+    emit = r.normal(size=(6, 4, 2)) * 3
+    emit[2, 0, 1] = emit[3, 1, 0] = -1e4
+    p, pairs = quality_rules._expected(emit, moves, start, [sum(n > t for n in sizes) for t in range(6)])
+    for i, n in enumerate(sizes):
+        paths = np.array([[k >> t & 1 for t in range(n)] for k in range(2**n)])
+        score = np.array([start[y[0]] + sum(emit[t, i, a] for t, a in enumerate(y)) + sum(moves[a, b] for a, b in zip(y, y[1:])) for y in paths])
+        weight = np.exp(score - score.max())
+        weight /= weight.sum()
+        assert np.allclose(p[:n, i, 1], weight @ paths)
+        want = [[sum(w * np.sum((y[:-1] == a) & (y[1:] == b)) for w, y in zip(weight, paths)) for b in (0, 1)] for a in (0, 1)]
+        assert np.allclose(pairs[i], want)
 
 
 def test_near_pairs():

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -38,6 +40,38 @@ def test_quality_field(spark, docs, labels):
     assert quality_rules.judge(docs.limit(0), field).count() == 0
 
 
+JUNK = re.compile(r"!!|\*\*\*|\$\$\$|%%%|&&&|###| \| ")
+
+
+def test_quality_lines(spark, docs, labels):
+    """Texts joined from stretches of good documents' lines and of junk: the field, fitted on other documents' labels, marks the lines."""
+    field = quality_rules.train(docs, labels.where("doc_id % 2 = 0"))
+    held = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", F.explode(F.split("text", "\n")).alias("line")).orderBy("doc_id", "line").collect()
+    good = [x.line for x in held if x.quality == 1 and len(x.line.split()) > 2 and not JUNK.search(x.line)]
+    junk = [x.line for x in held if x.quality == 0 and JUNK.search(x.line)]
+    r, right, n, between = random.Random(3), 0, 0, 0
+    texts, shares = [], []
+    for _ in range(300):
+        truth = [y for y in (r.random() < 0.5 for _ in range(r.randint(2, 5))) for _ in range(r.randint(2, 6))]
+        texts.append("\n".join(r.choice(good if y else junk) for y in truth))
+        x, chars = quality_rules.line_features(texts[-1])
+        right, n = right + (field.viterbi(x) == truth).sum(), n + len(truth)
+        shares.append(chars[np.array(truth)].sum() / chars.sum())
+    assert right >= 0.98 * n
+    got = {x.doc_id: x.content_share for x in quality_rules.judge(frame(spark, texts), field).collect()}
+    assert np.mean([abs(got[i] - s) for i, s in enumerate(shares)]) < 0.03
+    assert sum(0 < got[i] < 1 for i, s in enumerate(shares) if 0.1 < s < 0.9) >= 0.95 * sum(0.1 < s < 0.9 for s in shares)
+
+
+def test_quality_training_is_fixed(spark, docs, labels):
+    """Repeated rows, ids labelled both ways and other partitions change nothing; extra columns don't clash."""
+    twice = labels.where("doc_id < 300").unionByName(labels.where("doc_id < 40").withColumn("quality", 1 - F.col("quality")))
+    texts = docs.where("doc_id < 300").withColumns({c: F.lit("clash") for c in ("_id", "_y", "_text", "a", "b", "x", "y")})
+    texts = texts.unionByName(texts.where("doc_id < 60").withColumn("text", F.lit("another text of one id.")))
+    fields = [quality_rules.train(t, twice) for t in (texts, texts.repartition(7), texts.repartition(3, "text"))]
+    assert all((f.weights == fields[0].weights).all() and (f.moves == fields[0].moves).all() for f in fields)
+
+
 def test_quality_classifier(spark, docs, labels):
     model = quality_classifier.train(docs, labels.where("doc_id % 2 = 0"))
     got = quality_classifier.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id")

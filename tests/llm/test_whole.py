@@ -57,8 +57,8 @@ def test_secrets_of_any_length_and_alphabet(spark):
 
 def test_secrets_held_out_through_the_candidates(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark))
-    held = secret_scan.labelled_findings(spark, secret_scan.FINDINGS + 2000).exceptAll(secret_scan.labelled_findings(spark)).localCheckpoint()
-    docs = held.select(F.monotonically_increasing_id().alias("doc_id"), F.concat(F.lit("some words, "), "before", "secret", "after").alias("text"), F.col("path").alias("source"), F.sha2("secret", 256).alias("want"), "label").localCheckpoint()
+    held = secret_scan.labelled_findings(spark, secret_scan.FINDINGS + 2000).exceptAll(secret_scan.labelled_findings(spark)).persist()
+    docs = held.select(F.monotonically_increasing_id().alias("doc_id"), F.concat(F.lit("some words, "), "before", "secret", "after").alias("text"), F.col("path").alias("source"), F.sha2("secret", 256).alias("want"), "label").persist()
     found = secret_scan.scan(docs, model).where("kept").select("doc_id", F.col("secret_sha256").alias("want")).distinct().withColumn("hit", F.lit(1))
     rate = {x.label: x.r for x in docs.join(found, ["doc_id", "want"], "left").groupBy("label").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r")).collect()}
     assert rate[1.0] > 0.95 and rate[0.0] < 0.05, rate
