@@ -20,6 +20,10 @@ VALUES, SHARE = 16, 0.1
 Z = 2.58
 #: Rows that the share of the level above counts for, and the purity below which a template is rejected.
 PRIOR, PURITY = 8.0, 0.5
+#: The name of merged branches.
+MERGED = "**"
+#: Endings of pages' names.
+EXTENSION = r"\.(?:html?|php|aspx?|jsp|xml|json|pdf|txt)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,43 +52,48 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _shape(segment: Column) -> Column:
-    """Of a variable segment: numbers become {n}; without a number, a wildcard."""
-    return F.when(segment.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(segment, "[0-9]+", "{n}"), "[^{}n./_-]+(?=[^a-zA-Z]*\\{n\\})", "*")).otherwise("*")
+    """Of a variable segment: each number becomes {n}, each run of other characters up to . _ or - a *, and *s one after the other
+    one *; a page's extension stays. So it never has two *s side by side."""
+    ending = F.regexp_extract(segment, f"({EXTENSION})$", 1)
+    stem = F.substr(segment, F.lit(1), F.length(segment) - F.length(ending))
+    stars = F.regexp_replace(F.regexp_replace(stem, "[0-9]+", "\u0001"), "[^\u0001._-]+", "*")
+    return F.concat(F.replace(F.regexp_replace(stars, "[*]([._-]+[*])+", "*"), F.lit("\u0001"), F.lit("{n}")), ending)
 
 
 def _segments(path: Column, depth: int) -> Column:
-    found = F.filter(F.split(path, "/"), lambda s: s != "")
+    """The path's segments that aren't empty, `depth` at most, the rest being one. Before a character that templates use, \\ * { or },
+    stands a \\."""
+    found = F.filter(F.split(F.regexp_replace(path, r"([\\*{}])", r"\\$1"), "/"), lambda s: s != "")
     return F.when(F.size(found) > depth, F.concat(F.slice(found, 1, depth - 1), F.array(F.array_join(F.slice(found, depth, 2**31 - 1), "/")))).otherwise(found)
 
 
 def templates(pages: DataFrame, depth: int = DEPTH, values: int = VALUES, share: float = SHARE) -> DataFrame:
-    """pages (with host and path) with a column more: the path's template, level by level from each host's root.
+    """pages (with host and path) with a column more: the path's template, an array of segments, level by level from each host's root.
 
     Where the distinct values below a node are many, and many for its rows, the segment is variable and becomes a wildcard; so
     does one of digits alone. Each level is one count of (node, segment) and one join with the variable nodes, which are few.
     """
-    rows = pages.withColumn("_segments", _segments(F.col("path"), depth)).withColumn("template", F.lit(""))
+    rows = pages.withColumn("_segments", _segments(F.col("path"), depth)).withColumn("template", F.array().cast("array<string>"))
     for level in range(depth):
-        segment = F.get("_segments", F.lit(level))
-        rows = rows.withColumn("_s", segment)
+        rows = rows.withColumn("_s", F.get("_segments", F.lit(level)))
         children = rows.where("_s is not null").groupBy("host", "template", "_s").agg(F.count(F.lit(1)).alias("n"))
         nodes = children.groupBy("host", "template").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
         variable = written(nodes.where((F.col("k") >= values) & (F.col("k") >= share * F.col("n"))).select("host", "template", F.lit(True).alias("_variable")), "variable")
         rows = rows.join(variable, ["host", "template"], "left")
         wild = F.coalesce("_variable", F.lit(False)) | F.col("_s").rlike("^[0-9]+$")
-        next_ = F.concat("template", F.lit("/"), F.when(wild, _shape(F.col("_s"))).otherwise(F.col("_s")))
+        next_ = F.concat("template", F.array(F.when(wild, _shape(F.col("_s"))).otherwise(F.col("_s"))))
         rows = rows.withColumn("template", F.when(F.col("_s").isNull(), F.col("template")).otherwise(next_)).drop("_variable", "_s")
     return rows.drop("_segments")
 
 
 def merged(stats: DataFrame, depth: int = DEPTH, z: float = Z) -> DataFrame:
-    """(host, template) -> branch, over a table of (host, template, labelled, bad), one row each.
+    """(host, template) -> branch, over a table of (host, template, labelled, bad), one row each; both are arrays of segments.
 
     From the leaves up, siblings whose share of bad rows is within z standard errors of what their parent's branches show
-    together become one branch, the parent's wildcard; a branch that stands out stays.
+    together become one branch, named MERGED, which no literal and no wildcard of a variable segment is; a branch that stands out
+    keeps its name. What lies below merged siblings counts as one where the names are the same.
     """
-    found = stats.select("host", "template", F.split(F.substr("template", F.lit(2)), "/").alias("branch"), "labelled", "bad")
-    found = found.withColumn("branch", F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.col("branch")))
+    found = stats.select("host", "template", F.col("template").alias("branch"), "labelled", "bad")
     for level in range(depth, 0, -1):
         deep = found.where(F.size("branch") >= level).withColumns({"up": F.slice("branch", 1, level - 1), "at": F.get("branch", F.lit(level - 1))})
         branches = deep.groupBy("host", "up", "at").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
@@ -93,10 +102,9 @@ def merged(stats: DataFrame, depth: int = DEPTH, z: float = Z) -> DataFrame:
         apart = F.abs(F.col("b") - p * F.col("l")) > z * F.sqrt(F.col("l") * p * (1 - p))
         stays = branches.join(together, ["host", "up"]).where(apart).select("host", "up", "at", F.lit(True).alias("_stays"))
         named = deep.join(stays, ["host", "up", "at"], "left")
-        rest = F.slice("branch", level + 1, depth)
-        named = named.withColumn("branch", F.concat("up", F.array(F.when(F.col("_stays"), F.col("at")).otherwise("*")), rest))
+        rest = F.slice("branch", level + 1, 2**31 - 1)
+        named = named.withColumn("branch", F.concat("up", F.array(F.when(F.col("_stays"), F.col("at")).otherwise(MERGED)), rest))
         found = written(named.select(found.columns).unionByName(found.where(F.size("branch") < level)), "branches")
-    found = found.withColumn("branch", F.concat_ws("/", F.array(F.lit("")), "branch"))
     return found.select("host", "template", "branch")
 
 
@@ -107,8 +115,9 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     rule's verdict; any other is blocked if its branch's purity, the share of good rows among the labelled ones, smoothed with
     the host's and that with the share over all pages, is below the limit. A null url, or one without ://, has an empty host
     and path and is judged by what such pages' labels show: nothing, so by the share over all. Null ids and repeated rows stay.
-    Null labels don't count. Other columns are ignored; an empty table gives no rows. A url's segments beyond the depth count
-    as one, so very long paths are no special case.
+    Null labels don't count; a key labelled both ways is bad. A branch exactly at the limit is allowed, and of rules of one length the
+    first by name wins. Other columns are ignored; an empty table gives no rows. A url's segments beyond the depth count as one, so
+    very long paths are no special case.
     """
     parts = pages.select(F.col(id_col), F.col(url_col).alias("_url")).withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))}).drop("_url")
     key = F.expr(r"try_cast(nullif(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1), '') as bigint)")
@@ -126,5 +135,5 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     known_templates = written(names.join(pure, ["host", "branch"]), "purity")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(known_templates, ["host", "template"]).select(
-        id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < purity, "block").otherwise("allow")).alias("verdict"), F.col("branch").alias("template"), "purity"
+        id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < purity, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -288,6 +289,101 @@ def test_urls(spark):
     assert url_filters.judge(df.limit(0), empty).count() == 0
 
 
+def brute_url_verdicts(pages, labels, depth=4, values=16, share=0.1, z=2.58, prior=8.0, purity=0.5):
+    """page -> (branch, purity, verdict) by plain loops over dictionaries."""
+    rows = {}
+    for page, url in pages:
+        host, _, path = url.split("://")[1].partition("/")
+        segments = [x for x in ("/" + path).replace("\\", "\\\\").replace("*", "\\*").replace("{", "\\{").replace("}", "\\}").split("/") if x]
+        rows[page] = [host, segments[: depth - 1] + (["/".join(segments[depth - 1 :])] if len(segments) >= depth else []), ()]
+
+    def shape(x):
+        ending = re.search(f"({url_filters.EXTENSION})$", x)
+        ending = ending[1] if ending else ""
+        out = []
+        for part in re.findall(r"[0-9]+|[._-]+|[^0-9._-]+", x[: len(x) - len(ending)]):
+            out.append("{n}" if part[0].isdigit() else part if part[0] in "._-" else "*")
+            if len(out) > 2 and out[-1] == out[-3] == "*" and out[-2][0] in "._-":
+                del out[-2:]
+        return "".join(out) + ending
+
+    for level in range(depth):
+        seen = defaultdict(Counter)
+        for host, segments, t in rows.values():
+            if len(segments) > level:
+                seen[host, t][segments[level]] += 1
+        for row in rows.values():
+            host, segments, t = row
+            if len(segments) > level:
+                n = seen[host, t]
+                wild = re.fullmatch("[0-9]+", segments[level]) or len(n) >= values and len(n) >= share * sum(n.values())
+                row[2] = (*t, shape(segments[level]) if wild else segments[level])
+    own = {}
+    for page, (host, _, t) in rows.items():
+        key = re.search("([0-9]{1,18})[^0-9]*$", dict(pages)[page].split("://")[1].partition("/")[2])
+        bad = labels.get(int(key[1])) if key else None
+        a = own.setdefault((host, t), [0, 0])
+        if bad is not None:
+            a[0], a[1] = a[0] + 1, a[1] + bad
+    branch = {k: k[1] for k in own}
+    for level in range(depth, 0, -1):
+        sums = defaultdict(lambda: np.zeros(2))
+        for k, b in branch.items():
+            if len(b) >= level:
+                sums[k[0], b[: level - 1], b[level - 1]] += own[k]
+        up = defaultdict(lambda: np.zeros(2))
+        for (host, b, _), x in sums.items():
+            up[host, b] += x
+        for k, b in branch.items():
+            if len(b) >= level:
+                (n, bad), (all_n, all_bad) = sums[k[0], b[: level - 1], b[level - 1]], up[k[0], b[: level - 1]]
+                p = (all_bad + 0.5) / (all_n + 1)
+                if not abs(bad - p * n) > z * math.sqrt(n * p * (1 - p)):
+                    branch[k] = (*b[: level - 1], "**", *b[level:])
+    total, hosts, branches = np.zeros(2), defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
+    for k, x in own.items():
+        total, hosts[k[0]] = total + x, hosts[k[0]] + x
+        branches[k[0], branch[k]] += x
+    smooth = lambda x, above: (x[1] + prior * above) / (x[0] + prior)
+    out = {}
+    for page, (host, _, t) in rows.items():
+        good = 1 - smooth(branches[host, branch[host, t]], smooth(hosts[host], (total[1] + 1) / (total[0] + 2)))
+        out[page] = ("/" + "/".join(branch[host, t]), good, "block" if good < purity else "allow")
+    return out
+
+
+def test_url_tree(spark):
+    """Random sites with literal, variable, numbered, starred, deep and spammy branches, against plain loops."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8)))
+    pages, labels = [], {}
+    for i in range(3000):
+        host = r.choice(["a.com", "a.com", "b.org", "c.io"])
+        kind = r.choice(["news", "shop", "spam", "*", "**", "{n}", "deep", "slug", "root"])
+        tail = {"deep": f"deep/x/y/z/{r.choice('pq')}/{i}", "slug": f"s/{i}-{word()}-{word()}.html", "root": f"{word()}{i}", "*": f"*/{i}", "**": f"**/{word()}/{i}", "{n}": f"{{n}}/{i}"}.get(kind, f"{kind}/{r.choice(['item', 'page'])}-{i}.html")
+        pages.append((i, f"http://{host}/{tail}"))
+        if r.random() < 0.6:
+            bad = {"spam": 0.95, "**": 0.8, "deep": 0.5}.get(kind, 0.05) if host != "c.io" else 0.4
+            labels[i] = int(r.random() < bad)
+    # a branch that stands out, named like a wildcard, beside merged siblings of other shapes
+    pages += [(5000 + i, f"http://d.net/list/{word()}{'' if i % 25 == 0 else i % 4 * '-'}{'' if i % 25 == 0 else i}") for i in range(520)]
+    labels |= {i: int(i % 7 == 0) for i in range(520) if i not in labels}
+    want = brute_url_verdicts(pages, labels)
+    got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "label_key long, bad int"), rules=()).collect()
+    assert {x.page_id: (x.template, round(x.purity, 9), x.verdict) for x in got} == {k: (a, round(b, 9), c) for k, (a, b, c) in want.items()}
+    assert sum(x.verdict == "block" for x in got) > 200
+
+
+def test_merged_branches_take_no_siblings_name(spark):
+    """Bad pages with segments of letters beside good ones in other shapes: they stand out, and nothing good is pooled with them."""
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rows = [(i, f"/p/{letters(i)}", 1) for i in range(20)] + [(20 + i, "/p/" + (f"{i}-{letters(i)}", f"{i}.{letters(i)}.{i}", f"{letters(i)}{i}", f"{i}_{i}")[i % 4], 0) for i in range(500)]
+    parts = spark.createDataFrame([(i, "h", p, b) for i, p, b in rows], "i int, host string, path string, bad int")
+    stats = url_filters.templates(parts).groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.sum("bad").alias("bad"))
+    got = {(tuple(x.template), tuple(x.branch)) for x in url_filters.merged(stats).collect()}
+    assert {b for t, b in got if t == ("p", "*")} == {("**", "*")} and {b for t, b in got if t != ("p", "*")} == {("**", "**")}
+
+
 def test_url_templates(spark):
     """Spam below one branch of one host: its template is rejected, others and the other hosts stay."""
     rows, labels = [], []
@@ -298,6 +394,6 @@ def test_url_templates(spark):
     rows += [(600 + i, f"http://b.com/news/{600 + i}") for i in range(60)]
     labels += [(600 + i, 0) for i in range(60)] + [(None, 1), (5, None)]
     got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "label_key long, bad int"), rules=()).collect()
-    assert {x.template for x in got if x.verdict == "block"} == {"/spam/*"} and sum(x.verdict == "block" for x in got) == 200
+    assert {x.template for x in got if x.verdict == "block"} == {"/spam/**"} and sum(x.verdict == "block" for x in got) == 200
     parts = spark.createDataFrame([(i, "a.com", f"/{'ab'[i % 2]}/x{i}") for i in range(200)], "i int, host string, path string")
-    assert {x.template for x in url_filters.templates(parts).collect()} == {"/a/*{n}", "/b/*{n}"}
+    assert {tuple(x.template) for x in url_filters.templates(parts).collect()} == {("a", "*{n}"), ("b", "*{n}")}
