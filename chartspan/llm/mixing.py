@@ -21,21 +21,26 @@ NO_SOURCE = "\u0000"
 
 
 def n_tokens(text: Column) -> Column:
-    """Words, the measure of a source's size; null counts as none."""
+    """Words, the native measure of a text's size; null counts as none. mix() takes another measure, as a tokenizer's counts, as a column."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
-def shares(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(source, docs, tokens, share) of sources with a token, one row each; a null source is one of its own."""
-    sizes = docs.groupBy(F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("source")).agg(F.count(F.lit(1)).alias("docs"), F.sum(n_tokens(F.col(text_col))).alias("tokens"))
-    sizes = written(sizes.where("tokens > 0"), "sources")
-    total = sizes.agg(F.sum("tokens").alias("_all"))  # one row
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokens: Column | None, seed: int) -> list[Column]:
+    """(source, tokens, place by hash) of a row. The hash is of id and text, so that rows without an id fall apart as well."""
+    size = n_tokens(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
+    return [F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("source"), size.alias("tokens"), F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)), F.lit(seed)).alias("h")]
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """(source, docs, tokens, share) of sources, one row each, from rows of (source, tokens); a source without a token has share 0."""
+    sizes = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "sources")
+    total = sizes.agg(F.greatest(F.sum("tokens"), F.lit(1)).alias("_all"))  # one row
     return sizes.join(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("_all")).drop("_all")
 
 
 def _measures(sources: DataFrame, exponents: list[float], budget: float | None) -> dict[float, tuple[float, float]]:
-    """exponent -> (entropy of the weights, most repetitions of a source), in one pass over the sources."""
-    tried = sources.withColumn("t", F.explode(F.array(*map(F.lit, exponents)))).withColumn("w", F.pow("share", "t"))
+    """exponent -> (entropy of the weights, most repetitions of a source), in one pass over the sources that have tokens."""
+    tried = sources.where("share > 0").withColumn("t", F.explode(F.array(*map(F.lit, exponents)))).withColumn("w", F.pow("share", "t"))
     per = F.col("w") / F.col("share")
     rows = tried.groupBy("t").agg(
         F.sum("w").alias("z"), F.sum(F.col("w") * F.log("w")).alias("wlog"), F.max(per).alias("most"), F.min(per).alias("least"), F.max(F.col("tokens") / F.col("share")).alias("all")
@@ -71,58 +76,80 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
 
 
 def weights(sources: DataFrame, t: float, budget: float | None = None) -> DataFrame:
-    """sources with (weight, quota in tokens). Without a budget, the least at which every source is wholly in once."""
-    raised = sources.withColumn("_w", F.pow("share", F.lit(t)))
-    z = raised.agg(F.sum("_w").alias("_z"), F.max(F.col("tokens") * 1.0 / F.col("_w")).alias("_scale"))  # one row
-    out = raised.join(F.broadcast(z)).withColumn("weight", F.col("_w") / F.col("_z"))
-    size = F.lit(float(budget)) * F.col("weight") if budget is not None else F.col("_scale") * F.col("_w")
+    """sources with (weight, quota in tokens). Without a budget, the least at which every source is wholly in once. A source without a
+    token has weight and quota 0."""
+    raised = sources.withColumn("_w", F.when(F.col("share") > 0, F.pow("share", F.lit(t))).otherwise(0.0))
+    z = raised.agg(F.sum("_w").alias("_z"), F.max(F.when(F.col("_w") > 0, F.col("tokens") * 1.0 / F.col("_w"))).alias("_scale"))  # one row
+    out = raised.join(F.broadcast(z)).withColumn("weight", F.when(F.col("_w") > 0, F.col("_w") / F.col("_z")).otherwise(0.0))
+    size = F.lit(float(budget)) * F.col("weight") if budget is not None else F.coalesce(F.col("_scale") * F.col("_w"), F.lit(0.0))
     return out.withColumn("quota", F.greatest(F.round(size), F.lit(0)).cast("long")).drop("_w", "_z", "_scale")
 
 
-def realise(docs: DataFrame, quotas: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 1) -> DataFrame:
-    """The rows of docs as often as their source's quota asks, with `mix_epoch`, `mix_block`, `mix_slot` and `mix_tokens`.
+def _block(h: Column, n: Column) -> Column:
+    return F.pmod(h, n).cast("int")
+
+
+def plan(rows: DataFrame, quotas: DataFrame, block_rows: int = BLOCK_ROWS, empty_epochs: int = 1) -> DataFrame:
+    """(source, quota, all, blocks, epochs, cut, end) from rows of (source, tokens, h), one row for each source of quotas.
 
     A source is dealt by hash to blocks of about block_rows rows. A quota is whole epochs of all its blocks and, in the last
-    epoch, the first blocks by number up to the quota and in the block where it ends the first rows by hash, the last of which
-    may go beyond it. So only block sums are ordered per source, and only the rows of the blocks where quotas end; the hottest
-    source costs a row per block. mix_slot in [0, 1) orders the mix: a source's blocks follow each other over it, rows permuted within
-    their block, so that every stretch has the weights.
+    epoch, the blocks below number `cut` and of this one the rows whose hash is at most `end`, the last of which may go beyond the
+    quota. So only block sums are ordered per source, and only the places of the blocks where quotas end; the hottest source
+    costs a row per block, and copies of a row are one place. A source without a token comes in empty_epochs times.
     """
-    source = F.coalesce(F.col(source_col), F.lit(NO_SOURCE))
-    known = quotas.select(F.col("source").alias("_source"), "docs", "quota", F.col("tokens").alias("_all"))
-    rows = docs.withColumns({"_source": source, "mix_tokens": n_tokens(F.col(text_col)), "_h": F.xxhash64(F.col(id_col), F.lit(seed))})
-    rows = rows.join(known, "_source").withColumn("mix_block", F.pmod("_h", F.greatest(F.ceil(F.col("docs") / block_rows), F.lit(1))).cast("int"))
-    sizes = rows.groupBy("_source", "mix_block").agg(F.sum("mix_tokens").alias("_size"), F.max("quota").alias("quota"), F.max("_all").alias("_all"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sizes.withColumn("_epochs", F.floor(F.col("quota") / F.col("_all"))).withColumn("_before", before)
-    room = F.col("quota") - F.col("_epochs") * F.col("_all") - F.col("_before")
-    blocks = blocks.select("_source", "mix_block", "_epochs", "_before", "_size", room.alias("_room"), (room >= F.col("_size")).alias("_whole"), ((room > 0) & (room < F.col("_size"))).alias("_cut"))
-    blocks = written(blocks, "blocks")
-    dealt = rows.drop("docs").join(blocks, ["_source", "mix_block"])
-    ends = Window.partitionBy("_source", "mix_block").orderBy("_h", F.xxhash64("_h"), F.col(id_col))
-    cut = dealt.where("_cut").withColumn("_run", F.sum("mix_tokens").over(ends.rowsBetween(Window.unboundedPreceding, -1)))
-    cut = cut.withColumn("_in", F.coalesce("_run", F.lit(0)) < F.col("_room")).drop("_run")
-    whole = dealt.where("not _cut").withColumn("_in", F.col("_whole"))
-    copies = F.col("_epochs") + F.col("_in").cast("long")
-    out = whole.unionByName(cut).where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    within = F.pmod(F.xxhash64("_h", "mix_epoch"), F.lit(1_000_000)) / 1_000_000  # the order within a block changes with the epoch
-    at = ((F.col("mix_epoch") - 1) * F.col("_all") + F.col("_before") + F.col("_size") * within) / F.col("quota")
-    out = out.withColumn("mix_slot", F.least(at, F.lit(1 - 1e-9)))
-    return out.drop("_source", "_h", "quota", "_all", "_epochs", "_before", "_size", "_room", "_whole", "_cut", "_in")
+    n = F.greatest(F.ceil(F.col("docs") / block_rows), F.lit(1))
+    each = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(empty_epochs)
+    known = written(quotas.select("source", "quota", F.col("tokens").alias("all"), n.alias("blocks"), each.alias("epochs")), "epochs")
+    placed = rows.join(known.select("source", "blocks"), "source").select("source", "tokens", "h", _block(F.col("h"), F.col("blocks")).alias("block"))
+    sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size")).join(known, "source")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = sizes.withColumn("room", F.col("quota") - F.col("epochs") * F.col("all") - before).where("room < size and all > 0")
+    cut = written(short.groupBy("source").agg(F.min(F.struct("block", "room")).alias("c")).select("source", F.col("c.block").alias("cut"), F.col("c.room").alias("room")), "cuts")  # room falls as the number grows
+    places = placed.join(cut.select("source", F.col("cut").alias("block"), "room").where("room > 0"), ["source", "block"]).groupBy("source", "room", "h").agg(F.sum("tokens").alias("n"))
+    run = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = places.withColumn("run", run).where("run < room").groupBy("source").agg(F.max("h").alias("end"))
+    return written(known.join(cut.select("source", "cut"), "source", "left").join(ends, "source", "left"), "plan")
+
+
+def realise(docs: DataFrame, planned: DataFrame, measures: list[Column]) -> DataFrame:
+    """The rows of docs as often as their source's quota asks, with `mix_epoch`, `mix_block`, `mix_slot` and `mix_tokens`.
+
+    mix_slot in [0, 1) orders the mix: a source's epochs and, in them, its blocks follow each other over it, rows permuted within
+    their block, so that every stretch has the weights. Rows meet one row of their source's plan and move no further.
+    """
+    row = docs.select(F.struct("*").alias("row"), F.struct(*measures).alias("m"))  # so that no name clashes
+    dealt = row.join(planned.select(F.struct("*").alias("b")), F.col("m.source") == F.col("b.source"))
+    dealt = dealt.withColumn("block", _block(F.col("m.h"), F.col("b.blocks")))
+    last = F.coalesce((F.col("block") < F.col("b.cut")) | ((F.col("block") == F.col("b.cut")) & F.coalesce(F.col("m.h") <= F.col("b.end"), F.lit(False))), F.lit(False))
+    copies = (F.col("b.epochs") + last.cast("long")).cast("int")
+    out = dealt.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), copies)))
+    within = F.pmod(F.xxhash64("m.h", "epoch"), F.lit(1_000_000)) / 1_000_000  # the order within a block changes with the epoch
+    at = F.col("epoch") - 1 + (F.col("block") + within) / F.col("b.blocks")
+    length = F.when(F.col("b.quota") > 0, F.col("b.quota") / F.col("b.all")).otherwise(F.greatest(F.col("b.epochs"), F.lit(1)))
+    return out.select(
+        *(F.col("row")[c].alias(c) for c in docs.columns), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.least(at / length, F.lit(1 - 1e-9)).alias("mix_slot"), F.col("m.tokens").alias("mix_tokens")
+    )
 
 
 def mix(
-    docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 1
+    docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 1, tokens: Column | None = None
 ) -> DataFrame:
-    """docs mixed to weights share ** exponent: see exponent() for the target, weights() for the budget, realise() for the rows.
+    """docs mixed to weights share ** exponent: see exponent() for the target, weights() for the budget, plan() and realise() for the rows.
+
+    tokens: a column of docs with each text's token count, as op 1 gives it; by default words are counted. Rows keep all their
+    columns, whatever their names; those named as the mix_ columns are replaced. Documents without a token count for nothing: they
+    follow their block. A source without any token has weight 0: its rows are in once without a budget, and not with one. Null
+    ids, null sources, very long texts and repeated rows are rows like any other. Rows of one id and text share a place: in the
+    block where a quota ends they come in together. An empty table gives no rows.
 
-    Rows keep all their columns (those that clash with the mix_ columns are replaced). Documents without a token count for
-    nothing: they follow their block. Sources without any token are left out. Null ids, null sources and repeated rows are rows
-    like any other. Ties by hash are broken by id; rows of one id are the same to the mix. An empty table gives no rows.
+    Texts are read twice: for (source, tokens, hash), written once, and for the rows themselves.
     """
     if (entropy is None) == (repeats is None):
         raise ValueError("either an entropy or a limit of repetitions")
     docs = docs.drop("mix_epoch", "mix_block", "mix_slot", "mix_tokens")
-    sources = written(shares(docs, text_col, source_col), "shares")
+    measures = _measured(docs, id_col, text_col, source_col, tokens, seed)
+    rows = written(docs.select(*measures), "sizes")
+    sources = written(shares(rows), "shares")
     t = exponent(sources, entropy, repeats, budget)
-    return realise(docs, written(weights(sources, t, budget), "quotas"), id_col, text_col, source_col, block_rows, seed)
+    quotas = written(weights(sources, t, budget), "quotas")
+    return realise(docs, plan(rows, quotas, block_rows, int(budget is None)), measures)

@@ -118,8 +118,8 @@ def test_mix(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), ("big", "mid", None)[0 if i < 2500 else 1 if i < 3000 else 2], "clash") for i in range(3060)] + [(None, "a b c", "big", "clash"), (7, None, "big", "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quota string").withColumns({c: F.lit("clash") for c in ("docs", "mix_block", "tokens", "_h2")})
-    docs = docs.drop("quota", "docs")
-    sources = mixing.shares(docs)
+    docs = docs.withColumns({c: F.lit("clash") for c in ("_source", "_in", "_all", "_size", "source_", "h", "b", "m", "row", "block", "epoch", "mix_slot")})
+    sources = mixing.shares(docs.select(*mixing._measured(docs, "doc_id", "text", "source", None, 1)))
     for budget in (None, 20_000.0):
         t = mixing.exponent(sources, repeats=3.0, budget=budget)
         quotas = {x.source: x for x in mixing.weights(sources, t, budget).collect()}
@@ -130,7 +130,7 @@ def test_mix(spark):
             assert 0 <= sums[s].a and sums[s].b < 1
         if budget is None:
             assert got.select("doc_id").distinct().count() == 3061 and {x.mix_epoch for x in got.collect()} == {1, 2, 3}
-        assert set(docs.columns) <= set(got.columns)
+        assert set(docs.columns) <= set(got.columns) and got.where("quota = 'clash' and docs = 'clash' and _in = 'clash' and b = 'clash'").count() == got.count()
         half = {x.source: x.n for x in got.where("mix_slot < 0.5").groupBy("source").agg(F.sum("mix_tokens").alias("n")).collect()}
         assert all(abs(half[s if s != mixing.NO_SOURCE else None] / q.quota - 0.5) < 0.12 for s, q in quotas.items())
     assert mixing.mix(docs, repeats=3.0, block_rows=64).count() == mixing.mix(docs.repartition(5), repeats=3.0, block_rows=64).count()
@@ -139,6 +139,49 @@ def test_mix(spark):
         mixing.mix(docs)
 
 
+def brute_mix(rows, exponent, blocks_of, budget=None):
+    """(doc_id, epoch) of the mix, by plain loops over rows of (doc_id, source, tokens, hash)."""
+    sources = {s: [x for x in rows if x[1] == s] for s in {x[1] for x in rows}}
+    total = {s: sum(x[2] for x in v) for s, v in sources.items()}
+    raised = {s: (t / sum(total.values())) ** exponent for s, t in total.items() if t}
+    scale = max(total[s] / w for s, w in raised.items())
+    out = []
+    for s, v in sources.items():
+        if not total[s]:
+            out += [(x[0], 1) for x in v if budget is None]
+            continue
+        left = round(budget * raised[s] / sum(raised.values())) if budget else round(scale * raised[s])
+        epochs, left = divmod(left, total[s])
+        n = max(1, -(-len(v) // blocks_of))
+        for e in range(epochs):
+            out += [(x[0], e + 1) for x in v]
+        for x in sorted(v, key=lambda x: (x[3] % n, x[3])):
+            if left > 0:
+                out.append((x[0], epochs + 1))
+                left -= x[2]
+    return sorted(out)
+
+
+def test_mix_rows(spark):
+    """Every row of the mix against plain loops; sources without a token, rows without an id, texts of no words."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randint(0, 20)) + f" {i}", r.choice(["a", "a", "a", "a", "b", "c"])) for i in range(900)] + [(1000 + i, "" if i % 2 else None, "blank") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = [(x.doc_id, x.source, x.tokens, x.h) for x in docs.select("doc_id", *mixing._measured(docs, "doc_id", "text", "source", None, 1)).collect()]
+    for budget in (None, 4000.0):
+        sizes = mixing.shares(docs.select(*mixing._measured(docs, "doc_id", "text", "source", None, 1)))
+        t = mixing.exponent(sizes, repeats=2.0, budget=budget)
+        got = mixing.mix(docs, repeats=2.0, budget=budget, block_rows=32)
+        assert sorted((x.doc_id, x.mix_epoch) for x in got.collect()) == brute_mix(seen, t, 32, budget)
+        assert got.where("source = 'blank'").count() == (9 if budget is None else 0)
+    twice = mixing.mix(docs, entropy=1.0, tokens=F.lit(2) * mixing.n_tokens(F.col("text")))
+    assert twice.where("mix_tokens <> 2 * regexp_count(text, '[^ ]+')").count() == 0
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    spread = mixing.mix(same, repeats=2.0, block_rows=64).groupBy("mix_block").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mix_slot").alias("k")).collect()
+    assert len(spread) == 63 and max(x.n for x in spread) < 130 and min(x.k for x in spread) > 20
+    assert mixing.mix(docs.where("source = 'blank'"), repeats=2.0).count() == 9 and mixing.mix(docs.where("source = 'blank'"), entropy=1.0, budget=10.0).count() == 0
+
+
 def test_secret_scan(spark):
     made = secret_scan.labelled_findings(spark, 6000)
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
