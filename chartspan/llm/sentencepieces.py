@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import os
 from array import array
 from collections.abc import Iterator
@@ -59,17 +60,27 @@ class Model:
                 node[""] = k
 
     def merged(self, word: str) -> list[str]:
-        """Byte-pair merges, as defined: of the pairs that form a piece the one of best score, leftmost first."""
-        parts = list(word)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Byte-pair merges, as defined: of the pairs that form a piece the one of best score, leftmost first. Pairs wait in a heap and
+        parts are linked to their neighbours, so that n characters cost about n log n."""
+        parts, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        ids, scores = self.ids, self.scores
+        pairs = [(-scores[k], i, p) for i in range(len(parts) - 1) if (k := ids.get(p := parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, piece = heapq.heappop(pairs)
+            j = after[i]
+            if not parts[i] or j == len(parts) or len(parts[i]) + len(parts[j]) != len(piece) or parts[i] + parts[j] != piece:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = piece, ""
+            k = after[i] = after[j]
+            if k < len(parts):
+                before[k] = i
+                if (n := ids.get(p := piece + parts[k])) is not None:
+                    heapq.heappush(pairs, (-scores[n], i, p))
+            h = before[i]
+            if h >= 0 and (n := ids.get(p := parts[h] + piece)) is not None:
+                heapq.heappush(pairs, (-scores[n], h, p))
+        return [p for p in parts if p]
 
     def _name(self, k: int) -> str:
         """A piece's text; characters that are no piece have numbers below zero."""
@@ -230,7 +241,7 @@ def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """One row per document: id, n_bytes, n_tokens, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text).
 
     The same encoding and decoding as encode() and decode(), in one pass, so that ids and texts stay in the worker. A null text
-    counts as empty. A text that holds U+2581 itself comes back with spaces for it, so its round_trip is false. Null ids and
+    counts as empty. A very long text, word or run of spaces is encoded whole, in time about proportional to its length. A text that holds U+2581 itself comes back with spaces for it, so its round_trip is false. Null ids and
     repeated rows stay. Other columns are ignored. An empty table gives no rows. No row leaves its partition.
     """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -94,6 +95,19 @@ def test_pieces(spark, sp):
     assert sentencepieces.summary(docs.limit(0), MODEL).count() == 0
 
 
+def test_long_runs(sp):
+    """Whole runs of spaces, marks and one letter, in about linear time; merges in any order of scores."""
+    model = sentencepieces.Model(MODEL)
+    for t in (" " * 100_000, "a" * 50_000 + " " * 30_000 + "b", "▁" * 20_000, ("ab " + " " * 997) * 60, "=" * 60_000, " \n" * 20_000):
+        began = time.perf_counter()
+        assert next(model.encode([t])).tolist() == sp.encode(t), t[:9]
+        assert time.perf_counter() - began < 5
+    r = random.Random(5)
+    for _ in range(3000):
+        t = "".join(r.choice([" ", " ", "  ", "t", "he", "in", "é", "\n", "="]) for _ in range(r.randint(1, 40)))
+        assert next(model.encode([t])).tolist() == sp.encode(t), repr(t)
+
+
 def brute_spans(t):
     out = [(*m.span(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(*m.span(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
