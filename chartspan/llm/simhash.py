@@ -162,33 +162,40 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return sorted_.mapInPandas(compare, "src long, dst long")
 
 
+def _classes(prints: DataFrame, radius: int, block: int, least: Column) -> DataFrame:
+    """(_fp, least): of each fingerprint's component the least of `least` over prints."""
+    nodes = written(prints.groupBy("_fp").agg(F.min(least).alias("_least")), "prints")
+    found = components(links(nodes.select("_fp"), radius, block))
+    rooted = nodes.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("component", "_fp")).select("_fp", "_root", "_least")
+    roots = rooted.groupBy("_root").agg(F.min("_least").alias("least"))
+    return rooted.join(roots, "_root").select("_fp", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable by links, itself included).
 
     Documents of one fingerprint are one node; nodes link at `radius` or fewer differing bits. A null or empty text, or one of
-    white space alone, has fingerprint zero and links like any other. Rows with a null id keep their fingerprint and take part;
-    they are never a component's id unless all its ids are null. Repeated rows stay. Other columns are ignored. An empty table
-    gives no rows.
+    white space alone, has fingerprint zero and links like any other. A very long text is read whole, in memory proportional to it.
+    Rows with a null id keep their fingerprint and take part; they are never a component's id unless all its ids are null.
+    Repeated rows stay. Other columns are ignored. An empty table gives no rows.
     """
-    prints = written(with_fingerprint(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "_text").select(id_col, "_fp"), "fingerprints")
-    nodes = prints.groupBy("_fp").agg(F.min(id_col).alias("_least"))
-    found = components(links(nodes.select("_fp"), radius, block))
-    least = (
-        nodes.join(found.withColumnRenamed("node", "_fp"), "_fp", "left")
-        .withColumn("_root", F.coalesce("component", "_fp"))
-        .select("_fp", "_root", "_least")
-    )
-    roots = least.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    known = least.join(roots, "_root").select("_fp", "component_id")
-    return prints.join(known, "_fp").select(F.col(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "_fp"), "fingerprints")
+    known = _classes(prints, radius, block, F.col("_id")).withColumnRenamed("least", "component_id")
+    return prints.join(known, "_fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: of each component the one of smallest id, the first of its repeated rows.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """The documents without near-duplicates: of each component one row, the first by id (nulls last) and text.
 
-    Columns and types stay. An id stands for a document: of rows that share an id, one stays. Rows with a null id, which
-    nothing can name, all stay.
+    Columns, whatever their names, and types stay. Different texts under one id are different documents: each component keeps one.
+    Rows without an id are documents like any other. Of rows of one id and text, any one stays. An empty table gives no rows.
+    Texts move once, to meet the rows that stay; copies of one of these are told apart by narrow numbers.
     """
-    kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    place = [F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("c"), F.xxhash64("_text", F.lit(11)).alias("d")]
+    prints = written(with_fingerprint(row.select("_id", "_text"), "_text").select("_fp", F.struct(*place).alias("at")), "fingerprints")
+    stays = written(_classes(prints, radius, block, F.col("at")).select("least").distinct(), "stays")
+    times = prints.join(stays, F.col("at") == F.col("least")).groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+    kept = row.join(written(times, "times"), F.struct(*place).eqNullSafe(F.col("least")))
+    once, more = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["least"])
+    return once.unionByName(more).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -256,6 +256,10 @@ def test_simhash(spark):
         assert {i: x.component_id for i, x in got.items()} == dict(enumerate(want))
     one = simhash.one_of_each(frame(spark, texts))
     assert sorted(x.doc_id for x in one.collect()) == sorted(set(want)) and one.columns == frame(spark, texts).columns
+    two = frame(spark, ["one text of its own, long enough to differ", "a wholly other text, of other words", "one text of its own, long enough to differ", None, ""], extra=True).withColumn("doc_id", F.when(F.col("doc_id") < 2, 5).when(F.col("doc_id") == 2, 9))
+    two = two.unionByName(two.where("doc_id = 5"))  # different texts under one id, rows repeated, rows without an id
+    assert sorted((x.doc_id or 0, x.text or "") for x in simhash.one_of_each(two).collect()) == [(0, ""), (5, "a wholly other text, of other words"), (5, "one text of its own, long enough to differ")]
+    assert simhash.one_of_each(two).columns == two.columns
     nameless = frame(spark, ["same text here"] * 3).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     assert {x.component_id for x in simhash.near_duplicates(nameless).collect()} == {1}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.one_of_each(frame(spark, [])).count() == 0
