@@ -30,6 +30,8 @@ CANDIDATE = "|".join([
 NEAR = 40
 #: Labelled findings that the forest is fitted on, its trees and their depth, and the share of trees that keeps a finding.
 FINDINGS, TREES, DEPTH, LIMIT = 4000, 24, 7, 0.5
+#: The forest samples by partition: a fixed number of them makes it the same on any cluster.
+PARTITIONS = 4
 #: Parts of words that names and placeholders are made of.
 WORDS = (
     "account", "admin", "alpha", "apple", "base", "beta", "build", "cache", "change", "client", "code", "config", "data", "date", "default", "demo", "dummy", "error", "example",
@@ -96,7 +98,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     sign = choose("g2", "&", "!", "@", "#", "$", "%", "^", "*", ".", ":", "?", "~")
     plain = choose("p", "the ", "and was ", "in ", "", "see ", "of ")
     width = choose("w", "16", "20", "32", "40", "64").cast("int")
-    rows = spark.range(n).withColumn("k", pick("kind", 16))
+    rows = spark.range(0, n, 1, PARTITIONS).withColumn("k", pick("kind", 16))
     k = F.col("k")
     secret = (
         F.when(k == 0, F.concat(F.lit("AKIA"), F.substr(F.translate(capital, "789", "XYZ"), F.lit(1), F.lit(16))))
@@ -144,8 +146,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", limit: float = LIMIT) -> DataFrame:
     """One row per candidate: id, start (code points), length, secret_sha256, probability, kept (probability >= limit).
 
-    Null and empty texts have no candidates. Null ids and paths and repeated rows stay; other columns are ignored. An empty
-    table gives no rows. No row leaves its partition.
+    Null and empty texts have no candidates; a very long text is searched whole, each run of characters looked at once. Null ids and
+    paths and repeated rows stay; a probability exactly at the limit is kept. Other columns are ignored. An empty table gives no
+    rows. No row leaves its partition.
     """
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs, id_col, text_col, path_col)))
     scored = model.transform(rows).withColumn("probability", F.round(F.get(vector_to_array("probability"), F.lit(1)), 9))
