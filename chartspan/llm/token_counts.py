@@ -57,16 +57,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     The cache is a Parquet table of (digest, n_tokens), one folder per tokenizer version. The digest is SHA-256 of the content,
     normalised no further than the tokenizer allows counts to stay exact: a null text becomes the empty one. Distinct digests
     that the cache lacks are encoded once each and appended; then all documents, repeated ones too, get their count by a join.
-    Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows.
+    Null ids and repeated rows stay. A very long text is encoded whole, by one worker. Other columns are ignored. An empty table gives
+    no rows. What is written and joined is of this run's digests alone, however large the cache.
     """
     spark, cache = docs.sparkSession, f"{cache_path}/{tokenizer_digest(tokenizer_path)}"
     hashed = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).withColumn("digest", F.sha2(F.encode("_text", "UTF-8"), 256))
     schema = "digest string, n_tokens long"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)  # so that the folder is there
-    known = spark.read.schema(schema).parquet(cache)
+    known = written(spark.read.schema(schema).parquet(cache).join(hashed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-hits")  # writers at a time may both have appended a digest
     misses = hashed.select("digest", "_text").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
-    count_misses(misses, tokenizer_path).write.mode("append").parquet(cache)
-    counts = spark.read.schema(schema).parquet(cache).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # writers at a time may both append a digest
-    counts = written(counts, "token-counts")  # so that the join's sides are plain and a digest that many rows share can be split
+    found = written(count_misses(misses, tokenizer_path), "token-misses")
+    found.write.mode("append").parquet(cache)
+    # plain sides, so that a digest that many rows share can be split
     sizes = hashed.select(id_col, F.octet_length("_text").cast("long").alias("n_bytes"), "digest")
-    return sizes.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return sizes.join(known.unionByName(found), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
