@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspan.llm.common import SPACES, written
 
 #: Labelled documents that the classifier is fitted on, at most, and the probability of good quality that a document needs.
 TRAIN_DOCS, LIMIT = 4000, 0.5
-#: What a site's difference from the rest counts against a document's own evidence.
-SITE_WEIGHT = 0.5
+#: What a site's difference from the rest counts against a document's own evidence: all of it, as in Bayes' rule.
+SITE_WEIGHT = 1.0
+#: A prior's strength, in labelled documents, where sites don't differ beyond chance.
+MOST_STRENGTH = 1e4
 FEATURES = ("words", "word_length", "upper", "symbols", "exclaims", "bars", "distinct", "line_copies", "ends", "digits", "long_words", "repeats")
 
 
@@ -67,17 +69,24 @@ class Classifier:
         return np.clip((self._wide(x.reshape(-1, len(FEATURES))) - self.mean) / self.scale @ self.weights, -12, 12)
 
 
+def _labels(labels: DataFrame, id_col: str) -> DataFrame:
+    """(_id, _y) of labelled documents, a row each; an id labelled both ways is bad."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y"))
+    return known.where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Classifier:
-    """Fits on the first `most` labelled documents by hash; only their features leave the executors."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
-    few = known.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(most)  # at most `most` rows of two numbers: broadcast
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
+    """Fits on the first `most` labelled documents by hash of id, rows that share an id by the hash of their texts: the same fit
+    whatever the order of rows. Only their features leave the executors."""
+    rank = F.xxhash64("_id", F.lit(5))
+    few = _labels(labels, id_col).orderBy(rank, "_id").limit(most)  # at most `most` rows of two numbers: broadcast
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select(rank.alias("a"), F.xxhash64("_text").alias("b"), "_y", "_text")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["_y"], "x": [features(t) for t in pdf["_text"]]})
+            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "y": pdf["_y"], "x": [features(t) for t in pdf["_text"]]})
 
-    got = chosen.mapInPandas(rows, "y int, x array<double>").limit(2 * most).collect()
+    got = chosen.mapInPandas(rows, "a long, b long, y int, x array<double>").orderBy("a", "b", "y").limit(most).collect()
     return Classifier.fit(np.array([r["x"] for r in got], np.float64), np.array([r["y"] for r in got], np.float64))
 
 
@@ -92,49 +101,59 @@ def with_evidence(docs: DataFrame, model: Classifier, text_col: str = "text", to
     return docs.withColumn(to, odds(F.col(text_col)))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """((host, path, n, host_rate, path_rate), the rate over all) from rows of (host, path, p).
+def site_counts(labelled: DataFrame) -> DataFrame:
+    """(host, path, n, good, hn, hgood): labelled documents and good ones of each site and of its host, from rows of (host, path, y)."""
+    paths = written(labelled.groupBy("host", "path").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
+    return written(paths.join(written(hosts, "hosts"), "host"), "sites")
 
-    A host's rate of good documents has a beta prior around the rate over all, a path's one around its host's; the priors'
-    strengths are fitted to how far the rates of hosts, and of paths within hosts, spread beyond chance (method of moments).
-    So a site of few documents has nearly the rate of the level above, and one of many its own. Groups are sums.
-    """
-    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood")), "hosts")
+
+def strength(groups: DataFrame, n: str, good: str, mean: Column) -> float:
+    """Of a beta prior around `mean`, in labelled documents, by the method of moments: groups of n rows with mean m have an expected
+    n (rate - m)^2 of m (1 - m) (1 + (n - 1) / (strength + 1)), so the spread beyond chance gives the strength."""
+    n_, off = F.col(n), (F.col(good) - F.col(n) * mean) ** 2 / F.col(n)
+    row = groups.where(n_ > 0).agg(F.sum(off / (mean * (1 - mean))).alias("spread"), F.sum(n_ - 1).alias("free"), F.count(F.lit(1)).alias("groups")).first()  # one row
+    if not row["free"] or row["spread"] <= row["groups"]:
+        return MOST_STRENGTH
+    return float(min(MOST_STRENGTH, max(0.5, row["free"] / (row["spread"] - row["groups"]) - 1)))
+
+
+def priors(sites: DataFrame) -> tuple[float, float, float]:
+    """(rate over all labelled documents, strength of the hosts' prior around it, strength of the paths' prior around their hosts)."""
+    hosts = sites.groupBy("host").agg(F.first("hn").alias("hn"), F.first("hgood").alias("hgood"))
     all_ = hosts.agg(F.sum("hn").alias("n"), F.sum("hgood").alias("good")).first()  # one row
-    rate = (all_["good"] or 0.0) / all_["n"] if all_["n"] else 0.5
-    rate = min(max(rate, 1e-4), 1 - 1e-4)
-
-    def strength(groups: DataFrame, n: str, good: str, mean) -> float:
-        """Pseudo-rows of the prior: mean * (1 - mean) over the spread beyond chance, less one; of one row."""
-        r = F.col(good) / F.col(n)
-        noise = mean * (1 - mean) / F.col(n)
-        row = groups.where(F.col(n) > 1).agg(F.avg((r - mean) ** 2 - noise).alias("spread"), F.avg(mean * (1 - mean)).alias("all")).first()
-        spread = row["spread"]
-        if spread is None or spread <= 1e-9:
-            return 1e4  # no spread beyond chance: sites hardly count
-        return float(min(1e4, max(1.0, row["all"] / spread - 1)))
-
-    k = strength(hosts, "hn", "hgood", F.lit(rate))
-    hosts = hosts.withColumn("host_rate", (F.col("hgood") + k * rate) / (F.col("hn") + k)).select("host", "host_rate")
-    both = written(paths.join(hosts, "host"), "sites")
-    k = strength(both, "n", "good", F.col("host_rate"))
-    return both.select("host", "path", "n", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), rate
-
-
-def judge(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", limit: float = LIMIT, weight: float = SITE_WEIGHT) -> DataFrame:
+    rate = ((all_["good"] or 0) + 1) / ((all_["n"] or 0) + 2)
+    k_host = strength(hosts, "hn", "hgood", F.lit(rate))
+    host_rate = (F.col("hgood") + k_host * rate) / (F.col("hn") + k_host)
+    return rate, k_host, strength(sites, "n", "good", host_rate)
+
+
+def posteriors(rate: float, k_host: float, k_path: float, own: Column, own_good: Column) -> tuple[Column, Column]:
+    """(host's, path's) rate of good documents as the others show it, own labels taken out: beta posterior means. So a site of few labelled
+    documents has nearly the rate of the level above, and one of many its own."""
+    host = (F.col("hgood") - own_good + k_host * rate) / (F.col("hn") - own + k_host)
+    return host, (F.col("good") - own_good + k_path * host) / (F.col("n") - own + k_path)
+
+
+def judge(
+    docs: DataFrame, model: Classifier, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", limit: float = LIMIT, weight: float = SITE_WEIGHT
+) -> DataFrame:
     """One row per document: id, host, path, n_site, evidence (the classifier's), host_rate, path_rate, probability, kept.
 
-    The log odds are the evidence plus `weight` times how far the path's posterior lies from the rate over all. Null hosts and
-    paths are sites of their own, named by an empty string. A null text counts as empty: its features are zeros. Null ids and
-    repeated rows stay, each counted. Other columns are ignored. An empty table gives no rows.
+    A site's rate comes from the labels of all its documents but the one judged, shrunk to its host's and that to the rate over all;
+    the classifier's evidence comes from the text. The two are added as log odds: the evidence plus `weight` times how far the
+    path's posterior lies from the rate over all, so nothing counts twice. n_site counts the site's labelled documents.
+    Null hosts and paths are sites of their own, named by an empty string. A null text counts as empty: its features are zeros; a very
+    long one is read whole. An id labelled both ways is bad; rows that share a labelled id each count. A probability exactly at the
+    limit is kept. Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows.
     """
-    named = docs.select(F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("_text"))
-    scored = written(with_evidence(named, model, "_text").drop("_text").withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "evidence")
-    sites, rate = site_posteriors(scored)
+    named = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("_text"))
+    scored = written(with_evidence(named, model, "_text").drop("_text").join(_labels(labels, id_col), "_id", "left").withColumnRenamed("_y", "y"), "evidence")
+    sites = site_counts(scored)
+    rate, k_host, k_path = priors(sites)
     odds = lambda p: F.log(p / (1 - p))
-    found = scored.join(written(sites, "site-rates"), ["host", "path"])
-    kept_off = F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
-    total = F.col("evidence") + weight * (odds(kept_off) - odds(F.lit(rate)))
+    host_rate, path_rate = posteriors(rate, k_host, k_path, F.col("y").isNotNull().cast("long"), F.coalesce("y", F.lit(0)))
+    found = scored.join(sites, ["host", "path"]).withColumns({"host_rate": host_rate, "path_rate": path_rate})
+    total = F.col("evidence") + weight * (odds(F.col("path_rate")) - odds(F.lit(rate)))
     found = found.withColumn("probability", 1 / (1 + F.exp(-total)))
-    return found.select(id_col, "host", "path", F.col("n").alias("n_site"), "evidence", "host_rate", "path_rate", "probability", (F.col("probability") >= limit).alias("kept"))
+    return found.select(F.col("_id").alias(id_col), "host", "path", F.col("n").alias("n_site"), "evidence", "host_rate", "path_rate", "probability", (F.col("probability") >= limit).alias("kept"))

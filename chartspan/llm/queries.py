@@ -33,8 +33,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source is its host, its language the path below."""
-    docs = _table(spark, sf_dir, "documents")
-    return quality_classifier.judge(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality_classifier.judge(docs, quality_classifier.train(docs, labels), labels)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

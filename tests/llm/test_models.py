@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -73,23 +74,72 @@ def test_quality_training_is_fixed(spark, docs, labels):
 
 
 def test_quality_classifier(spark, docs, labels):
-    model = quality_classifier.train(docs, labels.where("doc_id % 2 = 0"))
-    got = quality_classifier.judge(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    half = labels.where("doc_id % 2 = 0")
+    model = quality_classifier.train(docs, half)
+    got = quality_classifier.judge(docs, model, half).join(labels.where("doc_id % 2 = 1"), "doc_id")
     assert got.where("kept = (quality = 1)").count() >= 0.97 * got.count()
-    odd = quality_classifier.judge(frame(spark, ODD, extra=True).withColumn("source", F.when(F.col("doc_id") > 3, "s")), model, path_col="_text").collect()
+    odd = quality_classifier.judge(frame(spark, ODD, extra=True).withColumn("source", F.when(F.col("doc_id") > 3, "s")), model, labels, path_col="_text").collect()
     assert len(odd) == len(ODD) and all(math.isfinite(x.probability) for x in odd)
-    assert quality_classifier.judge(docs.limit(0), model).count() == 0
-    assert quality_classifier.judge(docs, quality_classifier.train(docs, labels.limit(0))).count() == docs.count()
-
-
-def test_sparse_sites_shrink(spark):
-    """Hosts of many documents keep their own rates; one of a single document gets nearly the rate over all."""
-    rows = [(h, "x", p) for h, p in (("a", 0.5), ("b", 0.6), ("c", 0.7)) for _ in range(500)] + [("d", "y", 0.05)]
-    sites, rate = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
-    got = {x.host: x.path_rate for x in sites.collect()}
-    assert rate == pytest.approx((900 + 0.05) / 1501, abs=1e-6)
-    assert [got[h] for h in "abc"] == [pytest.approx(p, abs=0.02) for p in (0.5, 0.6, 0.7)]
-    assert 0.05 < got["d"] < rate and rate - got["d"] < 0.5 * (rate - 0.05)
+    assert quality_classifier.judge(docs.limit(0), model, labels).count() == 0
+    assert quality_classifier.judge(docs, quality_classifier.train(docs, labels.limit(0)), labels.limit(0)).count() == docs.count()
+
+
+def test_sites_posteriors(spark):
+    """Rates and strengths against plain sums; sites of many labels keep their own rates, sparse ones get nearly the level above's."""
+    r = random.Random(2)
+    rows = [(h, p, int(r.random() < q)) for h, p, q, n in (("a", "x", 0.9, 400), ("a", "y", 0.5, 400), ("b", "x", 0.3, 400), ("b", "z", 0.1, 3), ("c", "x", 0.7, 400)) for _ in range(n)]
+    rows += [("d", "y", 0), ("e", "y", None)]
+    sites = quality_classifier.site_counts(spark.createDataFrame(rows, "host string, path string, y int"))
+    rate, k_host, k_path = quality_classifier.priors(sites)
+    known = [x for x in rows if x[2] is not None]
+    assert rate == pytest.approx((sum(y for *_, y in known) + 1) / (len(known) + 2))
+
+    def brute(groups, mean):
+        groups = [(np.array(v), mean(k)) for k, v in groups.items() if v]
+        spread = sum(len(v) * (v.mean() - m) ** 2 / (m * (1 - m)) for v, m in groups)
+        return min(1e4, max(0.5, (sum(len(v) for v, _ in groups) - len(groups)) / (spread - len(groups)) - 1))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, p, y in known:
+        hosts[h].append(y)
+        paths[h, p].append(y)
+    assert k_host == pytest.approx(brute(hosts, lambda k: rate))
+    host_rate = {h: (sum(v) + k_host * rate) / (len(v) + k_host) for h, v in hosts.items()}
+    assert k_path == pytest.approx(brute(paths, lambda k: host_rate[k[0]]))
+    own = F.lit(0)
+    got = {(x.host, x.path): x for x in sites.select("host", "path", *(c.alias(n) for c, n in zip(quality_classifier.posteriors(rate, k_host, k_path, own, own), ("h", "p")))).collect()}
+    assert all(got[k].p == pytest.approx((sum(v) + k_path * host_rate[k[0]]) / (len(v) + k_path)) for k, v in paths.items())
+    assert abs(got["a", "x"].p - 0.9) < 0.05 and abs(got["a", "y"].p - 0.5) < 0.06 and got["e", "y"].p == pytest.approx(rate) and got["d", "y"].p > 0.15
+
+
+def test_query_where_sites_differ(spark, tmp_path):
+    """The registered query on a table whose sites differ: texts of doubtful evidence follow their site, clear ones don't, a document's own
+    label changes nothing for itself, and a bad label on a site of one hardly counts."""
+    r = random.Random(6)
+    good = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(60)) + "."
+    bad = lambda: " ".join("".join(r.choice("ABCDEFGHIJ") for _ in range(r.randint(2, 8))) + "!!" for _ in range(60))
+    doubtful = lambda: " ".join(w if i % 2 else w.upper() + "!!"[: r.randint(0, 2)] for i, w in enumerate(good().split()))
+    rows, labels = [], []
+    for i in range(3000):
+        site, y = ("clean", "dirty", "mixed")[i % 3], 0
+        y = int(r.random() < {"clean": 0.95, "dirty": 0.1, "mixed": 0.55}[site])
+        text = (good() if y else bad()) if i % 5 else doubtful()
+        rows.append((i, text, "en", site, 1))
+        if i % 2:
+            labels.append((i, y, 0))
+    rows += [(4000, doubtful(), "en", "lonely", 1), (4001, doubtful(), "en", "unknown", 1)]
+    labels.append((4000, 0, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in queries.op3_quality_classifier(spark, str(tmp_path)).collect()}
+    assert len(got) == 3002
+    unsure = [i for i in range(3000) if i % 5 == 0 and i % 2 == 0]
+    kept = {s: np.mean([got[i].kept for i in unsure if i % 3 == s]) for s in range(3)}
+    assert kept[0] > 0.9 and kept[1] < 0.3 and kept[1] < kept[2] < kept[0], kept
+    flipped = sum(got[i].kept != (got[i].evidence >= 0) for i in range(3000))
+    assert flipped > 50
+    assert all(got[i].kept for i in range(3000) if i % 5 and got[i].evidence > 6) and not any(got[i].kept for i in range(3000) if i % 5 and got[i].evidence < -6)
+    assert got[4000].path_rate == pytest.approx(got[4001].path_rate)  # its own label taken out, nothing is known of its site
 
 
 def brute_exponent(shares, done):
