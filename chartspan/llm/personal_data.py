@@ -30,18 +30,22 @@ _CUT_BEFORE, _CUT_AFTER = re.compile(r"[0-9]([ ().\-/]{0,2})\Z"), re.compile(r"[
 _AT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
 #: Neighbouring words that speak for a kind, and for none.
 CUES = (
-    ("mail", "email", "contact", "write", "reach"),
+    ("mail", "email", "contact", "write", "reach", "reply"),
     ("ip", "server", "host", "address", "client", "ping"),
-    ("card", "visa", "mastercard", "amex", "credit", "payment"),
-    ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "sms"),
+    ("card", "visa", "mastercard", "amex", "credit", "payment", "paid", "debit", "expires", "exp"),
+    ("phone", "phones", "tel", "telefon", "telephone", "call", "calls", "ring", "dial", "mobile", "cell", "handy", "fax", "hotline", "whatsapp", "sms", "reach", "contact", "ext"),
 )
+#: Endings of addresses that are spelled out.
+TOPS = ("com", "org", "net", "edu", "gov", "info", "example", "io", "eu", "de", "fr", "es", "it", "nl", "ch", "at", "uk", "us", "ca", "au", "jp", "cn", "br")
 COUNTER_CUES = ("version", "isbn", "order", "invoice", "page", "pages", "year", "article", "section", "id", "no", "number", "price", "score", "figure", "table", "serial", "doi", "release")
 CONTEXT = 32
 #: Digits of the longest number that is proposed as a part of a run, and proposals that are looked at together.
 MOST_DIGITS, AT_ONCE = 19, 20_000
 #: Examples that the trees are fitted on, half of them held out for the thresholds, and the precision these must show: the lower
 #: end of its 95 % interval (Wilson's, of one side), so that a lucky run of few spans sets no threshold.
-EXAMPLES, PRECISION, SURE = 8000, 0.98, 1.64
+EXAMPLES, PRECISION, SURE = 12_000, 0.97, 1.64
+#: A threshold's least value, however good the spans below it look.
+LEAST = 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -161,6 +165,8 @@ def features(text: str, span: Span) -> list[float]:
         float(any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)), float(len(set(digits)) <= 2),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in ("$", "€", "#", "v", ".", "=", "/")), float(after[:1] in ("%", "€", "/", ".") and after[1:2].isalnum()),
         *(float(bool(m)) for m in goes_on), *(float(bool(m) and " " not in m[1]) for m in goes_on),
+        float(value.lower().split(".")[-1].split(" ")[-1] in TOPS), float(bool(digits) and digits[0] in "3456"), float(len(digits) in (13, 15, 16)), float(digits[:1] == "0"),
+        float([len(g) for g in groups] in ([3, 3, 4], [1, 3, 3, 4])), float([len(g) for g in groups] in ([4, 4, 4, 4], [4, 6, 5], [13], [15], [16])), float(len(set(map(len, groups[1:]))) == 1 and len(groups) > 3),
         len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, len(set(re.split(r"[0-9]+", value)[1:-1])),
         float("(at)" in value.lower() or "[at]" in value.lower()), float(" dot " in value.lower() or "dot)" in value.lower() or "dot]" in value.lower()),
     ]
@@ -171,35 +177,56 @@ def _example(r: random.Random) -> tuple[str, Span, int]:
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9)))
     many = lambda n: " ".join(word() for _ in range(n))
     number = lambda *sizes: [str(r.randint(10 ** (n - 1), 10**n - 1)) for n in sizes]
-    kind, true = r.randrange(4), r.random() < 0.5
-    cue = r.choice(CUES[kind]) if true and r.random() < 0.9 else ""
+    kind, true = r.choice((0, 1, 2, 2, 3, 3, 3)), r.random() < 0.5
+    clear = False  # whether a true value speaks for itself
     if kind == 0:
         at, dot = (r.choice([" (at) ", "(at)", " [at] ", "[at]", " at "]), r.choice([" (dot) ", " [dot] ", " dot ", "."])) if true else (" at ", ".")
-        value = word() + at + word() + dot + r.choice(["com", "org", "net", "de"])
+        clear = "(" in at or "[" in at
+        value = word() + at + word() + (dot + word() if r.random() < 0.3 else "") + dot + r.choice(TOPS)
         if not true:
-            value = word() + " at " + word() + "." + r.choice([word(), word().title()])
+            value = word() + r.choice([" at ", " at "]) + word() + r.choice([".", " dot "]) + r.choice([word(), word().title()])
     elif kind == 1:
-        value = "-".join(number(*r.choice([(3, 2, 3, 2), (2, 3, 2, 1)]))) if not true and r.random() < 0.3 else ".".join(str(r.randint(0, 255 if true else 999)) for _ in range(4))
+        value = "-".join(number(*r.choice([(3, 2, 3, 2), (2, 3, 2, 1)]))) if not true and r.random() < 0.3 else ".".join(str(r.randint(0, 255)) for _ in range(4))
+        if not true and "-" not in value and r.random() < 0.6:
+            value = re.sub("[0-9]+$", str(r.randint(256, 999)), value) if r.random() < 0.5 else re.sub("^[0-9]+", str(r.randint(256, 999)), value)
         value = value + "." if false_version(r, true) else value
     elif kind == 2:
-        sep = r.choice([" ", "-", "."])
-        digits = "".join(number(4, 4, 4, 3))
-        digits += next(c for c in "0123456789" if luhn(digits + c) == True) if true else r.choice("0123456789")  # noqa: E712
-        value = sep.join(digits[i : i + 4] for i in range(0, 16, 4)) if r.random() < 0.6 else digits
-        true = true and luhn(digits)
+        sizes = r.choice([(4, 4, 4, 4), (4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5), (13,)])
+        digits = r.choice("3456" if true or r.random() < 0.5 else "123456789") + "".join(number(sum(sizes) - 2))
+        digits += next(c for c in "0123456789" if luhn(digits + c)) if true else r.choice([c for c in "0123456789" if not luhn(digits + c)])
+        at = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+        value = r.choice([" ", "-", "."]).join(digits[i:j] for i, j in zip(at, at[1:])) if r.random() < 0.6 else digits
+        clear = len(digits) > 13
     else:
         a, b, c = number(3, 3, 4)
-        value = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"0{a[:2]}/{b}{c}", f"00{r.randint(1, 99)} {a} {b} {c}", f"{a}.{b}.{c}"])
+        two = lambda n: " ".join(f"{r.randint(0, 99):02d}" for _ in range(n))
+        shape = r.randrange(14)
+        clear = shape < 6
+        value = [
+            f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"1-{a}-{b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"({a}) {b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"0{a[:2]}/{b}{c}", f"0{a} {b}{c}", f"0{r.randint(1, 9)} {two(4)}",
+            f"0{c} {a}{b}", f"00{r.randint(1, 99)} {a} {r.choice([f'{b} {c}', b + c])}", f"00 {r.randint(11, 99)} {a[:2]} {c} {number(4)[0]}",
+        ][shape]
         if not true:
-            value = r.choice([f"20{a[:2]}-0{b[0]}-1{c[0]}", f"{a}{b}{c}", f"{a} {b} {c}", f"978-{a[0]}-{b}-{c}{a[1:]}-{b[0]}", f"{a}.{b}{c}", f"{a}-{b}-{c}", f"20{a[:2]} 20{b[:2]}"])
-    counter = r.choice(COUNTER_CUES) if not true and r.random() < 0.6 else ""
-    lead = " ".join(x for x in (many(r.randint(0, 3)), cue or counter, r.choice(["", "", "is", "me"])) if x)
-    lead += r.choice([" ", ": "]) if lead else ""
+            value = r.choice([
+                f"20{a[:2]}-0{b[0]}-1{c[0]}", f"{a}{b}{c}", f"{a} {b} {c[:3]}", f"{a[:1]} {b} {c[:3]}", f"978-{a[0]}-{b}-{c}{a[1:]}-{b[0]}", f"{a}.{b}{c}", f"{a}-{b}-{c[:3]}", f"20{a[:2]} 20{b[:2]}", f"19{a[:2]}-19{b[:2]}", f"{a[:2]}.{b[:2]}.20{c[:2]}",
+                f"{c} {number(4)[0]} {number(4)[0]}", f"{c}-{a}-{c}", " ".join(number(*[r.randint(1, 3)] * r.randint(5, 8))), f"{a}000 {b}0000", f"{a}-{c}-{b}{c}", f"{a}-{b}-{c}", "".join(r.choice("0123456789") for _ in range(r.randint(7, 16))), "0" * r.randint(1, 2) + "".join(number(r.randint(9, 14))),
+            ])
+    broken = kind == 1 and any(int(x) > 255 for x in re.findall("[0-9]+", value)) or kind == 2 and not true  # a cue makes no address or card of it
+    cued = r.random() < (0.4 if broken else 0 if not true else 0.75 if clear else 0.97)
+    cue = r.choice(CUES[kind]) if cued else ""
+    counter = r.choice(COUNTER_CUES) if not true and (r.random() < 0.6 or kind == 3 and re.fullmatch("[0-9]{3}-[0-9]{3}-[0-9]{4}", value)) else ""
+    filler = r.choice(["", "", "is", "me", "number", "on", "us", "at", "no"]) if cue else r.choice(["", "", "is", "of"])
+    lead = " ".join(x for x in (many(r.randint(0, 3)), cue or counter, filler) if x)
+    lead = f"| {word()} | " if clear and not cue and r.random() < 0.3 else lead + (r.choice([" ", " ", ": ", ". "]) if lead else "")
     beside = lambda: _beside(r, number) if kind and r.random() < 0.4 else ""
     left, right = beside(), beside()
     lead += f"{left} " if left else ""
-    text = f"{lead}{value}{f' {right}' if right else ''}{r.choice([' ', '. ', ', ', ''])}{many(r.randint(0, 3))}"
+    text = f"{lead}{value}{f' {right}' if right else ''}{r.choice([' ', '. ', ', ', '', ' | '])}{many(r.randint(0, 3))}"
     span = (len(lead), len(lead) + len(value), kind)
+    if kind > 1 and not true and r.random() < 0.1:  # a run of digits within a longer name
+        left, right = ("".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 12))) + r.choice("abcdef") for _ in range(2))
+        digits = "".join(number(r.randint(7, 16)))
+        return f"{lead}{left}{digits}{right[::-1]} {many(2)}", (len(lead) + len(left), len(lead) + len(left) + len(digits), kind), 0
     if kind and r.random() < (0.5 if left or right else 0.25):
         known = {(m.start(), m.end()) for x in (left, right) if x for m in re.finditer(re.escape(x), text)} | {span[:2]}
         cut = [c for c in candidates(text) if c[0] < span[1] and span[0] < c[1] and c[:2] not in known]
@@ -222,7 +249,7 @@ def false_version(r: random.Random, true: bool) -> bool:
 @functools.lru_cache(2)
 def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted, list[float]]:
     """(trees, a threshold for each kind): fitted on one half of `examples` made-up labelled spans; each threshold is the least
-    at which the other half's spans of the kind surely show the PRECISION."""
+    at which the other half's spans of the kind surely show the PRECISION, and no less than LEAST."""
     r = random.Random(seed)
     made = [_example(r) for _ in range(examples)]
     x = np.array([features(t, s) for t, s, _ in made], np.float64)
@@ -238,7 +265,7 @@ def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted,
         low = (right + SURE**2 / (2 * n) - SURE * np.sqrt(right * (1 - right) / n + SURE**2 / (4 * n**2))) / (1 + SURE**2 / n)
         ends = np.append(np.diff(p[own][order]) < 0, True)  # spans of one probability come in together
         good = np.flatnonzero((low >= PRECISION) & ends)
-        limits.append(float(p[own][order][good[-1]]) if len(good) else 1.1)
+        limits.append(max(LEAST, float(p[own][order][good[-1]])) if len(good) else 1.1)
     return trees, limits
 
 
@@ -267,7 +294,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document: id, n_email, n_ip, n_card, n_phone (of the rules), base_sha256, spans (all), n_added.
 
     A null text counts as empty; a text without spans has empty strings' digest and spans. Spans of one start are ordered by
-    kind. Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows. No row leaves its partition.
+    kind; of proposals that overlap, the likelier is taken, of equally likely ones the first proposed. A very long text is read whole, its
+    proposals AT_ONCE at a time. Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows. No row
+    leaves its partition.
     """
     model = trained()
 
