@@ -43,9 +43,10 @@ def in_block_pairs(members: DataFrame, key: list[str], order: Column, block: int
     """Deals the rows of each key to comparison groups of at most about 2 * block rows, so that any two rows of a key meet.
 
     Adds `chunk`, `pair_lo`, `pair_hi`. A key of up to `block` rows stays whole (0, 0). A larger one is hashed by `order` into chunks of
-    about `block` rows and each chunk meets each: a row is copied once per chunk, never once per row.
+    about `block` rows and each chunk meets each: a row is copied once per chunk, never once per row. The counts of large keys are
+    written first, so that the planner knows their size: few go to all tasks, and of many a hot key's side can be split.
     """
-    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    counts = written(members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block), "large-keys")
     chunks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     dealt = (
         members.join(counts, key, "left")

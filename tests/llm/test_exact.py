@@ -290,6 +290,26 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id >= 1701")).count() == df.where("vec_id >= 1701").count()
 
 
+def test_embeddings_split_within_spark(spark, monkeypatch):
+    """64 dimensions, a driver's sample too small for the table: large leaves are split in rounds on samples of their own; a dense
+    group stays one leaf, dealt to block pairs. Links and components against all pairs."""
+    r = np.random.default_rng(5)
+    rows = np.vstack([r.normal(size=(2600, 64)), np.repeat(r.normal(size=(300, 64)), 3, axis=0) + r.normal(size=(900, 64)) * 0.2, r.normal(size=64) + r.normal(size=(500, 64)) * 0.15])
+    rows = rows[r.permutation(len(rows))]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = groups(len(rows), [(int(i), int(j)) for i, j in zip(*np.nonzero(near))])
+    df = spark.createDataFrame([(i, x.tolist(), "clash") for i, x in enumerate(rows)], "vec_id long, embedding array<double>, code string")
+    rounds = []
+    monkeypatch.setattr(embedding_dedup, "written", lambda d, name: rounds.append(name) or common.written(d, name))
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, sample=100, leaf=48, block=128).collect()}
+    assert rounds.count("cuts") >= 1  # some leaves were split within Spark
+    assert all(got[i].n_links <= near[i].sum() for i in got)
+    assert sum(x.n_links for x in got.values()) >= 0.98 * near.sum()
+    assert np.mean([got[i].component_id == want[i] for i in got]) > 0.98
+
+
 URLS = [
     (None, "", "", None), ("no scheme", "", "", None), ("HTTP://Ex.NET", "ex.net", "", None), ("http://ex.net/?q", "ex.net", "/", "net/"), ("a://b://c/d", "b:", "//c/d", None), ("http://É.ORG/fr/x#y", "É.org", "/fr/x", "org/fr/"),
     ("http://x.org/fr", "x.org", "/fr", None), ("http://net/", "net", "/", "net/"), ("http://internet/", "internet", "/", None), ("http://a.example.net/en/1?x=/de/", "a.example.net", "/en/1", "example.net/en/"),
