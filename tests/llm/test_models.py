@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -257,12 +257,13 @@ def test_queries_run(spark):
     assert queries.op2_url_filters(spark, small).count() == spark.read.parquet(f"{small}/pages.parquet").count()
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept, seen = docs, []
     for name, stage in corpus_pipeline.STAGES:
         before = kept
-        kept = stage(spark, before, DATA).persist()
+        stage(spark, before, DATA).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
         seen.append((name, kept.count()))
         if name == "personal_data":
             assert kept.where("text rlike '[A-Za-z0-9]@[A-Za-z0-9-]+[.][a-z]'").count() == 0 and kept.count() == before.count()
@@ -274,6 +275,32 @@ def test_pipeline(spark):
     texts = {x.doc_id: x.text for x in before.collect()}
     assert all(x.n_tokens == len(sp.encode(texts[x.doc_id])) for x in kept.collect())
     assert sorted(x.ids_sha256 for x in corpus_pipeline.run(spark, DATA).collect()) == sorted(x.ids_sha256 for x in kept.collect())
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, DATA).count() == 0
+    order = kept.orderBy("mix_part", "mix_row").join(docs.select("doc_id", "source"), "doc_id").orderBy("mix_part", "mix_row").collect()
+    assert len({(x.mix_part, x.mix_row) for x in order}) == len(order) == seen[-1][1]
+    assert {x.doc_id: x.n for x in before.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {x.doc_id: x.n for x in kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    halves = [Counter(x.source for x in part) for part in (order[: len(order) // 2], order[len(order) // 2 :])]
+    assert all(abs(halves[0][s] - halves[1][s]) < 0.35 * (halves[0][s] + halves[1][s]) for s in halves[0])  # every stretch has the weights
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table and clashing extra columns, stage by stage."""
+    text = "A fine line of words that ends well, as it should, in a sentence of its own."
+    rows = [(1, text, "en", "s", 3), (1, text, "en", "s", 3), (1, text[::-1] + " and more words of another kind", None, None, None), (None, None, None, None, None), (None, "", "en", "s", 0), (5, text * 2000, "en", "t", 1), (7, "call me at a.b@c.example or (415) 555-2671 " + text, "en", "t", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.withColumns({c: F.lit("clash") for c in ("row", "at", "least", "h", "m", "b", "d", "f", "r", "_id", "_text", "_fp", "tokens", "mix_slot_", "docs", "quota")})
+    for table in (odd, odd.limit(0)):
+        want = {"quality_rules": None, "simhash_near_dedup": 5, "personal_data": 7, "mixing": None, "sentencepiece": 7}
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, DATA)
+            n = got.count()
+            if table is odd and want[name] is not None:
+                assert n == want[name], (name, n)
+            if table is not odd:
+                assert n == 0
+            if name != "sentencepiece":
+                assert got.columns == table.columns
+    kept = corpus_pipeline.quality(spark, odd, DATA).collect()
+    assert sorted(x.doc_id for x in kept) == [1, 1, 7] or sorted(x.doc_id for x in kept) == [1, 1, 1, 7]
+    assert {x.text for x in corpus_pipeline.personal(spark, odd, DATA).where("doc_id = 7").collect()} == {"call me at [EMAIL] or [PHONE] " + text}
+    assert {x.doc_id for x in corpus_pipeline.mixed(spark, odd, DATA).collect()} == {1, 5, 7, None}
+    assert corpus_pipeline.personal(spark, odd.drop("n_chars"), DATA).count() == 7
