@@ -2,11 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; all but the last return
 the columns of documents. Every stage's result is written as Parquet in the shared folder and read again as the next one's docs.
+
+All stages: a null text counts as empty (and stays null where a stage gives texts); very long texts are read whole; rows with a null id
+and repeated rows are rows like any other; extra columns stay, whatever their names, up to the last stage; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +22,44 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject. The field is fitted on those of docs that have labels."""
+    """Drops the documents that the quality rules reject: too short, repetitive, or mostly boilerplate by lines. The field is fitted on
+    those of docs that have labels; an id labelled both ways is bad. Null and empty texts go. Without labels, the default field."""
     field = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep(docs, field)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of smallest id."""
+    """One document of each group of near-duplicates stays, the one of smallest id; of different texts under one id, each group keeps
+    its own, and of repeated rows one stays. Null, empty and blank texts are near-duplicates of each other."""
     return simhash.one_of_each(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; n_chars follows."""
-    return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data gives way to its kind in brackets; n_chars, where docs has it, follows. Every row stays."""
+    clean = personal_data.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights as flat as they can be with none over twice as often in as another; every document at least once."""
-    return mixing.mix(docs, repeats=2.0).select(docs.columns)
+    """Sources at weights as flat as they can be with none over twice as often in as another; every document at least once.
+
+    The rows come in the mix's order: a partition holds a stretch of it, written as one file, in order of number and, within
+    it, of row. Rows of one place, which are those of one id and text, come in any order. Null sources are one source.
+    """
+    out = mixing.mix(docs, repeats=2.0)
+    return out.repartitionByRange(F.col("mix_slot"), F.col("mix_epoch")).sortWithinPartitions("mix_slot", "mix_epoch").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token counts and digests of their ids, a row for each time that a document is in the mix."""
-    return sentencepieces.summary(docs, public_tokenizers.path(TOKENIZER))
+    """The documents' token counts and digests of their ids, a row for each time that a document is in the mix, with its place there:
+    mix_part, the number of the mix's file, and mix_row, the row in it. Both are null where docs isn't a table of files."""
+    try:
+        place = docs.select(F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).alias("f"), F.col("_metadata.row_index").alias("r"), F.struct("doc_id").alias("d"), "text")
+    except AnalysisException:
+        place = docs.select(F.lit(None).cast("string").alias("f"), F.lit(None).cast("long").alias("r"), F.struct("doc_id").alias("d"), "text")
+    found = sentencepieces.summary(place.select(F.struct("d", "f", "r").alias("doc_id"), "text"), public_tokenizers.path(TOKENIZER))
+    part = F.expr("try_cast(doc_id.f as int)").alias("mix_part")
+    return found.select(F.col("doc_id.d.doc_id").alias("doc_id"), part, F.col("doc_id.r").alias("mix_row"), *(c for c in found.columns if c != "doc_id"))
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("personal_data", personal), ("mixing", mixed), ("sentencepiece", encoded)]
