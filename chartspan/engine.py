@@ -16,6 +16,7 @@ class Engine:
         self.spark, self.documents, self.concepts, self.edges, self.task_labels = spark, documents, concepts, edges, task_labels
         self.events = timelines.events(documents)
         self.persons = timelines.persons(documents)
+        self._parsed = False
 
     @classmethod
     def open(cls, spark: SparkSession, corpus: str, vocabulary: str | None = None, ignore_invalid: bool = True, label_files: dict[str, str] | None = None) -> Engine:
@@ -33,6 +34,7 @@ class Engine:
         self.events.repartitionByRange("person_id").sortWithinPartitions("person_id", "flat_idx").write.mode("overwrite").parquet(f"{path}/events")
         self.persons.write.mode("overwrite").parquet(f"{path}/persons")
         self.events, self.persons = self.spark.read.parquet(f"{path}/events"), self.spark.read.parquet(f"{path}/persons")
+        self._parsed = True
         return self
 
     def register(self) -> None:
@@ -42,8 +44,11 @@ class Engine:
                 df.createOrReplaceTempView(name)
 
     def _rows(self, person_id: str | None = None) -> DataFrame:
-        rows = self.events.where("corrupt is null")
-        return rows if person_id is None else rows.where(F.col("person_id") == person_id)
+        """Events that could be parsed; of one person, only that person's document is parsed."""
+        if person_id is None:
+            return self.events.where("corrupt is null")
+        mine = F.col("person_id") == person_id
+        return (self.events.where(mine) if self._parsed else timelines.events(self.documents.where(mine))).where("corrupt is null")
 
     # events
 
@@ -99,8 +104,8 @@ class Engine:
     def get_descendant_subgraph(self, code: str, vocabularies: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         return self._closure(code, vocabularies, False)
 
-    def search_codes(self, query: str, top_k: int = 10) -> DataFrame:
-        return text_index.code_search(self.concepts, query, top_k)
+    def search_codes(self, query: str, top_k: int = 10, stem: bool = False) -> DataFrame:
+        return text_index.code_search(self.concepts, query, top_k, stem)
 
     # persons
 

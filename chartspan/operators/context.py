@@ -124,6 +124,21 @@ def compact(rows: DataFrame, landmarks: DataFrame, most_bytes: int | None = None
     return known.drop("_ts")
 
 
+def compact_persons(persons: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """(person_id, cutoff, age, gender, race, ethnicity): the compact timeline's person block. The age at the cutoff is days over 365.25,
+    floored; birthdate, recorded age and payer are left out."""
+    first = persons.where("has_person").groupBy("person_id").agg(*[F.min_by(c, "enc_idx").alias(c) for c in ("birthdate", "gender", "race", "ethnicity")])
+    days = F.datediff(F.col("cutoff").cast("date"), F.col("birthdate").try_cast("date"))
+    return landmarks.select(*KEY).join(first, "person_id").select(*KEY, F.floor(days / 365.25).cast("int").alias("age"), "gender", "race", "ethnicity")
+
+
+def hoisted(rows: DataFrame) -> DataFrame:
+    """(person_id, cutoff, enc_idx, ent_idx, when, events) of what compact() kept: entries straight below their encounter, with their events
+    in order. Encounters and entries without events are not there."""
+    event = F.struct("flat_idx", "event_type", "code", "name", "value", "unit", "attrs")
+    return rows.groupBy(*KEY, "enc_idx", "ent_idx").agg(F.min_by("when", "flat_idx").alias("when"), F.array_sort(F.collect_list(event), lambda a, b: a["flat_idx"] - b["flat_idx"]).alias("events"))
+
+
 def token_prefix(rows: DataFrame, key: list[str], order: list[Column], text: str, budget: int) -> DataFrame:
     """Of each key the first rows that fit the budget; it ends at the first that doesn't."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -148,3 +148,31 @@ def cohort_counts(items: DataFrame) -> DataFrame:
 def several_landmarks(items: DataFrame) -> DataFrame:
     """One row: how many persons have more than one landmark."""
     return items.groupBy("person_id").agg(F.countDistinct("embed_time").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_persons"))
+
+
+def items_per_task(items: DataFrame) -> DataFrame:
+    """One row: the least, the median and the most items of a task. Tasks are counted first, so what is ordered is a row a task."""
+    return items.groupBy("task").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"))
+
+
+def schema_ratio(rows: DataFrame, task: str, schema: str, value: str, missing: str) -> DataFrame:
+    """(task, n, value_ratio, missing_ratio): per task the mean share of values in a prompt's characters, v / (s + v + 1), and of missing
+    fields, over columns that hold the sizes of either and the share."""
+    ratio = F.col(value) / (F.col(schema) + F.col(value) + 1)
+    return rows.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.avg(ratio).alias("value_ratio"), F.avg(missing).alias("missing_ratio"))
+
+
+def with_tool(rows: DataFrame, tool: DataFrame, keys: list[str], value: str = "value", to: str = "tool") -> DataFrame:
+    """rows with a tool's value for the same keys, null where it has none; of a key's repeated values the least."""
+    return rows.join(tool.groupBy(*keys).agg(F.min(value).alias(to)), keys, "left")
+
+
+def three_ways(rows: DataFrame, task: str, label: str, a: str, b: str, c: str) -> DataFrame:
+    """(task, n, right_a, right_b, right_c, only_a, only_b, only_c, all_right, none_right) over rows of three answers; no answer is wrong."""
+    right = [F.coalesce(F.col(x) == F.col(label), F.lit(False)) for x in (a, b, c)]
+    only = [right[i] & ~right[(i + 1) % 3] & ~right[(i + 2) % 3] for i in range(3)]
+    names = ("a", "b", "c")
+    return rows.groupBy(task).agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(r).alias(f"right_{n}") for r, n in zip(right, names)), *(F.count_if(o).alias(f"only_{n}") for o, n in zip(only, names)),
+        F.count_if(right[0] & right[1] & right[2]).alias("all_right"), F.count_if(~right[0] & ~right[1] & ~right[2]).alias("none_right"),
+    )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import vocabulary_of
+from chartspan.session import shared_dir, written
 
 
 def coded(concepts: DataFrame, ignore_invalid: bool = True) -> DataFrame:
@@ -66,27 +69,33 @@ def _allowed(code: Column, vocabularies: list[str] | None) -> Column:
     return vocabulary_of(code).isin(vocabularies)
 
 
-def closure(starts: DataFrame, edges_: DataFrame, concepts: DataFrame, up: bool = True, vocabularies: list[str] | None = None, most_levels: int = 1000) -> tuple[DataFrame, DataFrame]:
+def closure(starts: DataFrame, edges_: DataFrame, concepts: DataFrame, up: bool = True, vocabularies: list[str] | None = None, most_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes(root, code, level, description, is_start), links(root, child, parent)) of all codes that each start reaches.
 
     starts(code); many at once, told apart by root. A level joins the frontier with the edges and takes off what was seen, so
-    cycles end. Codes that aren't in concepts or in none of the vocabularies are not entered, starts excepted. Lineage is cut
-    each few levels by a checkpoint in the shared folder if one is set."""
+    cycles end; it goes on until a level finds nothing new. If that takes more than most_levels, it raises: no result is cut.
+    Codes that aren't in concepts or in none of the vocabularies are not entered, starts excepted. Each level is a table in the
+    shared folder, so lineage stays short however deep the hierarchy."""
     spark = starts.sparkSession
     near, far = ("child", "parent") if up else ("parent", "child")
     known = concepts.select("code").distinct()
-    open_ = edges_.select("child", "parent").distinct().join(known.withColumnRenamed("code", far), far, "left_semi").where(_allowed(F.col(far), vocabularies))
-    open_ = open_.persist()
-    seen = starts.select(F.col("code").alias("root"), "code", F.lit(0).alias("level")).distinct()
-    frontier = seen
-    durable = spark.sparkContext.getCheckpointDir() is not None
-    for level in range(1, most_levels):
-        step = frontier.select("root", F.col("code").alias(near)).join(open_, near).select("root", F.col(far).alias("code")).distinct()
-        frontier = step.join(seen.select("root", "code"), ["root", "code"], "left_anti").withColumn("level", F.lit(level))
-        frontier = frontier.checkpoint() if durable and level % 4 == 0 else frontier.persist()
-        if frontier.isEmpty():
+    open_ = written(edges_.select("child", "parent").distinct().join(known.withColumnRenamed("code", far), far, "left_semi").where(_allowed(F.col(far), vocabularies)), "open-edges")
+    path, levels = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}", []
+    frontier = starts.select(F.col("code").alias("root"), "code", F.lit(0).alias("level")).distinct()
+    shape = frontier.schema
+    read = lambda: spark.read.schema(shape).parquet(*levels)
+    while True:
+        at = f"{path}/{len(levels)}"
+        frontier.write.parquet(at)
+        frontier = spark.read.schema(shape).parquet(at)
+        if levels and frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        if most_levels is not None and len(levels) > most_levels:
+            raise ValueError(f"more than {most_levels} levels")
+        levels.append(at)
+        step = frontier.select("root", F.col("code").alias(near)).join(open_, near).select("root", F.col(far).alias("code")).distinct()
+        frontier = step.join(read().select("root", "code"), ["root", "code"], "left_anti").withColumn("level", F.lit(len(levels)))
+    seen = read()
     nodes = seen.join(concepts, "code", "left").select("root", "code", "level", F.coalesce("description", "code").alias("description"), (F.col("level") == 0).alias("is_start"))
     links = seen.select("root", F.col("code").alias(near)).join(open_, near).select("root", "child", "parent").distinct()
     return nodes, links

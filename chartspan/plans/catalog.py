@@ -526,13 +526,13 @@ def stream_windowed_counts(spark, sf):
     """The events as a stream, all that is there in one go; its final counts."""
     import uuid
 
-    from chartspan.streaming.ingest import counted, windowed_counts
+    from chartspan.streaming.ingest import counted, current_counts, windowed_counts
 
     shape = table(spark, sf, "events").schema
     rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     counted(windowed_counts(rows), f"{path}/counts", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd HH").alias("bin"), "event_type", "n")
+    return current_counts(spark, f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd HH").alias("bin"), "event_type", "n")
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS positive FROM events")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "chartspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,5 +36,17 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where that is unset, as in tests) a temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all tasks run in the driver, as in tests, a
+    temporary one will do; elsewhere its want is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (found or _own_dir()).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once as Parquet in the shared folder and read back: they are computed once, lineage ends there, and the
+    planner knows their size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

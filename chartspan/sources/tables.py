@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import blank_to_null
+from chartspan.session import written
 
 
 def read_vocabulary(spark: SparkSession, path: str, name: str) -> DataFrame:
     """CONCEPT, CONCEPT_RELATIONSHIP or CONCEPT_ANCESTOR of a snapshot: tab-separated, quotes literal, all strings.
 
-    path is a folder, one that holds a single folder with the files, or a ZIP (unpacked beside itself once, on the driver)."""
+    path is a folder, one that holds a single folder with the files, or a ZIP. A ZIP is unpacked by the driver into a folder beside it,
+    which takes its name only when it is whole; where executors don't share the driver's disks, unpack it into a shared folder
+    first."""
+    if re.match(r"[a-z][a-z0-9+.-]+://", path):
+        return spark.read.csv(f"{path.rstrip('/')}/{name}.csv", sep="\t", header=True, quote="", inferSchema=False)
     at = Path(path)
     if at.suffix.lower() == ".zip":
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster a ZIP has to be unpacked into a shared folder first")
         out = at.with_suffix("")
         if not out.exists():
+            part = Path(tempfile.mkdtemp(dir=at.parent))
             with zipfile.ZipFile(at) as z:
-                z.extractall(out)
+                z.extractall(part)
+            part.rename(out)
         at = out
     if at.is_dir() and not (at / f"{name}.csv").exists():
         at = next((p.parent for p in sorted(at.glob(f"*/{name}.csv"))), at)
@@ -34,8 +46,10 @@ def read_custom_concepts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _in_file_order(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Rows with `_row`: the file's order is the order of the splits and of the rows in them."""
-    return spark.read.csv(path, header=True, **options).withColumn("_row", F.monotonically_increasing_id())
+    """Rows with `_row`, their order: by file, by the split's place in the file, and by the row's place in the split."""
+    rows = spark.read.csv(path, header=True, **options)
+    names = rows.columns
+    return rows.select(*names, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("_row"))
 
 
 def cohort_records(rows: DataFrame, person_col: str = "person_id", cutoff_col: str | None = "embed_time", complete: bool = False, order: str = "_row") -> DataFrame:
@@ -158,3 +172,40 @@ def model_text(rows: DataFrame, response: str = "response", status: str = "statu
     spoken = F.filter(parts, lambda p: ~F.coalesce(p["thought"], F.lit(False)) & p["text"].isNotNull())
     ok = F.col(status).isNull() | (F.trim(F.col(status)) == "")
     return rows.where(ok).withColumn("text", F.get(spoken, F.lit(0))["text"])
+
+
+#: The records of a cohort store.
+STATES = "person_id string, embed_time string, split string, vignette string, task_vignettes map<string,string>"
+ITEMS = "person_id string, embed_time string, task string, question string, label int, label_description string, split string"
+
+
+def write_cohort(states: DataFrame, items: DataFrame, path: str) -> None:
+    """Both tables as JSON lines; the commit protocol shows a table when it is whole."""
+    states.write.mode("overwrite").json(f"{path}/states")
+    items.write.mode("overwrite").json(f"{path}/items")
+
+
+def read_cohort(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(states, items) of what write_cohort() wrote, typed."""
+    return spark.read.schema(STATES).json(f"{path}/states"), spark.read.schema(ITEMS).json(f"{path}/items")
+
+
+def write_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A small result, as a metric or a sample, as one CSV file with a header, in order; larger ones are written by Spark as they are."""
+    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def cached_by_key(wanted: DataFrame, path: str, keys: list[str], make) -> DataFrame:
+    """The rows of a cache at path for the keys in wanted; make(DataFrame of the missing keys) gives what it lacks, and that is appended.
+    So contexts and events of (person_id, prediction_time, task) are made once."""
+    spark = wanted.sparkSession
+    asked = wanted.select(*keys).distinct()
+    try:
+        known = spark.read.parquet(path)
+        missing = pending(asked, known, keys)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        missing = asked
+    make(written(missing, "missing-keys")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(asked, keys, "left_semi")

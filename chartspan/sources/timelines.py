@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -28,10 +29,11 @@ PERSON = T.StructType([
 
 
 def read_documents(spark: SparkSession, path: str, person_ids: list[str] | None = None) -> DataFrame:
-    """(person_id, path, xml, size) of a folder, a glob or a file; the id is the file's stem. person_ids prunes by name."""
-    docs = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
-    docs = docs.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", "UTF-8").alias("xml"), F.col("length").alias("size"))
-    return docs if person_ids is None else docs.where(F.col("person_id").isin(person_ids))
+    """(person_id, path, xml, size) of a folder, a glob or a file; the id is the file's stem. Of person_ids, only their files are listed
+    and read: the ids become the pattern of names."""
+    names = "*" if person_ids is None else "{" + ",".join(re.sub(r"([\\*?\[\]{},])", r"\\\1", str(p)) for p in person_ids) + "}"
+    docs = spark.read.format("binaryFile").option("pathGlobFilter", f"{names}.xml").load(path)
+    return docs.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("person_id"), "path", F.decode("content", "UTF-8").alias("xml"), F.col("length").alias("size"))
 
 
 def _first(*values: str | None) -> str | None:

@@ -31,16 +31,24 @@ def ingest(documents: DataFrame, out: str, checkpoint: str):
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(start, end, kind, n) over event time; events later than the watermark are dropped. Works on streams and on tables."""
+    """(start, end, kind, n) over event time; events of windows that the watermark has passed are dropped, and these windows' state
+    goes. Works on streams and on tables, which know no lateness."""
     counts = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
 
 
 def counted(counts: DataFrame, out: str, checkpoint: str):
-    """Keeps the counts as they stand after each batch as Parquet in `out`; state and progress are in `checkpoint`, a shared
-    folder, so that a lost executor or a restart costs a batch at most. Ends when all that is there has been read."""
+    """Writes what each batch changes as Parquet to `out`, in a folder of the batch's number, so that a batch that is run again replaces
+    itself and readers never meet a half-written table. State and progress are in `checkpoint`, a shared folder, so that a lost
+    executor or a restart costs a batch at most. Ends when all that is there has been read."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_counts(spark: SparkSession, out: str, keys: tuple[str, ...] = ("start", "end", "event_type")) -> DataFrame:
+    """The counts as they stand: of each key the row of the last batch that changed it."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from chartspan.plans import catalog, more  # noqa: F401  more adds to the catalogue
+from chartspan.plans import catalog, documents, more  # noqa: F401  documents and more add to the catalogue
 from tests.conftest import DATA
 from tests.oracle import connect, difference
 

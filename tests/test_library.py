@@ -211,3 +211,78 @@ def test_stream(spark, tmp_path):
     assert {r.person_id for r in rows.collect()} == {"a", "b"} and rows.count() == 2
     counts = ingest.windowed_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), width="1 day").first()
     assert counts.n == 2
+
+
+def test_stream_drops_late_events(spark, tmp_path):
+    """Two runs of one stream: a window that changed is counted anew, an event behind the watermark is dropped, and the table can be read
+    between and after."""
+    def run(name, *rows):
+        made = spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        made.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in" / "*"))
+        ingest.counted(ingest.windowed_counts(stream), str(tmp_path / "counts"), str(tmp_path / "ck")).awaitTermination()
+        return {(x.start.hour, x.event_type): x.n for x in ingest.current_counts(spark, str(tmp_path / "counts")).collect()}
+
+    assert run("a", ("2024-01-01 00:10:00", "x"), ("2024-01-01 08:10:00", "x")) == {(0, "x"): 1, (8, "x"): 1}
+    got = run("b", ("2024-01-01 00:20:00", "x"), ("2024-01-01 07:20:00", "x"), ("2024-01-01 08:20:00", "x"), ("2024-01-01 08:30:00", "y"))
+    assert got == {(0, "x"): 1, (7, "x"): 1, (8, "x"): 2, (8, "y"): 1}
+
+
+def test_closure_is_never_cut(spark):
+    names = spark.createDataFrame([(f"n{i}", str(i)) for i in range(9)], "code string, description string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)] + [("n8", "n0")], "child string, parent string")
+    start = names.where("code = 'n0'").select("code")
+    nodes, links = ontology.closure(start, edges, names)
+    assert {(x.code, x.level) for x in nodes.collect()} == {(f"n{i}", i) for i in range(9)} and links.count() == 9
+    with pytest.raises(ValueError):
+        ontology.closure(start, edges, names, most_levels=3)
+    assert ontology.closure(start.limit(0), edges, names)[0].count() == 0
+
+
+def test_stems_and_stored_indexes(spark, tmp_path):
+    words = spark.createDataFrame([(w,) for w in ("running", "runs", "run", "fractures", "fractured", "glasses", "studies", "status", "é123s", "is", "quickly")], "term string")
+    assert [x.term for x in text_index.stemmed(words).collect()] == ["run", "run", "run", "fracture", "fractur", "glass", "studi", "status", "é123s", "is", "quick"]
+    codes = spark.createDataFrame([("A/1", "Fractured bones"), ("A/2", "a bone"), ("A/3", "skin")], "code string, description string")
+    assert [x.code for x in text_index.code_search(codes, "bones", 5).collect()] == ["A/1"]
+    assert {x.code for x in text_index.code_search(codes, "bones", 5, stem=True).collect()} == {"A/1", "A/2"}
+    path = str(tmp_path / "i")
+    folders = lambda: {x.name for x in (tmp_path / "i").iterdir()}
+    first = text_index.cached(codes, "code", "description", path)
+    was = folders()
+    assert text_index.cached(codes.repartition(2), "code", "description", path).postings.count() == first.postings.count() == 5 and folders() == was
+    text_index.cached(codes.where("code <> 'A/3'"), "code", "description", path)
+    assert len(folders()) == 2
+    text_index.clear_cache(codes, path)
+    assert text_index.cached(codes, "code", "description", path).postings.count() == 5
+
+
+def test_vocabulary_of_most_frequent_terms(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "a e f")], "id int, t string")
+    index = text_index.build(docs, "id", "t")
+    assert {x.term for x in text_index.vocabulary(index, 4).collect()} == {"a", "b", "c", "d"}
+    asked = text_index.query_terms(spark.createDataFrame([(9, "a c e")], "q int, t string"), "q", "t")
+    plain, kept = text_index.tfidf(index, asked, 4), text_index.tfidf(index, asked, 4, text_index.tfidf_norms(index, 4))
+    assert sorted(plain.collect()) == sorted(kept.collect()) and plain.count() == 3
+
+
+def test_rows_in_file_order(spark, tmp_path):
+    for name, n in (("b", 400), ("a", 300)):
+        (tmp_path / f"{name}.csv").write_text("patient_id,value\n" + "".join(f"{name}{i},{i % 2}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = tables.read_labels(spark, {"t": str(tmp_path / "*.csv")}).orderBy("_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x.patient_id for x in rows] == [f"a{i}" for i in range(300)] + [f"b{i}" for i in range(400)]
+
+
+def test_cohort_store(spark, tmp_path):
+    states = spark.createDataFrame([("p", "t1", "0", "v", {"a": "x"}), ("p", "t2", "1", "w", None)], tables.STATES)
+    items = spark.createDataFrame([("p", "t1", "a", "q", 1, None, "0"), ("p", "t2", "b", "q", 0, "d", "1")], tables.ITEMS)
+    tables.write_cohort(states, items, str(tmp_path / "c"))
+    s, i = tables.read_cohort(spark, str(tmp_path / "c"))
+    assert sorted(s.collect(), key=str) == sorted(states.collect(), key=str) and sorted(i.collect(), key=str) == sorted(items.collect(), key=str)
+    assert cohort.items_for(i, "p", task="b").first().label == 0 and [x.embed_time for x in cohort.states_for(s, "p").collect()] == ["t1", "t2"]
+    assert cohort.updated(s, states.where("embed_time = 't1'").withColumn("vignette", F.lit("new"))).where("vignette = 'new'").count() == 1
+    with pytest.raises(ValueError):
+        cohort.with_cutoffs(i, "other")

@@ -63,7 +63,7 @@ def test_events_in_document_order(rows):
 
 def test_entries_and_links(spark, folder, rows):
     docs = timelines.read_documents(spark, folder, ["p1"])
-    assert docs.count() == 1
+    assert docs.count() == 1 and timelines.read_documents(spark, folder, ["p1", "p3", "p[9"]).count() == 2 and timelines.read_documents(spark, folder, []).count() == 0
     assert timelines.events(docs, "entry").count() == 5
     got = timelines.linked(rows.where("person_id = 'p1'")).orderBy("flat_idx").collect()
     assert got[0].prev_id is None and got[0].next_id == got[1].event_id and got[-1].next_id is None
