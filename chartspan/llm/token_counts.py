@@ -64,10 +64,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     hashed = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).withColumn("digest", F.sha2(F.encode("_text", "UTF-8"), 256))
     schema = "digest string, n_tokens long"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache)  # so that the folder is there
-    known = written(spark.read.schema(schema).parquet(cache).join(hashed.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-hits")  # writers at a time may both have appended a digest
+    sizes = written(hashed.select(id_col, F.octet_length("_text").cast("long").alias("n_bytes"), "digest"), "token-digests")  # texts are hashed for it once, and once for the misses
+    cached = spark.read.schema(schema).parquet(cache)
+    # writers at a time may both have appended a digest
+    known = written(cached.join(sizes.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-hits")
     misses = hashed.select("digest", "_text").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
     found = written(count_misses(misses, tokenizer_path), "token-misses")
     found.write.mode("append").parquet(cache)
     # plain sides, so that a digest that many rows share can be split
-    sizes = hashed.select(id_col, F.octet_length("_text").cast("long").alias("n_bytes"), "digest")
     return sizes.join(known.unionByName(found), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
