@@ -191,11 +191,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id are documents like any other. Of rows of one id and text, any one stays. An empty table gives no rows.
     Texts move once, to meet the rows that stay; copies of one of these are told apart by narrow numbers.
     """
-    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    place = [F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("c"), F.xxhash64("_text", F.lit(11)).alias("d")]
-    prints = written(with_fingerprint(row.select("_id", "_text"), "_text").select("_fp", F.struct(*place).alias("at")), "fingerprints")
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    place = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("c"), F.xxhash64("_text", F.lit(11)).alias("d"))
+    prints = written(with_fingerprint(named.select("_id", "_text"), "_text").select("_fp", place.alias("at")), "fingerprints")
     stays = written(_classes(prints, radius, block, F.col("at")).select("least").distinct(), "stays")
-    times = prints.join(stays, F.col("at") == F.col("least")).groupBy("least").agg(F.count(F.lit(1)).alias("n"))
-    kept = row.join(written(times, "times"), F.struct(*place).eqNullSafe(F.col("least")))
+    times = written(prints.join(stays, F.col("at") == F.col("least")).groupBy("least").agg(F.count(F.lit(1)).alias("n")), "times")
+    kept = named.select("row", place.alias("at")).join(times, F.col("at").eqNullSafe(F.col("least")))
     once, more = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["least"])
     return once.unionByName(more).select(*(F.col("row")[c].alias(c) for c in docs.columns))
