@@ -19,6 +19,8 @@ from chartspan.llm import mixing, personal_data, quality_rules, sentencepieces,
 from chartspan.llm.common import written
 
 TOKENIZER = "piece_bpe_32k.model"
+#: Characters of a file of the mix, about: the number of files grows with the input, not their size.
+FILE_CHARS = 1 << 26
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     it, of row. Rows of one place, which are those of one id and text, come in any order. Null sources are one source.
     """
     out = mixing.mix(docs, repeats=2.0)
-    return out.repartitionByRange(F.col("mix_slot"), F.col("mix_epoch")).sortWithinPartitions("mix_slot", "mix_epoch").select(docs.columns)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    files = 1 + 2 * chars // FILE_CHARS  # the mix may hold a document twice
+    return out.repartitionByRange(files, F.col("mix_slot"), F.col("mix_epoch")).sortWithinPartitions("mix_slot", "mix_epoch").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
