@@ -62,3 +62,14 @@ def test_secrets_held_out_through_the_candidates(spark):
     found = secret_scan.scan(docs, model).where("kept").select("doc_id", F.col("secret_sha256").alias("want")).distinct().withColumn("hit", F.lit(1))
     rate = {x.label: x.r for x in docs.join(found, ["doc_id", "want"], "left").groupBy("label").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r")).collect()}
     assert rate[1.0] > 0.95 and rate[0.0] < 0.05, rate
+
+
+def test_secrets_planted_in_the_documents(spark):
+    """The given documents hold tokens that the module didn't make: the registered query keeps all of them."""
+    from chartspan.llm import queries
+    from tests.conftest import DATA
+
+    planted = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("secret"))
+    want = {(x.doc_id, x.d) for x in planted.select("doc_id", F.sha2("secret", 256).alias("d")).collect()}
+    got = {(x.doc_id, x.secret_sha256) for x in queries.op9_secret_scan(spark, DATA).where("kept").collect()}
+    assert len(want) >= 10 and want <= got
