@@ -258,9 +258,8 @@ def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool, whole: boo
         items = items.withColumn("split", (F.col("split") == 1).cast("int"))
     index, pool = cohort.task_index(items, states, 0)
     asked = cohort.joined(items.where("split = 1"), states).select(F.col("task").alias("corpus"), F.col("person_id").alias("q"), "vignette")
-    scores = text_index.bm25(index, text_index.query_terms(asked, "q", "vignette")).withColumn("score", F.round("score", 6))
-    scores = scores.join(pool.withColumnRenamed("task", "corpus"), ["corpus", "doc"]).withColumn("query_person", F.col("query"))
-    return cohort.nearest(scores, k, balanced).select(F.col("corpus").alias("task"), "query", "person_id", "label", "score", "position")
+    found = cohort.neighbours(index, pool, text_index.query_terms(asked, "q", "vignette"), k, balanced)
+    return found.select(F.col("corpus").alias("task"), "query", "person_id", "label", "score", "position")
 
 
 _NEAR = "WITH " + _POOL + """, t AS (SELECT task AS corpus, i.doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 0 AND trim(text) <> ''),
