@@ -250,19 +250,18 @@ def _cohort(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cohort.checked(states), items
 
 
-def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool, whole: bool = False) -> DataFrame:
-    """For each text of split 1 that has a label, its neighbours among the labelled texts of split 0, or, if whole, of all the
-    other splits: each labelled text is then a query or in the pool."""
+def _neighbours(spark: SparkSession, sf: str, k: int, balanced: bool) -> DataFrame:
+    """For each text of split 1 that has a label, its neighbours among the labelled texts of all other splits: each labelled text
+    is a query or in the pool."""
     states, items = _cohort(spark, sf)
-    if whole:
-        items = items.withColumn("split", (F.col("split") == 1).cast("int"))
+    items = items.withColumn("split", (F.col("split") == 1).cast("int"))
     index, pool = cohort.task_index(items, states, 0)
     asked = cohort.joined(items.where("split = 1"), states).select(F.col("task").alias("corpus"), F.col("person_id").alias("q"), "vignette")
     found = cohort.neighbours(index, pool, text_index.query_terms(asked, "q", "vignette"), k, balanced)
     return found.select(F.col("corpus").alias("task"), "query", "person_id", "label", "score", "position")
 
 
-_NEAR = "WITH " + _POOL + """, t AS (SELECT task AS corpus, i.doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 0 AND trim(text) <> ''),
+_NEAR = "WITH " + _POOL + """, t AS (SELECT task AS corpus, i.doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s <> 1 AND trim(text) <> ''),
 p AS (SELECT corpus, doc, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT corpus, doc, count(*) AS len FROM t GROUP BY ALL), c AS (SELECT corpus, count(*) AS n, avg(len) AS avgdl FROM l GROUP BY corpus), df AS (SELECT corpus, term, count(*) AS df FROM p GROUP BY ALL),
 q AS (SELECT corpus, query, term, count(*) AS qtf FROM (SELECT task AS corpus, i.doc_id AS query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM items i JOIN documents d ON i.doc_id = d.doc_id WHERE s = 1) GROUP BY ALL),
 sc AS (SELECT q.corpus AS task, query, p.doc AS person_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p ON q.corpus = p.corpus AND q.term = p.term JOIN df ON df.corpus = p.corpus AND df.term = p.term JOIN c ON c.corpus = p.corpus JOIN l ON l.corpus = p.corpus AND l.doc = p.doc GROUP BY ALL),
@@ -275,8 +274,6 @@ g AS (SELECT *, dense_rank() OVER (PARTITION BY task, query ORDER BY tp DESC, CA
 z AS (SELECT g.*, CASE WHEN cl = 1 THEN least(a, least(2, a) + 2 - least(2, b)) ELSE least(b, least(2, b) + 2 - least(2, a)) END AS quota FROM g JOIN a USING (task, query)),
 y AS (SELECT *, row_number() OVER (PARTITION BY task, query ORDER BY cr, cl) AS position FROM z WHERE cr <= quota) SELECT task, query, person_id, label, score, CAST(position AS INTEGER) AS position FROM y WHERE position <= 4"""
 _UNBALANCED = "SELECT task, query, person_id, label, score, CAST(rn AS INTEGER) AS position FROM r WHERE person_id <> query AND rn <= 5"
-#: The same with every labelled text as a query (split 1) or in the pool (all others).
-_NEAR_ALL = _NEAR.replace("WHERE s = 0 AND", "WHERE s <> 1 AND")
 
 
 @query(_NEAR + _BALANCED)
@@ -289,16 +286,6 @@ def unbalanced_neighbors(spark, sf):
     return _neighbours(spark, sf, 5, False)
 
 
-@query(_NEAR_ALL + _BALANCED)
-def balanced_neighbors_all(spark, sf):
-    return _neighbours(spark, sf, 4, True, whole=True)
-
-
-@query(_NEAR_ALL + _UNBALANCED)
-def unbalanced_neighbors_all(spark, sf):
-    return _neighbours(spark, sf, 5, False, whole=True)
-
-
 @query("WITH " + _POOL + " SELECT s AS split, task, label, count(*) AS n, count(DISTINCT doc_id) AS n_persons FROM items GROUP BY ALL")
 def cohort_counts(spark, sf):
     return metrics.cohort_counts(_cohort(spark, sf)[1]).select(F.col("split").cast("int").alias("split"), "task", "label", "n", "n_persons")

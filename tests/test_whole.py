@@ -11,7 +11,7 @@ import pytest
 from chartspan.plans import catalog
 
 
-@pytest.mark.parametrize("name, k", [("unbalanced_neighbors_all", 5), ("balanced_neighbors_all", 4)])
+@pytest.mark.parametrize("name, k", [("unbalanced_neighbors", 5), ("balanced_neighbors", 4)])
 def test_neighbours_among_all_labelled_texts(spark, tmp_path, name, k):
     r = random.Random(8)
     texts = {i: " ".join(r.choice("abcdefghijklmnop") * 2 for _ in range(r.randint(3, 9))) for i in range(40)}
