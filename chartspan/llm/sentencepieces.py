@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,16 +246,18 @@ def summary(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     repeated rows stay. Other columns are ignored. An empty table gives no rows. No row leaves its partition.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, round_trip boolean")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, round_trip boolean")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(model_path)
-        for s in batches:
-            texts = s.fillna("").tolist()
-            rows = []
-            for at in range(0, len(texts), CHUNK):
-                part = texts[at : at + CHUNK]
-                rows += [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), model.decode(ids) == t) for t, ids in zip(part, model.encode(part))]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "round_trip"])
+        for batch in batches:
+            counts, digests, same = [], [], []
+            for at in range(0, len(batch), CHUNK):  # no more texts than these are held as strings
+                part = [t or "" for t in batch.slice(at, CHUNK).to_pylist()]
+                for t, ids in zip(part, model.encode(part)):
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    same.append(model.decode(ids) == t)
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["n_tokens", "ids_sha256", "round_trip"])
 
     base = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), coded(F.col(text_col)).alias("m"))
     return base.select(id_col, "n_bytes", "m.*")
