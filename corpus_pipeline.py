@@ -21,11 +21,20 @@ from chartspan.llm.common import written
 TOKENIZER = "piece_bpe_32k.model"
 #: Characters of a file of the mix, about: the number of files grows with the input, not their size.
 FILE_CHARS = 1 << 26
+#: Rows of an Arrow batch, whose texts the executor and the Python worker both hold, where the session leaves Spark's default.
+BATCH_ROWS, BATCH_SETTING, SPARK_DEFAULT = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS. A limit that the session has set itself stays."""
+    if spark.conf.get(BATCH_SETTING) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject: too short, repetitive, or mostly boilerplate by lines. The field is fitted on
     those of docs that have labels; an id labelled both ways is bad. Null and empty texts go. Without labels, the default field."""
+    _small_batches(spark)
     field = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep(docs, field)
 
@@ -33,11 +42,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of smallest id; of different texts under one id, each group keeps
     its own, and of repeated rows one stays. Null, empty and blank texts are near-duplicates of each other."""
+    _small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets; n_chars, where docs has it, follows. Every row stays."""
+    _small_batches(spark)
     clean = personal_data.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -57,6 +68,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token counts and digests of their ids, a row for each time that a document is in the mix, with its place there:
     mix_part, the number of the mix's file, and mix_row, the row in it. Both are null where docs isn't a table of files."""
+    _small_batches(spark)
     try:
         place = docs.select(F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).alias("f"), F.col("_metadata.row_index").alias("r"), F.struct("doc_id").alias("d"), "text")
     except AnalysisException:
