@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import embedding_dedup, mixing, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, simhash, token_counts, url_filters
-from chartspan.llm.common import shared_dir
+from chartspan.llm import embedding_dedup, line_dedup, mixing, periodic_runs, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, simhash, token_counts, url_filters
+from chartspan.llm.common import shared_dir, text_or_empty
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -69,9 +70,46 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.summary(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def _with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """What the query's contract makes of a document's words: in a tenth of the documents a period from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    piece = words[a : a + p]
+    return words[:a] + (piece * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=_with_period)
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.expr("1000 * best.length div best.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
+
+
+SQL = {
+    "op13_line_dedup": """
+with held as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+cut as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as at from held),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from cut),
+firsts as (select k, min(doc_id) as first from keyed where length(k) >= 10 group by k having count(distinct doc_id) >= 2)
+select doc_id, count(*) as n_lines, count(*) filter (where first <> doc_id) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where first is null or first = doc_id), '')) as kept_sha256
+from keyed left join firsts using (k) group by doc_id""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
