@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import embedding_dedup, line_dedup, mixing, periodic_runs, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, simhash, token_counts, url_filters
+from chartspan.llm import embedding_dedup, line_dedup, mixing, periodic_runs, personal_data, prefix_trie, quality_classifier, quality_rules, secret_scan, sentencepieces, simhash, token_counts, url_filters
 from chartspan.llm.common import shared_dir, text_or_empty
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -90,19 +90,46 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"), family=prefix_trie.FAMILY)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
 SQL = {
+    "op12_prefix_trie": """
+with own as (select conv_id as c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x, length(coalesce(text, '')) as n, turn from conversations where conv_id is not null),
+conv as (select c, x, n, row_number() over (partition by c order by turn nulls first, x) - 1 as pos from own),
+sizes as (select c, count(*) as k,
+  xor(4294967295, list_reduce(list_concat([4294967295::ubigint], list_transform(range(length(c::varchar)), lambda i: ascii(substr(c::varchar, i::int + 1, 1))::ubigint)),
+    lambda h, y: list_reduce(list_concat([xor(h, y)], [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384::ubigint * (v & 1)))))::bigint % 6 as h
+  from conv group by c),
+plan as (select s.c, s.c - s.c % 100 as base, s.h, least(s.h, coalesce(b.k, 0)) as shared from sizes s left join sizes b on b.c = s.c - s.c % 100),
+rebuilt as (
+  select p.c, b.pos + 1 as d, b.x, b.n from plan p join conv b on b.c = p.base and b.pos < p.h
+  union all select p.c, p.shared + o.pos - p.h + 1, o.x, o.n from plan p join conv o on o.c = p.c and o.pos >= p.h),
+named as (select c, d, n, md5(string_agg(x, '') over (partition by c order by d)) as f from rebuilt union all select c, 0, 0, '' from plan),
+node as (select d, f, min(c) as conv, count(*) as n_convs, max(n) as chars from named group by d, f),
+part as (select m.c, m.d, v.conv from named m join node v using (d, f)),
+full_node as (select v.*, u.conv as up from node v left join part u on u.c = v.conv and u.d = v.d - 1),
+kids as (select up as conv, d - 1 as d, count(*) as n_children from full_node where d > 0 group by 1, 2),
+weighed as (select v.conv, v.d, (k.conv is null)::bigint as leaf, (v.n_convs - 1) * v.chars as saved from node v left join kids k using (conv, d)),
+sub as (select a.conv, a.d, sum(w.leaf) as n_leaves, sum(w.saved) as saved from weighed w join part a on a.c = w.conv and a.d <= w.d group by 1, 2),
+last as (select c, max(d) as d from named group by c),
+ends as (select p.conv, p.d, string_agg(l.c::varchar, ',' order by l.c) as ids from last l join part p using (c, d) group by 1, 2)
+select v.conv as conv_id, v.d::bigint as depth, v.up as parent_conv_id, v.n_convs::bigint as n_convs, coalesce(k.n_children, 0)::bigint as n_children, s.n_leaves::bigint as n_leaves,
+  s.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from full_node v left join kids k using (conv, d) join sub s using (conv, d) left join ends e using (conv, d)""",
     "op13_line_dedup": """
 with held as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-cut as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as at from held),
+cut as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from held),
 keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from cut),
-firsts as (select k, min(doc_id) as first from keyed where length(k) >= 10 group by k having count(distinct doc_id) >= 2)
-select doc_id, count(*) as n_lines, count(*) filter (where first <> doc_id) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where first is null or first = doc_id), '')) as kept_sha256
+firsts as (select k, min(doc_id) as owner from keyed where length(k) >= 10 group by k having count(distinct doc_id) >= 2)
+select doc_id, count(*) as n_lines, count(*) filter (where owner <> doc_id) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where owner is null or owner = doc_id), '')) as kept_sha256
 from keyed left join firsts using (k) group by doc_id""",
 }
 
