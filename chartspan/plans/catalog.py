@@ -119,29 +119,25 @@ s AS (SELECT p.corpus, query, p.doc, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5
 """
 
 
-def _ranked(scores: DataFrame, k: int, **kw) -> DataFrame:
-    return text_index.top(scores.withColumn("score", F.round("score", 6)), k, **kw)
-
-
 @query(_BM25.format(corpus="'all'", docs="documents", qid="item_id", queries="benchmark") + "SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
 def bm25_search(spark, sf):
     asked = text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
     index = text_index.build(table(spark, sf, "documents"), "doc_id", "text", only=asked)
-    return _ranked(text_index.bm25(index, asked), 10).select("query", "doc", "score", "rank")
+    return text_index.top(text_index.bm25_best(index, asked, 10), 10).select("query", "doc", "score", "rank")
 
 
 @query(_BM25.format(corpus="lang", docs="documents", qid="item_id", queries="benchmark") + "SELECT corpus, query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY corpus, query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s QUALIFY rank <= 3")
 def bm25_per_corpus(spark, sf):
     asked = text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
     index = text_index.build(table(spark, sf, "documents"), "doc_id", "text", F.col("lang"), only=asked)
-    return _ranked(text_index.bm25(index, asked), 3)
+    return text_index.top(text_index.bm25_best(index, asked, 3), 3)
 
 
 @query(_BM25.format(corpus="'all'", docs="conversation_docs", qid="doc_id", queries="conversation_docs").replace("WITH t AS", "WITH conversation_docs AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), t AS", 1) + "SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s WHERE doc <> query QUALIFY rank <= 5")
 def bm25_similar_persons(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
     docs = turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"))
-    return _ranked(text_index.bm25(text_index.build(docs, "doc_id", "text"), text_index.query_terms(docs, "doc_id", "text")), 5, exclude_self=True).select("query", "doc", "score", "rank")
+    return text_index.top(text_index.bm25_best(text_index.build(docs, "doc_id", "text"), text_index.query_terms(docs, "doc_id", "text"), 6), 5, exclude_self=True).select("query", "doc", "score", "rank")
 
 
 @query("""WITH t AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents), p AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc) AS n FROM t),
@@ -151,7 +147,7 @@ s AS (SELECT query, doc, sum(qw * w) AS dot FROM q JOIN w USING (term) GROUP BY
 SELECT query, doc, round(dot / (norm * qnorm), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(dot / (norm * qnorm), 6) DESC, doc) AS INTEGER) AS rank FROM s JOIN nd USING (doc) JOIN nq USING (query) QUALIFY rank <= 5""")
 def tfidf_search(spark, sf):
     index = text_index.build(table(spark, sf, "documents"), "doc_id", "text")
-    return _ranked(text_index.tfidf(index, text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text"), None), 5).select("query", "doc", "score", "rank")
+    return text_index.top(text_index.tfidf_best(index, text_index.query_terms(table(spark, sf, "benchmark"), "item_id", "text"), 5, None), 5).select("query", "doc", "score", "rank")
 
 
 @query(_BM25.format(corpus="'all'", docs="(SELECT 'P/' || p_partkey AS doc_id, p_name AS text FROM part)", qid="i", queries="(SELECT 0 AS i, (SELECT p_name FROM part ORDER BY p_partkey LIMIT 1) AS text)") + "SELECT doc AS code, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY round(score, 6) DESC, doc LIMIT 25")
