@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chartspan.functions.text import estimated_tokens
 from chartspan.operators import activity, cohort, context, events, facets, labels, metrics, ontology, sampling, text_index
-from chartspan.session import shared_dir, table
+from chartspan.session import shared_dir, table, written
 from chartspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,7 +136,7 @@ def bm25_per_corpus(spark, sf):
 @query(_BM25.format(corpus="'all'", docs="conversation_docs", qid="doc_id", queries="conversation_docs").replace("WITH t AS", "WITH conversation_docs AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), t AS", 1) + "SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS INTEGER) AS rank FROM s WHERE doc <> query QUALIFY rank <= 5")
 def bm25_similar_persons(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    docs = turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"))
+    docs = written(turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text")), "conversations")
     return text_index.top(text_index.bm25_best(text_index.build(docs, "doc_id", "text"), text_index.query_terms(docs, "doc_id", "text"), 6), 5, exclude_self=True).select("query", "doc", "score", "rank")
 
 
