@@ -18,6 +18,8 @@ BLOCK_ROWS = 512
 #: Halvings of the exponent's range that one pass over the sources decides, and passes.
 HALVINGS, PASSES = 5, 6
 NO_SOURCE = "\u0000"
+#: Bits of the number of blocks whose sizes are added up in one task.
+STRETCH = 10
 
 
 def n_tokens(text: Column) -> Column:
@@ -86,27 +88,51 @@ def weights(sources: DataFrame, t: float, budget: float | None = None) -> DataFr
 
 
 def _block(h: Column, n: Column) -> Column:
-    return F.pmod(h, n).cast("int")
+    return F.pmod(h, n).cast("long")
+
+
+def _blocks(docs: Column, block_rows: int) -> Column:
+    """A power of two, so that each source has blocks of half to all of block_rows rows, about."""
+    n = F.ceil(docs / block_rows)
+    return F.when(n <= 1, F.lit(1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n - 1)))).cast("long")
+
+
+def _turn(block: Column, blocks: Column, source: Column, epoch: Column) -> Column:
+    """The block's place, from 0, in an epoch of its source: a permutation of the blocks drawn by a hash of source and epoch. Steps that
+    can each be undone within the bits of `blocks`, so no list of places is kept anywhere."""
+    key, mask = F.xxhash64(source, epoch.cast("long")), blocks - 1
+    half = F.greatest(F.lit(1), F.ceil((F.length(F.bin(blocks)) - 1) / 2)).cast("int")
+    x = block.bitwiseXOR(key.bitwiseAND(mask))
+    for bit in (3, 25):
+        odd = 2 * F.shiftrightunsigned(key, bit).bitwiseAND(F.lit((1 << 18) - 1)) + 1
+        x = (x * odd).bitwiseAND(mask)
+        x = x.bitwiseXOR(F.call_function("shiftrightunsigned", x, half))
+    return x
 
 
 def plan(rows: DataFrame, quotas: DataFrame, block_rows: int = BLOCK_ROWS, empty_epochs: int = 1) -> DataFrame:
     """(source, quota, all, blocks, epochs, cut, end) from rows of (source, tokens, h), one row for each source of quotas.
 
     A source is dealt by hash to blocks of about block_rows rows. A quota is whole epochs of all its blocks and, in the last
-    epoch, the blocks below number `cut` and of this one the rows whose hash is at most `end`, the last of which may go beyond the
-    quota. So only block sums are ordered per source, and only the places of the blocks where quotas end; the hottest source
-    costs a row per block, and copies of a row are one place. A source without a token comes in empty_epochs times.
+    epoch, the blocks before place `cut` of its order and of the one there the rows whose hash is at most `end`, the last of which
+    may go beyond the quota. Sums over the blocks are taken by STRETCH places and then over stretches, so the hottest source costs a
+    row per block and no task orders all of them; copies of a row are one place. A source without a token comes in empty_epochs times.
     """
-    n = F.greatest(F.ceil(F.col("docs") / block_rows), F.lit(1))
     each = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(empty_epochs)
-    known = written(quotas.select("source", "quota", F.col("tokens").alias("all"), n.alias("blocks"), each.alias("epochs")), "epochs")
-    placed = rows.join(known.select("source", "blocks"), "source").select("source", "tokens", "h", _block(F.col("h"), F.col("blocks")).alias("block"))
-    sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size")).join(known, "source")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    short = sizes.withColumn("room", F.col("quota") - F.col("epochs") * F.col("all") - before).where("room < size and all > 0")
-    cut = written(short.groupBy("source").agg(F.min(F.struct("block", "room")).alias("c")).select("source", F.col("c.block").alias("cut"), F.col("c.room").alias("room")), "cuts")  # room falls as the number grows
-    places = placed.join(cut.select("source", F.col("cut").alias("block"), "room").where("room > 0"), ["source", "block"]).groupBy("source", "room", "h").agg(F.sum("tokens").alias("n"))
-    run = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = written(quotas.select("source", "quota", F.col("tokens").alias("all"), _blocks(F.col("docs"), block_rows).alias("blocks"), each.alias("epochs")), "epochs")
+    turn = _turn(_block(F.col("h"), F.col("blocks")), F.col("blocks"), F.col("source"), F.col("epochs") + 1)
+    placed = rows.join(known.select("source", "blocks", "epochs"), "source").select("source", "tokens", "h", turn.alias("turn"))
+    stretch = F.shiftright("turn", STRETCH)
+    sizes = written(placed.groupBy("source", "turn").agg(F.sum("tokens").alias("size")).withColumn("stretch", stretch), "block-sizes")
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.groupBy("source", "stretch").agg(F.sum("size").alias("s"))
+    sums = sums.select("source", "stretch", F.coalesce(F.sum("s").over(earlier(["source"], "stretch")), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("size").over(earlier(["source", "stretch"], "turn")), F.lit(0))
+    before = sizes.withColumn("within", within).join(sums, ["source", "stretch"]).join(known, "source")
+    short = before.withColumn("room", F.col("quota") - F.col("epochs") * F.col("all") - F.col("above") - F.col("within")).where("room < size and all > 0")
+    cut = written(short.groupBy("source").agg(F.min(F.struct("turn", "room")).alias("c")).select("source", F.col("c.turn").alias("cut"), F.col("c.room").alias("room")), "cuts")  # room falls from place to place
+    places = placed.join(cut.select("source", F.col("cut").alias("turn"), "room").where("room > 0"), ["source", "turn"]).groupBy("source", "room", "h").agg(F.sum("tokens").alias("n"))
+    run = F.coalesce(F.sum("n").over(earlier(["source"], "h")), F.lit(0))
     ends = places.withColumn("run", run).where("run < room").groupBy("source").agg(F.max("h").alias("end"))
     return written(known.join(cut.select("source", "cut"), "source", "left").join(ends, "source", "left"), "plan")
 
@@ -114,20 +140,23 @@ def plan(rows: DataFrame, quotas: DataFrame, block_rows: int = BLOCK_ROWS, empty
 def realise(docs: DataFrame, planned: DataFrame, measures: list[Column]) -> DataFrame:
     """The rows of docs as often as their source's quota asks, with `mix_epoch`, `mix_block`, `mix_slot` and `mix_tokens`.
 
-    mix_slot in [0, 1) orders the mix: a source's epochs and, in them, its blocks follow each other over it, rows permuted within
-    their block, so that every stretch has the weights. Rows meet one row of their source's plan and move no further.
+    mix_slot in [0, 1) orders the mix: a source's epochs and, in them, its blocks follow each other over it, blocks in an order of the
+    epoch's own and rows permuted within their block, so that every stretch has the weights. The last epoch is cut in its
+    order. Rows meet one row of their source's plan and move no further.
     """
     row = docs.select(F.struct("*").alias("row"), F.struct(*measures).alias("m"))  # so that no name clashes
     dealt = row.join(planned.select(F.struct("*").alias("b")), F.col("m.source") == F.col("b.source"))
     dealt = dealt.withColumn("block", _block(F.col("m.h"), F.col("b.blocks")))
-    last = F.coalesce((F.col("block") < F.col("b.cut")) | ((F.col("block") == F.col("b.cut")) & F.coalesce(F.col("m.h") <= F.col("b.end"), F.lit(False))), F.lit(False))
+    turn = lambda epoch: _turn(F.col("block"), F.col("b.blocks"), F.col("m.source"), epoch)
+    dealt = dealt.withColumn("turn", turn(F.col("b.epochs") + 1))
+    last = F.coalesce((F.col("turn") < F.col("b.cut")) | ((F.col("turn") == F.col("b.cut")) & F.coalesce(F.col("m.h") <= F.col("b.end"), F.lit(False))), F.lit(False))
     copies = (F.col("b.epochs") + last.cast("long")).cast("int")
     out = dealt.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), copies)))
     within = F.pmod(F.xxhash64("m.h", "epoch"), F.lit(1_000_000)) / 1_000_000  # the order within a block changes with the epoch
-    at = F.col("epoch") - 1 + (F.col("block") + within) / F.col("b.blocks")
+    at = F.col("epoch") - 1 + (turn(F.col("epoch")) + within) / F.col("b.blocks")
     length = F.when(F.col("b.quota") > 0, F.col("b.quota") / F.col("b.all")).otherwise(F.greatest(F.col("b.epochs"), F.lit(1)))
     return out.select(
-        *(F.col("row")[c].alias(c) for c in docs.columns), F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), F.least(at / length, F.lit(1 - 1e-9)).alias("mix_slot"), F.col("m.tokens").alias("mix_tokens")
+        *(F.col("row")[c].alias(c) for c in docs.columns), F.col("epoch").alias("mix_epoch"), F.col("block").cast("int").alias("mix_block"), F.least(at / length, F.lit(1 - 1e-9)).alias("mix_slot"), F.col("m.tokens").alias("mix_tokens")
     )
 
 

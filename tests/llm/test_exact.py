@@ -435,3 +435,27 @@ def test_url_templates(spark):
     assert {x.template for x in got if x.verdict == "block"} == {"/spam/**"} and sum(x.verdict == "block" for x in got) == 200
     parts = spark.createDataFrame([(i, "a.com", f"/{'ab'[i % 2]}/x{i}") for i in range(200)], "i int, host string, path string")
     assert {tuple(x.template) for x in url_filters.templates(parts).collect()} == {("a", "*{n}"), ("b", "*{n}")}
+
+
+def test_vectors_of_any_length_link(spark):
+    """Squares that leave the doubles on either side; only the direction counts."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal(24)
+    rows = [(i, (base * 10.0**e).tolist()) for i, e in enumerate((-320, -200, -170, 0, 150, 200, 307))] + [(7, [1e-170, 2e-170] + [0.0] * 22), (8, [2e-170, 4e-170] + [0.0] * 22), (9, [5e-324] + [0.0] * 23), (10, [1e308] + [0.0] * 23), (11, [0.0] * 24)]
+    got = {x.vec_id: x.component_id for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(1, 7)] == [got[1]] * 6 and [got[i] for i in (7, 8, 9, 10, 11)] == [7, 7, 9, 9, 11]
+
+
+def test_vector_recall_at_64_dimensions(spark):
+    """Pairs at and above the threshold, against all pairs by brute force."""
+    r = np.random.default_rng(9)
+    base = r.standard_normal((700, 64))
+    near = base[r.integers(0, 700, 500)] + 0.3 * r.standard_normal((500, 64))
+    v = np.concatenate([base, near])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=64).collect()
+    assert len(links) > 300 and 0.99 * 2 * len(links) <= sum(x.n_links for x in got) <= 2 * len(links)
+    components = groups(len(v), links.tolist())
+    assert sum(x.component_id == components[x.vec_id] for x in got) >= 0.99 * len(v)

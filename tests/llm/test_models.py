@@ -189,7 +189,25 @@ def test_mix(spark):
         mixing.mix(docs)
 
 
-def brute_mix(rows, exponent, blocks_of, budget=None):
+def turns_of(spark, sources, epochs=9, most=6):
+    """(source, blocks, epoch) -> each block's place, as the operator turns them."""
+    grid = spark.createDataFrame([(s, 1 << m, e, b) for s in sources for m in range(most) for e in range(1, epochs) for b in range(1 << m)], "s string, n long, e long, b long")
+    out = {}
+    for x in grid.select("*", mixing._turn(F.col("b"), F.col("n"), F.col("s"), F.col("e")).alias("t")).collect():
+        out.setdefault((x.s, x.n, x.e), {})[x.b] = x.t
+    return out
+
+
+def test_block_orders(spark):
+    turns = turns_of(spark, ["a", "b"], most=8)
+    assert all(sorted(t.values()) == list(range(n)) for (_, n, _), t in turns.items())
+    orders = [tuple(t.values()) for (_, n, _), t in turns.items() if n == 128]
+    assert len(set(orders)) == len(orders) == 16
+    near = sum(abs(t[b] - t[b + 1]) == 1 for (_, n, _), t in turns.items() if n == 128 for b in range(127))
+    assert near < 0.1 * 16 * 127  # neighbours don't stay neighbours
+
+
+def brute_mix(rows, exponent, blocks_of, turns, budget=None):
     """(doc_id, epoch) of the mix, by plain loops over rows of (doc_id, source, tokens, hash)."""
     sources = {s: [x for x in rows if x[1] == s] for s in {x[1] for x in rows}}
     total = {s: sum(x[2] for x in v) for s, v in sources.items()}
@@ -202,10 +220,13 @@ def brute_mix(rows, exponent, blocks_of, budget=None):
             continue
         left = round(budget * raised[s] / sum(raised.values())) if budget else round(scale * raised[s])
         epochs, left = divmod(left, total[s])
-        n = max(1, -(-len(v) // blocks_of))
+        n = 1
+        while n * blocks_of < len(v):
+            n *= 2
         for e in range(epochs):
             out += [(x[0], e + 1) for x in v]
-        for x in sorted(v, key=lambda x: (x[3] % n, x[3])):
+        order = turns[s, n, epochs + 1]
+        for x in sorted(v, key=lambda x: (order[x[3] % n], x[3])):
             if left > 0:
                 out.append((x[0], epochs + 1))
                 left -= x[2]
@@ -218,17 +239,27 @@ def test_mix_rows(spark):
     rows = [(i, " ".join(["w"] * r.randint(0, 20)) + f" {i}", r.choice(["a", "a", "a", "a", "b", "c"])) for i in range(900)] + [(1000 + i, "" if i % 2 else None, "blank") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     seen = [(x.doc_id, x.source, x.tokens, x.h) for x in docs.select("doc_id", *mixing._measured(docs, "doc_id", "text", "source", None, 1)).collect()]
+    turns = turns_of(spark, ["a", "b", "c"])
     for budget in (None, 4000.0):
         sizes = mixing.shares(docs.select(*mixing._measured(docs, "doc_id", "text", "source", None, 1)))
         t = mixing.exponent(sizes, repeats=2.0, budget=budget)
         got = mixing.mix(docs, repeats=2.0, budget=budget, block_rows=32)
-        assert sorted((x.doc_id, x.mix_epoch) for x in got.collect()) == brute_mix(seen, t, 32, budget)
+        got = got.persist()
+        assert sorted((x.doc_id, x.mix_epoch) for x in got.collect()) == brute_mix(seen, t, 32, turns, budget)
+        for s in "abc":  # within an epoch blocks come one after the other, in the epoch's order
+            n = 1
+            while n * 32 < sum(x[1] == s for x in seen):
+                n *= 2
+            epochs = {}
+            for x in got.where(F.col("source") == s).orderBy("mix_slot").collect():
+                epochs.setdefault(x.mix_epoch, []).append(turns[s, n, x.mix_epoch][x.mix_block])
+            assert all(places == sorted(places) for places in epochs.values())
         assert got.where("source = 'blank'").count() == (9 if budget is None else 0)
     twice = mixing.mix(docs, entropy=1.0, tokens=F.lit(2) * mixing.n_tokens(F.col("text")))
     assert twice.where("mix_tokens <> 2 * regexp_count(text, '[^ ]+')").count() == 0
     same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id")).alias("text"), F.lit("s").alias("source"))
     spread = mixing.mix(same, repeats=2.0, block_rows=64).groupBy("mix_block").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mix_slot").alias("k")).collect()
-    assert len(spread) == 63 and max(x.n for x in spread) < 130 and min(x.k for x in spread) > 20
+    assert len(spread) == 64 and max(x.n for x in spread) < 130 and min(x.k for x in spread) > 20
     assert mixing.mix(docs.where("source = 'blank'"), repeats=2.0).count() == 9 and mixing.mix(docs.where("source = 'blank'"), entropy=1.0, budget=10.0).count() == 0
 
 
