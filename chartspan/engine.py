@@ -113,12 +113,14 @@ class Engine:
         return facets.documents(self.events, self.persons)
 
     def search_patients(self, filters: dict[str, object] | None = None, bounds: dict[str, tuple] | None = None, sort: str | None = None, limit: int = 20, query: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """(hits, facet distribution of all that match)."""
+        """(hits, facet distribution of all that match). A query's words may have typing errors; without a sort, fewest errors come first."""
         docs = self.facet_documents()
-        if query:
-            docs = docs.where(facets.mentions(docs, query))
         docs = docs.where(facets.predicate(docs, filters or {}))
-        return facets.search(docs, {}, bounds, sort, limit), facets.distribution(docs)
+        if not query:
+            return facets.search(docs, {}, bounds, sort, limit), facets.distribution(docs)
+        hits = docs.join(facets.text_hits(docs, query), "person_id")
+        found = facets.search(hits, {}, bounds, sort, limit, "person_id" if sort else "rank")
+        return found.drop("rank"), facets.distribution(hits.drop("rank"))
 
     def get_task_prediction(self, person_id: str, task: str) -> DataFrame:
         return labels.label_for(self.task_labels.where(F.col("task") == task), self.spark.createDataFrame([(person_id,)], "patient_id string"))
