@@ -76,10 +76,10 @@ def mentions(docs: DataFrame, query: str) -> Column:
 
 def text_hits(docs: DataFrame, query: str, key: str = "person_id") -> DataFrame:
     """(key, rank) of the documents that hold all words of the query in some field: typing errors are forgiven by a word's length, and
-    the last word may be only begun; fewest errors first."""
+    a word may be only begun; fewest errors first."""
     fields = [f.name for f in docs.schema if f.name != key and isinstance(f.dataType, (T.StringType, T.ArrayType))]
     asked = docs.sparkSession.range(1).select("id", F.lit(query).alias("q"))
-    return typo_search.search(typo_search.build(docs, key, *fields), asked, "id", "q", None).select(F.col("doc").alias(key), "rank")
+    return typo_search.search(typo_search.build(docs, key, *fields), asked, "id", "q", None, all_begun=True).select(F.col("doc").alias(key), "rank")
 
 
 def in_bounds(name: str, low: float | None = None, high: float | None = None) -> Column:

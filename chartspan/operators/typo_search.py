@@ -80,12 +80,13 @@ def matched(index: TypoIndex, words: DataFrame) -> DataFrame:
     return near.unionByName(begun).groupBy("word", "last", "term").agg(F.min("cost").alias("cost"))
 
 
-def search(index: TypoIndex, queries: DataFrame, query: str, text: str, k: int | None) -> DataFrame:
+def search(index: TypoIndex, queries: DataFrame, query: str, text: str, k: int | None, all_begun: bool = False) -> DataFrame:
     """(query, doc, edits, begun, rank): documents that hold a match of every word of the query, fewest errors first, then fewest words that are
-    merely begun, then by document; the k best, or all. A query without a word finds nothing."""
+    merely begun, then by document; the k best, or all. The last word may be merely begun, with all_begun each word. A query
+    without a word finds nothing."""
     found = terms_of(F.col(text))
     asked = queries.select(F.col(query).alias("query"), F.size(found).alias("n"), F.posexplode(found).alias("at", "word"))
-    asked = written(asked.withColumn("last", F.col("at") == F.col("n") - 1), "asked-words")
+    asked = written(asked.withColumn("last", F.lit(True) if all_begun else F.col("at") == F.col("n") - 1), "asked-words")
     terms = written(matched(index, asked.select("word", "last").distinct()), "matched-terms")
     # a document's cost for a word is that of its best term
     hits = asked.join(terms, ["word", "last"]).join(index.postings, "term").groupBy("query", "n", "doc", "at").agg(F.min("cost").alias("cost"))
