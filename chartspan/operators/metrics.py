@@ -100,7 +100,11 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float) -> Data
 
 
 def interpolated(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.percentile(value, q).alias("value"))
+    """The value at place q * (n - 1), counted from 0, between its neighbours in proportion. Values are counted, not gathered."""
+    at = (F.col("_k") - 1) * q
+    low, high = _pick(value, F.floor(at)), _pick(value, F.ceil(at))
+    share = F.max(at - F.floor(at))
+    return _at_rank(rows, keys, value).groupBy(*keys).agg((low + (high - low) * share).cast("double").alias("value"))
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import TERM
-from chartspan.operators import ordered, typo_search
+from chartspan.operators import ordered, reach, sampling, typo_search
 from chartspan.plans.catalog import query
 from chartspan.session import table
 
@@ -44,3 +44,65 @@ def clicks_before_each_event(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events")
     clicks = rows.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"), F.lit(1).cast("long").alias("one"))
     return ordered.as_of(rows.select("event_id", "user_id", F.col("ts").alias("at")), clicks, "user_id", "at", "ts", {"last_click": "click"}, {"n_clicks": "one"}, through=False).drop("at")
+
+
+# ---- deep hierarchies
+
+_HEAP = """e AS (SELECT c_custkey AS child, c_custkey // 2 AS parent FROM customer WHERE c_custkey > 0 UNION ALL SELECT 0, 5),
+r AS (SELECT child AS code, parent AS reached, 1 AS level FROM e UNION SELECT r.code, e.parent, r.level + 1 FROM r JOIN e ON e.child = r.reached WHERE r.level < 40),
+p AS (SELECT code, reached, min(level) AS level FROM r WHERE code <> reached GROUP BY ALL)"""
+
+
+def _heap(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, concepts): each customer below the one of half its key, and a cycle at the top."""
+    people = table(spark, sf, "customer").select("c_custkey")
+    key = lambda c: F.concat(F.lit("C/"), c.cast("string"))
+    edges = people.where("c_custkey > 0").select(key(F.col("c_custkey")).alias("child"), key(F.expr("c_custkey div 2")).alias("parent"))
+    top = people.where("c_custkey = 0").select(F.lit("C/0").alias("child"), F.lit("C/5").alias("parent"))
+    return edges.unionByName(top), people.select(key(F.col("c_custkey")).alias("code"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("description"))
+
+
+@query("WITH RECURSIVE " + _HEAP + " SELECT 'C/' || code AS code, 'C/' || reached AS reached, CAST(level AS INTEGER) AS level FROM p")
+def deep_reachability(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer's ancestors, about as many levels up as its key has bits, with a cycle at the top."""
+    return reach.build(*_heap(spark, sf)).pairs
+
+
+@query("WITH RECURSIVE " + _HEAP + """, n AS (SELECT code, count(*) + 1 AS n_nodes, max(level) AS depth FROM p GROUP BY code), s AS (SELECT code, reached FROM p UNION SELECT code, code FROM p),
+l AS (SELECT s.code, count(*) AS n_links FROM s JOIN e ON e.child = s.reached GROUP BY s.code) SELECT 'C/' || n.code AS root, n_nodes, CAST(depth AS INTEGER) AS depth, n_links FROM n JOIN l USING (code)""")
+def deep_subgraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The subgraph of each customer's ancestors, looked up in the index: nodes, depth, links."""
+    edges, concepts = _heap(spark, sf)
+    nodes, links = reach.closure(reach.build(edges, concepts), concepts.select("code"), concepts)
+    n = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("level").alias("depth"))
+    return n.join(links.groupBy("root").agg(F.count(F.lit(1)).alias("n_links")), "root")
+
+
+@query("WITH RECURSIVE " + _HEAP + """ SELECT 'C/' || a.code AS root, 'C/' || a.reached AS code, 'customer ' || a.reached AS description, 'C' AS vocabulary, list_transform(list_sort(list(e.parent)), lambda x: 'C/' || x) AS parents, true AS found
+FROM (SELECT code, reached FROM p UNION SELECT code, code FROM p) a JOIN e ON e.child = a.reached GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY a.code, a.reached"))
+def subgraph_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    edges, concepts = _heap(spark, sf)
+    nodes, _ = reach.closure(reach.build(edges, concepts), concepts.select("code"), concepts)
+    return reach.metadata_of(nodes, concepts, edges)
+
+
+# ---- samples
+
+
+@query("""WITH r AS (SELECT doc_id, lang, n_chars < 1500 OR n_chars > 4000 AS abnormal FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, abnormal ORDER BY md5('17:' || doc_id), doc_id) AS i FROM r)
+SELECT doc_id, lang, CASE WHEN abnormal THEN 'true' ELSE 'false' END AS label FROM n WHERE i <= CASE WHEN abnormal THEN 40 ELSE 41 END""")
+def balanced_sample_with_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Half normal and half abnormal lengths of each language, labelled false and true."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.lit("").alias("label"), "n_chars")
+    found = sampling.balanced(rows, "lang", "label", 81, 17, "doc_id", positive=(F.col("n_chars") < 1500) | (F.col("n_chars") > 4000), names=("false", "true"))
+    return found.select("doc_id", "lang", "label")
+
+
+@query("""WITH e AS (SELECT event_id, event_type FROM events), q AS (SELECT event_type, count(*) // 3 AS quota FROM e GROUP BY 1)
+SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('23:' || event_id), event_id) AS i FROM e) JOIN q USING (event_type) WHERE i <= quota""")
+def third_of_each_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the events of each type: few strata of many rows."""
+    rows = table(spark, sf, "events").select("event_id", "event_type")
+    quotas = rows.groupBy("event_type").agg(F.expr("count(1) div 3").alias("quota"))
+    return sampling.by_quota(rows, quotas, ["event_type"], 23, "event_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from chartspan.operators import ordered, typo_search
+from chartspan.operators import metrics, ontology, ordered, reach, sampling, typo_search
 
 
 def edits(a, b):
@@ -83,3 +84,65 @@ def test_values_are_carried_over_parts(spark):
     got = ordered.carried(held, ["k"], seen=(F.col("v"), "last"), total=(F.col("v"), "sum")).collect()
     assert all(x.seen == (None if x.id < 3 else (x.id - 3) // 1700 * 1700 + 3) for x in got)
     assert all((x.total or 0) == sum(v for v in (3, 1703, 3403) if v <= x.id) for x in got)
+
+
+def test_a_chain_of_a_thousand_levels(spark, tmp_path, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(reach, "written", lambda df, name, f=reach.written: rounds.append(name) or f(df, name))
+    n = 1000
+    edges = spark.createDataFrame([(f"V/{i}", f"V/{i + 1}") for i in range(n)] + [("V/7", "V/7"), ("V/3", "V/unknown"), (None, "V/1"), ("V/1", None)], "child string, parent string")
+    concepts = spark.range(n + 1).select(F.concat(F.lit("V/"), "id").alias("code"), F.lit("x").alias("description"))
+    reach.build(edges, concepts).save(f"{tmp_path}/r")
+    assert rounds.count("reach") <= 12
+    index = reach.Reach.load(spark, f"{tmp_path}/r")
+    assert index.pairs.count() == n * (n + 1) // 2 and index.pairs.where("level <> cast(substr(reached, 3) as int) - cast(substr(code, 3) as int)").count() == 0
+    nodes, links = reach.closure(index, spark.createDataFrame([("V/0",), ("V/990",), ("V/1000",), (None,)], "code string"), concepts)
+    assert {x.root: x["count"] for x in nodes.groupBy("root").count().collect()} == {"V/0": 1001, "V/990": 11, "V/1000": 1}
+    assert links.where("root = 'V/0'").count() == 1001  # with the loop at V/7
+    assert reach.Reach.load(spark, f"{tmp_path}/none") is None
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_reach_is_the_closure(spark, up):
+    r = random.Random(up)
+    codes = [f"{r.choice('AB')}/{i}" for i in range(40)]
+    edges = spark.createDataFrame([(r.choice(codes), r.choice(codes)) for _ in range(70)], "child string, parent string")
+    concepts = spark.createDataFrame([(c, f"about {c}") for c in codes[:36]], "code string, description string")
+    starts = spark.createDataFrame([(c,) for c in codes], "code string")
+    for vocabularies in (None, ["A"]):
+        want = ontology.closure(starts, edges, concepts, up, vocabularies)
+        got = reach.closure(reach.build(edges, concepts, up, vocabularies), starts, concepts)
+        assert sorted(map(tuple, got[0].collect())) == sorted(map(tuple, want[0].collect()))
+        assert sorted(map(tuple, got[1].collect())) == sorted(map(tuple, want[1].collect()))
+    assert reach.build(edges.limit(0), concepts).pairs.count() == 0
+
+
+@pytest.mark.parametrize("bits", [4, 12])
+def test_samples_by_cuts(spark, monkeypatch, bits):
+    monkeypatch.setattr(sampling, "BITS", bits)
+    r = random.Random(bits)
+    rows = [(i, r.choice(["a", "a", "a", "b", "c", None]), r.choice([0, 1, None])) for i in range(700)] + [(700, "alone", 1), (5, "a", 0)]
+    df = spark.createDataFrame(rows, "i long, g string, y int")
+    quotas = {"a": 120, "b": 0, "c": 10_000, "alone": 1, "nobody": 4}
+    order = sorted(rows, key=lambda x: (hashlib.md5(f"9:{x[0]}".encode()).hexdigest(), x[0]))
+    got = sampling.by_quota(df, spark.createDataFrame(list(quotas.items()), "g string, quota long"), ["g"], 9, "i").collect()
+    own = lambda g: [x for x in order if x[1] == g]
+    # rows of one id share their draw and come in together
+    want = [x for g, q in quotas.items() for x in own(g) if q and (q > len(own(g)) or x[0] in {y[0] for y in own(g)[:q]})]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    turned = {(x.i, x.g): x.y for x in sampling.flipped(df.where("y is not null"), "y", 30, 9, "g", "i").collect()}
+    for g in "abc":
+        flips = [x for x in [y for y in order if y[2] is not None] if x[1] == g and turned[x[0], g] != x[2] and x[0] != 5]
+        assert 28 <= len(flips) <= 30
+    named = sampling.balanced(df, "g", "y", 41, 9, "i", names=(-1, 9)).groupBy("g", "y").count().collect()
+    assert {(x.g, x.y): x["count"] for x in named if x.g in ("a", "c")} == {("a", 9): 20, ("a", -1): 21, ("c", 9): 20, ("c", -1): 21}
+
+
+def test_interpolated_percentiles(spark):
+    r = random.Random(1)
+    rows = [(r.choice("abc"), r.choice([None, r.randrange(20), r.randrange(1000)])) for _ in range(400)] + [("d", 7), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    for q in (0.0, 0.1, 0.5, 0.937, 1.0):
+        got = {x.k: x.value for x in metrics.interpolated(df, ["k"], "v", q).collect()}
+        want = {x.k: x.v for x in df.where("v is not null").groupBy("k").agg(F.percentile("v", q).alias("v")).collect()}
+        assert got == pytest.approx(want)
