@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartspan.session import shared_dir, written  # noqa: F401  the operators take both from here
+
 #: Words are runs of characters that are none of these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='chartspan-')}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where all tasks run in the driver, as in tests, a
-    temporary one will do; elsewhere its want is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return (found or _own_dir()).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read back: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

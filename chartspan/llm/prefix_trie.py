@@ -12,10 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspan.llm.common import text_or_empty, written
+from chartspan.operators.ordered import in_order
 
 #: Conversations of so many consecutive ids start with the turns of the first of them, in the query's contract; so many different lengths.
 FAMILY, SHARED = 100, 6
@@ -24,13 +25,6 @@ LAST = 1 << 16
 _NAME, _SUMS = "decimal(38,0)", ("n", "leaves", "saved")
 
 
-def in_order(df: DataFrame, *by: Column | str) -> DataFrame:
-    """df written in order, with _part and _place: all rows of a part come before those of the next, and places number the rows of a part.
-    However many rows a key has, they lie in parts of about one size (rows that are equal in all of `by` stay together)."""
-    parts = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    return written(parts.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "in-order")
-
-
 def turns(conversations: DataFrame) -> DataFrame:
     """(c, turn, x, n): x names role and text, n is the text's code points; null role or text becomes empty."""
     role, text = text_or_empty("role"), text_or_empty("text")
