@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartspan.operators import ontology
-from chartspan.session import written
+from chartspan.session import or_none, written
 
 
 @dataclass
@@ -34,12 +33,10 @@ class Reach:
     @classmethod
     def load(cls, spark, path: str) -> Reach | None:
         """The index stored at path, or None."""
-        try:
-            up = spark.read.parquet(f"{path}/whole").first()["up"]
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        mark = or_none(lambda: spark.read.parquet(f"{path}/whole"))
+        if mark is None:
             return None
+        up = mark.first()["up"]
         return cls(spark.read.parquet(f"{path}/pairs"), spark.read.parquet(f"{path}/edges"), up)
 
 

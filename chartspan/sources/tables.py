@@ -7,12 +7,11 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import blank_to_null
-from chartspan.session import written
+from chartspan.session import or_none, written
 
 
 def read_vocabulary(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -132,14 +131,8 @@ def pending(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def append_results(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Appends to a JSON folder the rows whose keys it lacks."""
-    spark = rows.sparkSession
-    try:
-        done = spark.read.schema(rows.schema).json(path)
-        done.schema  # noqa: B018
-        rows = pending(rows, done, keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    done = or_none(lambda: rows.sparkSession.read.schema(rows.schema).json(path))
+    rows = rows if done is None else pending(rows, done, keys)
     rows.write.mode("append").json(path)
 
 
@@ -200,12 +193,7 @@ def cached_by_key(wanted: DataFrame, path: str, keys: list[str], make) -> DataFr
     So contexts and events of (person_id, prediction_time, task) are made once."""
     spark = wanted.sparkSession
     asked = wanted.select(*keys).distinct()
-    try:
-        known = spark.read.parquet(path)
-        missing = pending(asked, known, keys)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        missing = asked
+    known = or_none(lambda: spark.read.parquet(path))
+    missing = asked if known is None else pending(asked, known, keys)
     make(written(missing, "missing-keys")).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(asked, keys, "left_semi")

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartspan.operators import metrics, ontology, ordered, reach, sampling, typo_search
+from chartspan.sources import mutable
+from chartspan.streaming import ingest
 
 
 def edits(a, b):
@@ -146,3 +148,49 @@ def test_interpolated_percentiles(spark):
         got = {x.k: x.value for x in metrics.interpolated(df, ["k"], "v", q).collect()}
         want = {x.k: x.v for x in df.where("v is not null").groupBy("k").agg(F.percentile("v", q).alias("v")).collect()}
         assert got == pytest.approx(want)
+
+
+def test_mutable_table(spark, tmp_path, monkeypatch):
+    t = mutable.MutableTable(spark, str(tmp_path / "t"), ["k", "g"], "at", buckets=5)
+    assert t.rows() is None and t.get(spark.createDataFrame([("a", 1)], "k string, g long")) is None
+    r, want, reads = random.Random(3), {}, []
+    monkeypatch.setattr(mutable.MutableTable, "_read", lambda self, held, f=mutable.MutableTable._read: reads.append(sorted(held)) or f(self, held))
+    for n in range(9):
+        fresh = [(r.choice([None, "a", "b", "c", "dd"]), r.randrange(3), r.randrange(20), f"{n}-{i}") for i in range(r.choice([0, 1, 4, 12]))]
+        fresh = list({(k, g): (k, g, at, v) for k, g, at, v in sorted(fresh, key=lambda x: x[2])}.values())
+        for k, g, at, v in fresh:
+            if (k, g) not in want or want[k, g][0] <= at:
+                want[k, g] = (at, v)
+        assert t.put(spark.createDataFrame(fresh, "k string, g long, at long, v string")) == n + 1
+        assert {(x.k, x.g): (x.at, x.v) for x in t.rows().collect()} == want
+    # one key more: one bucket is read at most
+    reads.clear()
+    t.put(spark.createDataFrame([("a", 1, 99, "last")], "k string, g long, at long, v string"))
+    assert all(len(x) <= 1 for x in reads)
+    got = t.get(spark.createDataFrame([("a", 1), ("a", 1), ("nobody", 0)], "k string, g long")).collect()
+    assert [(x.at, x.v) for x in got] == [(99, "last")] and len(reads[-1]) <= 2
+    before = sorted(map(tuple, t.rows().collect()), key=repr)
+    assert t.vacuum() > 0 and sorted(map(tuple, t.rows().collect()), key=repr) == before
+
+
+def test_stream_compacted_and_restarted(spark, tmp_path):
+    """Counts are the same whether batches were folded or not, over restarts; what is read is the base and the batches after it."""
+    out = str(tmp_path / "counts")
+
+    def run(name, *rows):
+        made = spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+        made.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in" / "*"))
+        ingest.counted(ingest.windowed_counts(stream), out, str(tmp_path / "ck"), compact_every=2).awaitTermination()
+        return {(x.start.hour, x.event_type): x.n for x in ingest.current_counts(spark, out).collect()}
+
+    want = {}
+    for n in range(5):
+        want[5, f"x{n}"] = 1
+        want[5, "y"] = n + 1
+        assert run(str(n), ("2024-01-01 05:10:00", f"x{n}"), ("2024-01-01 05:20:00", "y")) == want
+    left = sorted(p.name for p in (tmp_path / "counts").iterdir() if p.is_dir())
+    folded = ingest._folded(spark, out)
+    assert folded >= 3 and all(int(x.split("=")[1]) > folded for x in left) and len(left) <= 2
+    ingest.compact(spark, out, ["start", "end", "event_type"], folded)  # again: nothing changes
+    assert {(x.start.hour, x.event_type): x.n for x in ingest.current_counts(spark, out).collect()} == want
