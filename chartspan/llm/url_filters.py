@@ -16,11 +16,11 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DEPTH = 4
 #: A node's children are variable if it has so many values at least, and so large a share of its rows that differ.
 VALUES, SHARE = 16, 0.1
-#: Branches whose labelled shares differ by less than Z standard errors from the parent's are one.
+#: Siblings whose labelled shares differ by at most Z standard errors of the difference are alike.
 Z = 2.58
 #: Rows that the share of the level above counts for, and the purity below which a template is rejected.
 PRIOR, PURITY = 8.0, 0.5
-#: The name of merged branches.
+#: How the names of merged branches begin, which no literal and no wildcard does; the share of bad rows in thousandths follows, if known.
 MERGED = "**"
 #: Endings of pages' names.
 EXTENSION = r"\.(?:html?|php|aspx?|jsp|xml|json|pdf|txt)"
@@ -86,30 +86,68 @@ def templates(pages: DataFrame, depth: int = DEPTH, values: int = VALUES, share:
     return rows.drop("_segments")
 
 
+def _alike(siblings: Column, z: float) -> Column:
+    """Array of (l, b, low): for each (l, b), in order of share, the first entry of its set. A set takes the next sibling while that is alike
+    to all that the set holds together: two shares, pooled for their error."""
+    last = lambda s: F.element_at(s["done"], -1)
+
+    def step(s: Column, x: Column) -> Column:
+        p = (s["b"] + x["b"] + 0.5) / (s["l"] + x["l"] + 1)
+        near = F.abs(s["b"] / s["l"] - x["b"] / x["l"]) <= z * F.sqrt(p * (1 - p) * (1 / s["l"] + 1 / x["l"]))
+        joins = F.coalesce((s["l"] > 0) & near, F.lit(False))
+        low = F.when(joins, last(s)["low"]).otherwise(x["i"])
+        return F.struct(
+            F.concat(s["done"], F.array(F.struct(x["l"].alias("l"), x["b"].alias("b"), low.alias("low")))).alias("done"),
+            F.when(joins, s["l"] + x["l"] * x["n"]).otherwise(x["l"] * x["n"]).alias("l"), F.when(joins, s["b"] + x["b"] * x["n"]).otherwise(x["b"] * x["n"]).alias("b"),
+        )
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<struct<l:bigint,b:bigint,low:int>>").alias("done"), zero.alias("l"), zero.alias("b"))
+    numbered = F.transform(siblings, lambda x, i: F.struct(i.alias("i"), x["l"].alias("l"), x["b"].alias("b"), x["n"].alias("n")))
+    return F.aggregate(numbered, start, step)["done"]
+
+
 def merged(stats: DataFrame, depth: int = DEPTH, z: float = Z) -> DataFrame:
     """(host, template) -> branch, over a table of (host, template, labelled, bad), one row each; both are arrays of segments.
 
-    From the leaves up, siblings whose share of bad rows is within z standard errors of what their parent's branches show
-    together become one branch, named MERGED, which no literal and no wildcard of a variable segment is; a branch that stands out
-    keeps its name. What lies below merged siblings counts as one where the names are the same.
+    From the root down, siblings in order of their share of bad rows are put together while they are alike. A set of several is one
+    branch from then on: its children are each other's siblings, those of one name being one. Siblings without labels are a branch
+    of their own. A sibling that is alike to no other keeps its name. Siblings of equal counts are alike and stand as one entry, so what
+    a parent gathers are the different counts of its children, not the children.
     """
     found = stats.select("host", "template", F.col("template").alias("branch"), "labelled", "bad")
-    for level in range(depth, 0, -1):
+    for level in range(1, depth + 1):
         deep = found.where(F.size("branch") >= level).withColumns({"up": F.slice("branch", 1, level - 1), "at": F.get("branch", F.lit(level - 1))})
         branches = deep.groupBy("host", "up", "at").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        together = branches.groupBy("host", "up").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        p = (F.col("all_b") + 0.5) / (F.col("all_l") + 1)
-        apart = F.abs(F.col("b") - p * F.col("l")) > z * F.sqrt(F.col("l") * p * (1 - p))
-        stays = branches.join(together, ["host", "up"]).where(apart).select("host", "up", "at", F.lit(True).alias("_stays"))
-        named = deep.join(stays, ["host", "up", "at"], "left")
+        branches = written(branches, "siblings")
+        counts = branches.groupBy("host", "up", "l", "b").agg(F.count(F.lit(1)).alias("n"))
+        entries = F.array_sort(F.collect_list(F.when(F.col("l") > 0, F.struct((F.col("b") / F.col("l")).alias("share"), "l", "b", "n"))))
+        sets = counts.groupBy("host", "up").agg(entries.alias("e")).select("host", "up", F.explode(_alike(F.col("e"), z)).alias("m")).select("host", "up", "m.*")
+        sized = counts.join(sets, ["host", "up", "l", "b"], "left").withColumn("low", F.coalesce("low", F.lit(-1)))
+        together = sized.groupBy("host", "up", "low").agg(F.sum("n").alias("members"), F.sum(F.col("l") * F.col("n")).alias("all_l"), F.sum(F.col("b") * F.col("n")).alias("all_b"))
+        thousandths = F.coalesce(F.round(F.try_divide(1000 * F.col("all_b"), F.col("all_l"))).cast("int").cast("string"), F.lit(""))
+        named = sized.join(together, ["host", "up", "low"]).where("members > 1").select("host", "up", "l", "b", F.concat(F.lit(MERGED), thousandths).alias("_name"))
+        names = branches.join(named, ["host", "up", "l", "b"]).select("host", "up", "at", "_name")
         rest = F.slice("branch", level + 1, 2**31 - 1)
-        named = named.withColumn("branch", F.concat("up", F.array(F.when(F.col("_stays"), F.col("at")).otherwise(MERGED)), rest))
-        found = written(named.select(found.columns).unionByName(found.where(F.size("branch") < level)), "branches")
+        renamed = deep.join(names, ["host", "up", "at"], "left").withColumn("branch", F.concat("up", F.array(F.coalesce("_name", "at")), rest))
+        found = written(renamed.select(found.columns).unionByName(found.where(F.size("branch") < level)), "branches")
     return found.select("host", "template", "branch")
 
 
+def purities(branches: DataFrame, hosts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(host, branch, purity) of branches(host, branch, l, b): the smoothed share of good rows among the labelled ones. A branch without labels
+    has what its nearest branch above shows that has some."""
+    share = lambda bad, labelled, above: (bad + prior * above) / (labelled + prior)
+    above = F.transform(F.sequence(F.lit(0), F.size("branch")), lambda n: F.slice("branch", 1, n))
+    each = branches.select("host", "branch", "l", "b", F.explode(above).alias("up"))
+    sums = each.where("l > 0").groupBy("host", "up").agg(F.sum("l").alias("up_l"), F.sum("b").alias("up_b"))
+    near = each.where("l = 0").join(sums, ["host", "up"]).groupBy("host", "branch").agg(F.max_by(F.struct("up_l", "up_b"), F.size("up")).alias("m"))
+    known = branches.join(near, ["host", "branch"], "left").withColumns({"l": F.coalesce("m.up_l", "l"), "b": F.coalesce("m.up_b", "b")})
+    return known.join(hosts, "host").select("host", "branch", (1 - share(F.col("b"), F.col("l"), F.col("_host"))).alias("purity"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, prior: float = PRIOR, purity: float = PURITY) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, template (of the merged branch), purity.
+    """One row per page: id, host, path, rule, verdict, template, branch (the template with alike siblings merged), purity.
 
     labels: (label_key, bad 0/1), one row per key; a page's key is the last number of its path. A page that a rule fits has the
     rule's verdict; any other is blocked if its branch's purity, the share of good rows among the labelled ones, smoothed with
@@ -130,10 +168,10 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     share = lambda bad, labelled, above: (bad + prior * above) / (labelled + prior)
     total = stats.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")).select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("l", F.lit(0)) + 2)).alias("all"))  # one row
     hosts = stats.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hl")).join(F.broadcast(total)).withColumn("_host", share(F.col("hb"), F.col("hl"), F.col("all")))
-    branches = stats.join(names, ["host", "template"]).groupBy("host", "branch").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
-    pure = branches.join(hosts, "host").select("host", "branch", (1 - share(F.col("b"), F.col("l"), F.col("_host"))).alias("purity"))
+    branches = written(stats.join(names, ["host", "template"]).groupBy("host", "branch").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")), "branch-stats")
+    pure = purities(branches, hosts, prior)
     known_templates = written(names.join(pure, ["host", "branch"]), "purity")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(known_templates, ["host", "template"]).select(
-        id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < purity, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("branch", "/")).alias("template"), "purity"
+        id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < purity, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.concat(F.lit("/"), F.array_join("branch", "/")).alias("branch"), "purity"
     )

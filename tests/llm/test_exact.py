@@ -364,20 +364,28 @@ def brute_url_verdicts(pages, labels, depth=4, values=16, share=0.1, z=2.58, pri
         if bad is not None:
             a[0], a[1] = a[0] + 1, a[1] + bad
     branch = {k: k[1] for k in own}
-    for level in range(depth, 0, -1):
-        sums = defaultdict(lambda: np.zeros(2))
+    for level in range(1, depth + 1):
+        sums = defaultdict(lambda: np.zeros(2, int))
         for k, b in branch.items():
             if len(b) >= level:
                 sums[k[0], b[: level - 1], b[level - 1]] += own[k]
-        up = defaultdict(lambda: np.zeros(2))
-        for (host, b, _), x in sums.items():
-            up[host, b] += x
-        for k, b in branch.items():
-            if len(b) >= level:
-                (n, bad), (all_n, all_bad) = sums[k[0], b[: level - 1], b[level - 1]], up[k[0], b[: level - 1]]
-                p = (all_bad + 0.5) / (all_n + 1)
-                if not abs(bad - p * n) > z * math.sqrt(n * p * (1 - p)):
-                    branch[k] = (*b[: level - 1], "**", *b[level:])
+        names = {}
+        for host, up in {x[:2] for x in sums}:
+            children = sorted((x for x in sums if x[:2] == (host, up)), key=lambda x: (sums[x][1] / sums[x][0] if sums[x][0] else -1, *sums[x]))
+            sets = [[x for x in children if not sums[x][0]]]
+            for x in children[len(sets[0]) :]:
+                (n, bad), (m, worse) = sums[x], sum((sums[y] for y in sets[-1]), np.zeros(2, int))
+                p = (bad + worse + 0.5) / (n + m + 1)
+                same = m and tuple(sums[sets[-1][-1]]) == (n, bad)  # entries of equal counts are one
+                if same or m and abs(bad / n - worse / m) <= z * math.sqrt(p * (1 - p) * (1 / m + 1 / n)):
+                    sets[-1].append(x)
+                else:
+                    sets.append([x])
+            for members in sets:
+                if len(members) > 1:
+                    n, bad = sum((sums[y] for y in members), np.zeros(2, int))
+                    names |= {y: f"**{int(1000 * bad / n + 0.5) if n else ''}" for y in members}
+        branch = {k: b if len(b) < level else (*b[: level - 1], names.get((k[0], b[: level - 1], b[level - 1]), b[level - 1]), *b[level:]) for k, b in branch.items()}
     total, hosts, branches = np.zeros(2), defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2))
     for k, x in own.items():
         total, hosts[k[0]] = total + x, hosts[k[0]] + x
@@ -385,7 +393,12 @@ def brute_url_verdicts(pages, labels, depth=4, values=16, share=0.1, z=2.58, pri
     smooth = lambda x, above: (x[1] + prior * above) / (x[0] + prior)
     out = {}
     for page, (host, _, t) in rows.items():
-        good = 1 - smooth(branches[host, branch[host, t]], smooth(hosts[host], (total[1] + 1) / (total[0] + 2)))
+        b = branch[host, t]
+        shown = branches[host, b]
+        while not shown[0] and b:
+            b = b[:-1]
+            shown = sum((x for (h, c), x in branches.items() if h == host and c[: len(b)] == b), np.zeros(2))
+        good = 1 - smooth(shown, smooth(hosts[host], (total[1] + 1) / (total[0] + 2)))
         out[page] = ("/" + "/".join(branch[host, t]), good, "block" if good < purity else "allow")
     return out
 
@@ -408,7 +421,7 @@ def test_url_tree(spark):
     labels |= {i: int(i % 7 == 0) for i in range(520) if i not in labels}
     want = brute_url_verdicts(pages, labels)
     got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "label_key long, bad int"), rules=()).collect()
-    assert {x.page_id: (x.template, round(x.purity, 9), x.verdict) for x in got} == {k: (a, round(b, 9), c) for k, (a, b, c) in want.items()}
+    assert {x.page_id: (x.branch, round(x.purity, 9), x.verdict) for x in got} == {k: (a, round(b, 9), c) for k, (a, b, c) in want.items()}
     assert sum(x.verdict == "block" for x in got) > 200
 
 
@@ -419,7 +432,25 @@ def test_merged_branches_take_no_siblings_name(spark):
     parts = spark.createDataFrame([(i, "h", p, b) for i, p, b in rows], "i int, host string, path string, bad int")
     stats = url_filters.templates(parts).groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.sum("bad").alias("bad"))
     got = {(tuple(x.template), tuple(x.branch)) for x in url_filters.merged(stats).collect()}
-    assert {b for t, b in got if t == ("p", "*")} == {("**", "*")} and {b for t, b in got if t != ("p", "*")} == {("**", "**")}
+    assert {b for t, b in got if t == ("p", "*")} == {("p", "*")} and {b for t, b in got if t != ("p", "*")} == {("p", "**0")}
+
+
+def test_alike_branches_are_one(spark):
+    """Bad branches stand together, however thin each is, apart from good ones; branches without labels go by what stands above them."""
+    def verdicts(*branches):
+        pages, labels = [], []
+        for name, n, bad in branches:
+            pages += [(len(pages) + i, f"http://a.com/{name}/item{len(pages) + i}.html") for i in range(n)]
+            labels += [] if bad is None else [(len(pages) - n + i, bad) for i in range(n)]
+        got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "label_key long, bad int"), rules=()).collect()
+        return {(x.template.split("/")[1], x.branch, x.verdict) for x in got}
+
+    leaf = "*{n}.html"
+    assert verdicts(("good", 200, 0), ("spamA", 60, 1), ("spamB", 60, 1), ("unlab", 40, None)) == {
+        ("good", f"/good/{leaf}", "allow"), ("spamA", f"/**1000/{leaf}", "block"), ("spamB", f"/**1000/{leaf}", "block"), ("unlab", f"/unlab/{leaf}", "allow"),
+    }
+    thin = verdicts(("good", 400, 0), *((f"bad{c}", 5, 1) for c in "abcdefghijkl"))
+    assert {v for t, b, v in thin if t == "good"} == {"allow"} and {(b, v) for t, b, v in thin if t != "good"} == {("/**1000/**1000", "block")}
 
 
 def test_url_templates(spark):
@@ -432,7 +463,7 @@ def test_url_templates(spark):
     rows += [(600 + i, f"http://b.com/news/{600 + i}") for i in range(60)]
     labels += [(600 + i, 0) for i in range(60)] + [(None, 1), (5, None)]
     got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "label_key long, bad int"), rules=()).collect()
-    assert {x.template for x in got if x.verdict == "block"} == {"/spam/**"} and sum(x.verdict == "block" for x in got) == 200
+    assert {x.branch for x in got if x.verdict == "block"} == {"/spam/*{n}.html"} and sum(x.verdict == "block" for x in got) == 200
     parts = spark.createDataFrame([(i, "a.com", f"/{'ab'[i % 2]}/x{i}") for i in range(200)], "i int, host string, path string")
     assert {tuple(x.template) for x in url_filters.templates(parts).collect()} == {("a", "*{n}"), ("b", "*{n}")}
 
