@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm import boosting
+from chartspan.llm import boosting, personal_numbers
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, number of the kind
@@ -41,6 +41,8 @@ COUNTER_CUES = ("version", "isbn", "order", "invoice", "page", "pages", "year",
 CONTEXT = 32
 #: Digits of the longest number that is proposed as a part of a run, and proposals that are looked at together.
 MOST_DIGITS, AT_ONCE = 19, 20_000
+#: Numbers of a text beyond which its proposals are made and judged as arrays.
+FEW = 48
 #: Examples that the trees are fitted on, half of them held out for the thresholds, and the precision these must show: the lower
 #: end of its 95 % interval (Wilson's, of one side), so that a lucky run of few spans sets no threshold.
 EXAMPLES, PRECISION, SURE = 12_000, 0.97, 1.64
@@ -137,12 +139,16 @@ def candidates(text: str, base: list[Span] | None = None) -> list[Span]:
     taken = disjoint(base or [])
     for m in _NUMBER.finditer(text):
         found += _numbers(text, m.span(), taken)
+    return found + list(_spelled(text, taken))
+
+
+def _spelled(text: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
+    """Spelled-out addresses."""
     if "at" in text.lower():
         for m in _AT.finditer(text):
             start = _run_start(text, m.start(), 0)
             if start < m.start() and not _overlaps(taken, start, m.end()):
-                found.append((start, m.end(), 0))
-    return found
+                yield start, m.end(), 0
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -269,20 +275,43 @@ def trained(seed: int = 11, examples: int = EXAMPLES) -> tuple[boosting.Boosted,
     return trees, limits
 
 
+def _many(text: str, base: list[Span], trees: boosting.Boosted, limits: list[float]) -> list[tuple[tuple, Span]]:
+    """The accepted proposals of a text of very many numbers with their keys: by arrays, a block at a time, in memory of the text's order."""
+    runs, taken = [m.span() for m in _NUMBER.finditer(text)], disjoint(base)
+    judge = personal_numbers.Judge(trees.probability, len(features("", (0, 0, 0))))
+    least = np.array(limits)
+    good = []
+    for spans, rows in personal_numbers.proposals(text, runs, taken, MOST_DIGITS, CONTEXT, CUES, COUNTER_CUES):
+        p = judge(rows)
+        for x, (start, end, kind, run, group, turn) in zip(p[p >= least[spans[:, 2]]].tolist(), spans[p >= least[spans[:, 2]]].tolist()):
+            good.append(((-x, 0, run, start - end, group, turn), (start, end, kind)))
+    single = [((0, run, a - b, -1, 0), (a, b, 1)) for run, a, b in ((a, a, b) for a, b in runs) if text.count(".", a, b) == 3 and not _overlaps(taken, a, b)]
+    single += [((1, i), s) for i, s in enumerate(_spelled(text, taken))]
+    for at in range(0, len(single), AT_ONCE):
+        some = single[at : at + AT_ONCE]
+        p = trees.probability(np.array([features(text, s) for _, s in some], np.float64))
+        good += [((-x, *key), s) for x, (key, s) in zip(p.tolist(), some) if x >= limits[s[2]]]
+    return good
+
+
 def added_spans(texts: list[str], base: list[list[Span]], model: tuple[boosting.Boosted, list[float]]) -> list[list[Span]]:
     """For each text the proposals that the trees accept and that overlap neither the rules' spans nor a likelier proposal."""
     trees, limits = model
-    proposed = ((i, s) for i, t in enumerate(texts) for s in candidates(t, base[i]))
-    good: list[tuple[float, int, Span]] = []
+    many = [sum(1 for _ in itertools.islice(_DIGITS.finditer(t), FEW + 1)) > FEW for t in texts]
+    proposed = ((i, s) for i, t in enumerate(texts) if not many[i] for s in candidates(t, base[i]))
+    good: list[list[tuple[tuple, Span]]] = [_many(t, b, trees, limits) if m else [] for t, b, m in zip(texts, base, many)]
     while some := list(itertools.islice(proposed, AT_ONCE)):
         p = trees.probability(np.array([features(texts[i], s) for i, s in some], np.float64))
-        good += [(-x, i, s) for x, (i, s) in zip(p.tolist(), some) if x >= limits[s[2]]]
+        for x, (i, s) in zip(p.tolist(), some):
+            if x >= limits[s[2]]:
+                good[i].append(((-x, len(good[i])), s))
     out: list[list[Span]] = [[] for _ in texts]
-    taken: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for _, i, s in sorted(good, key=lambda g: g[0]):
-        if not _overlaps(taken[i], s[0], s[1]):
-            bisect.insort(taken[i], s[:2])
-            out[i].append(s)
+    for i, found in enumerate(good):
+        taken: list[tuple[int, int]] = []
+        for _, s in sorted(found, key=lambda g: g[0]):
+            if not _overlaps(taken, s[0], s[1]):
+                bisect.insort(taken, s[:2])
+                out[i].append(s)
     return out
 
 
@@ -295,7 +324,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text counts as empty; a text without spans has empty strings' digest and spans. Spans of one start are ordered by
     kind; of proposals that overlap, the likelier is taken, of equally likely ones the first proposed. A very long text is read whole, its
-    proposals AT_ONCE at a time. Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows. No row
+    proposals a block of numbers at a time. Null ids and repeated rows stay. Other columns are ignored. An empty table gives no rows. No row
     leaves its partition.
     """
     model = trained()

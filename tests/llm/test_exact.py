@@ -463,7 +463,7 @@ def test_url_templates(spark):
     rows += [(600 + i, f"http://b.com/news/{600 + i}") for i in range(60)]
     labels += [(600 + i, 0) for i in range(60)] + [(None, 1), (5, None)]
     got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "label_key long, bad int"), rules=()).collect()
-    assert {x.branch for x in got if x.verdict == "block"} == {"/spam/*{n}.html"} and sum(x.verdict == "block" for x in got) == 200
+    assert {x.branch for x in got if x.verdict == "block"} == {"/spam/*-{n}.html"} and sum(x.verdict == "block" for x in got) == 200
     parts = spark.createDataFrame([(i, "a.com", f"/{'ab'[i % 2]}/x{i}") for i in range(200)], "i int, host string, path string")
     assert {tuple(x.template) for x in url_filters.templates(parts).collect()} == {("a", "*{n}"), ("b", "*{n}")}
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
-from chartspan.llm import personal_data, secret_scan
+from chartspan.llm import personal_data, personal_numbers, secret_scan
 from tests.llm.test_exact import frame
 
 
@@ -26,6 +28,42 @@ def test_numbers_beside_each_other(spark):
     assert clean[0] == "call [PHONE] [PHONE]" and clean[2] == "call [IP] [PHONE]"
 
 
+def test_numbers_as_arrays(monkeypatch):
+    """Proposals, features and accepted spans of texts of many numbers are those that come one by one."""
+    monkeypatch.setattr(personal_numbers, "BLOCK", 7)
+    model, r = personal_data.trained(), random.Random(12)
+    parts = ["1", "23", "456", "4567", "20", "0", "00", "19", "1999", "4242424242424242", "4242", "255", "256", "10.0.0.1", "+49 170 1234567", "(415) 555-2671", "555-123-4567", "bob (at) example (dot) com"]
+    parts += [" ", " ", " ", "-", ".", "(", ")", "+", "/", "x", "€", "%", "call ", "phone: ", "version ", "card ", "é", "K", ", ", "\n", "$", "\x00"]
+    for n in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
+        base = personal_data.base_spans(text)
+        runs, taken = [m.span() for m in personal_data._NUMBER.finditer(text)], personal_data.disjoint(base)
+        got = {}
+        for spans, rows in personal_numbers.proposals(text, runs, taken, personal_data.MOST_DIGITS, personal_data.CONTEXT, personal_data.CUES, personal_data.COUNTER_CUES):
+            got |= {tuple(s[:3]): row for s, row in zip(spans.tolist(), rows.tolist())}
+        want = {s: personal_data.features(text, s) for s in personal_data.candidates(text, base) if s[2] and not (s[2] == 1 and s[:2] in runs)}
+        assert got == want, text
+        few = personal_data.added_spans([text], [base], model)
+        monkeypatch.setattr(personal_data, "FEW", -1)
+        assert personal_data.added_spans([text], [base], model) == few, text
+        monkeypatch.undo()
+        monkeypatch.setattr(personal_numbers, "BLOCK", 7)
+
+
+def test_a_megabyte_of_numbers():
+    """About 9 million proposals: nine seconds on a quiet machine, where they took eleven minutes one by one; memory in proportion."""
+    model, r = personal_data.trained(), random.Random(5)
+    for text, limit in (("1 " * 500_000, 30), (" ".join(str(r.randrange(10 ** r.randint(1, 5))) for _ in range(250_000)), 40)):
+        began = time.perf_counter()
+        personal_data.added_spans([text], [personal_data.base_spans(text)], model)
+        assert time.perf_counter() - began < limit
+    tracemalloc.start()
+    personal_data.added_spans(["1 " * 100_000], [[]], model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
+
+
 def test_proposals_hold_every_part():
     r = random.Random(6)
     for _ in range(5000):
