@@ -119,7 +119,6 @@ def merged(stats: DataFrame, depth: int = DEPTH, z: float = Z) -> DataFrame:
     for level in range(1, depth + 1):
         deep = found.where(F.size("branch") >= level).withColumns({"up": F.slice("branch", 1, level - 1), "at": F.get("branch", F.lit(level - 1))})
         branches = deep.groupBy("host", "up", "at").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        branches = written(branches, "siblings")
         counts = branches.groupBy("host", "up", "l", "b").agg(F.count(F.lit(1)).alias("n"))
         entries = F.array_sort(F.collect_list(F.when(F.col("l") > 0, F.struct((F.col("b") / F.col("l")).alias("share"), "l", "b", "n"))))
         sets = counts.groupBy("host", "up").agg(entries.alias("e")).select("host", "up", F.explode(_alike(F.col("e"), z)).alias("m")).select("host", "up", "m.*")
