@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import TERM
-from chartspan.operators import ordered, reach, sampling, typo_search
+from chartspan.operators import ordered, reach, sampling, text_index, typo_search
 from chartspan.plans.catalog import query
 from chartspan.session import table
 
@@ -106,3 +106,16 @@ def third_of_each_kind(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", "event_type")
     quotas = rows.groupBy("event_type").agg(F.expr("count(1) div 3").alias("quota"))
     return sampling.by_quota(rows, quotas, ["event_type"], 23, "event_id")
+
+
+# ---- stems
+
+@query("""WITH d AS (SELECT 'P/' || p_partkey AS doc, unnest(string_split(regexp_replace(p_name || CASE WHEN p_partkey % 2 = 1 THEN 's' ELSE '' END, '(anvil|bolt|gear|gizmo|plate|ring|rod|widget)s$', '\\1'), ' ')) AS term FROM part),
+q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)), n AS (SELECT count(DISTINCT doc) AS n, count(*) / count(DISTINCT doc) AS avgdl FROM d),
+l AS (SELECT doc, count(*) AS len FROM d GROUP BY doc), p AS (SELECT doc, term, count(*) AS tf FROM d GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT doc AS code, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc), n GROUP BY doc ORDER BY score DESC, code LIMIT 25""")
+def code_search_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions of which every other is in the plural, asked in the plural."""
+    parts = table(spark, sf, "part").select(F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("code"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 1, "s").otherwise("")).alias("description"), "p_partkey", "p_name")
+    name = parts.orderBy("p_partkey").first()["p_name"]
+    return text_index.code_search(parts, f"{name}s", 25, stem=True)

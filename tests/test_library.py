@@ -240,8 +240,6 @@ def test_closure_is_never_cut(spark):
 
 
 def test_stems_and_stored_indexes(spark, tmp_path):
-    words = spark.createDataFrame([(w,) for w in ("running", "runs", "run", "fractures", "fractured", "glasses", "studies", "status", "é123s", "is", "quickly")], "term string")
-    assert [x.term for x in words.select(text_index.stem_of(F.col("term")).alias("term")).collect()] == ["run", "run", "run", "fracture", "fractur", "glass", "studi", "status", "é123s", "is", "quick"]
     codes = spark.createDataFrame([("A/1", "Fractured bones"), ("A/2", "a bone"), ("A/3", "skin")], "code string, description string")
     assert [x.code for x in text_index.code_search(codes, "bones", 5).collect()] == ["A/1"]
     assert {x.code for x in text_index.code_search(codes, "bones", 5, stem=True).collect()} == {"A/1", "A/2"}
