@@ -105,6 +105,21 @@ def distribution(docs: DataFrame, facets: tuple[str, ...] = FACETS) -> DataFrame
     return rows.select("m.*").where("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def disjunctive(docs: DataFrame, filters: dict[str, object], facets: tuple[str, ...] = FACETS) -> DataFrame:
+    """(facet, value, n): each facet's values among the documents that fit all filters but the facet's own, so that a chosen value's
+    siblings keep their counts. One pass: a document knows which filters it fails, and counts for every facet if that is none,
+    for one facet if that one alone fails."""
+    failed = F.filter(F.array(*[F.when(~F.coalesce(predicate(docs, {c: v}), F.lit(False)), F.lit(c)) for c, v in filters.items()] or [F.lit(None).cast("string")]), lambda c: c.isNotNull())
+    arrays = [c for c in facets if isinstance(docs.schema[c].dataType, T.ArrayType)]
+    rows = docs.withColumn("_failed", failed).where(F.size("_failed") <= 1)
+    value = lambda c: F.col(c) if c in arrays else F.array(F.col(c).cast("string"))
+    counts = lambda c: (F.size("_failed") == 0) | F.array_contains("_failed", c)
+    pair = lambda c: F.transform(F.when(counts(c), value(c)), lambda v: F.struct(F.lit(c).alias("facet"), v.alias("value")))
+    none = F.array().cast("array<struct<facet:string,value:string>>")
+    each = rows.select(F.explode(F.flatten(F.array(*[F.coalesce(pair(c), none) for c in facets]))).alias("m"))
+    return each.select("m.*").where("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def search(docs: DataFrame, filters: dict[str, object] | None = None, bounds: dict[str, tuple] | None = None, sort: str | None = None, limit: int = 20, tie: str = "person_id") -> DataFrame:
     """sort: a column, with :desc behind it for the other order."""
     rows = docs.where(predicate(docs, filters or {}))

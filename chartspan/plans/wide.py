@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import TERM
-from chartspan.operators import ordered, reach, sampling, text_index, typo_search
-from chartspan.plans.catalog import query
+from chartspan.operators import facets, ordered, reach, sampling, text_index, typo_search
+from chartspan.plans.catalog import _FACET_DOCS, _facet_docs, query
 from chartspan.session import table
 
 # ---- typing errors
@@ -119,3 +119,14 @@ def code_search_stems(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select(F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("code"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 1, "s").otherwise("")).alias("description"), "p_partkey", "p_name")
     name = parts.orderBy("p_partkey").first()["p_name"]
     return text_index.code_search(parts, f"{name}s", 25, stem=True)
+
+
+# ---- facets
+
+
+@query("WITH " + _FACET_DOCS + """, f AS (SELECT *, segment IN ('BUILDING', 'MACHINERY') AS a, list_has_any(priorities, ['1-URGENT', '2-HIGH']) AS b, nation = 'NATION_3' OR nation = 'NATION_7' AS c FROM docs)
+SELECT 'segment' AS facet, segment AS value, count(*) AS n FROM f WHERE b AND c GROUP BY ALL UNION ALL SELECT 'nation', nation, count(*) FROM f WHERE a AND b GROUP BY ALL
+UNION ALL SELECT 'priorities', p, count(*) FROM (SELECT unnest(priorities) AS p FROM f WHERE a AND c) GROUP BY ALL""")
+def facet_counts_disjunctive(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = {"segment": ["BUILDING", "MACHINERY"], "priorities": ["1-URGENT", "2-HIGH"], "nation": ["NATION_3", "NATION_7"]}
+    return facets.disjunctive(_facet_docs(spark, sf), chosen, ("segment", "nation", "priorities"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from chartspan.plans import catalog, documents, more, wide  # noqa: F401  the others add to the catalogue
+from chartspan.plans import catalog, documents, files, more, wide  # noqa: F401  the others add to the catalogue
 from tests.conftest import DATA
 from tests.oracle import connect, difference
 
