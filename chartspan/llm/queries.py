@@ -99,7 +99,59 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
+# What SQL can state of operators whose whole result it can't: the operators' own columns, over whole tables.
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1: every document with its bytes."""
+    return op1_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("over_limit") == (F.col("n_tokens") > 4096)).alias("limit_holds"))
+
+
+def urls_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2: hosts, paths and rules, and the verdict where a rule gives it."""
+    return op2_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def personal_data_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4: counts of the rules' spans."""
+    return op4_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7: the base rules' counts and their verdict."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_DIGITS = "list_transform(string_split(regexp_replace(m, '[^0-9]', '', 'g'), ''), lambda d: d::int)"
+
 SQL = {
+    "text_bytes": "select doc_id, strlen(coalesce(text, '')) as n_bytes, true as limit_holds from documents",
+    "urls_by_rules": r"""
+with cut as (select page_id, case when url like '%://%' then url[instr(url, '://') + 3:] end as rest from pages),
+part as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from cut),
+rules(ruled, rule, site, below) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(ruled, length(rule)) as ruled from part join rules on (host = site or ends_with(host, '.' || site)) and starts_with(path, below) group by page_id)
+select page_id, host, path, rule, ruled from part left join best using (page_id)""",
+    "personal_data_by_rules": rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+found as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as email, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ip,
+  regexp_extract_all(text, '[0-9]([ -]?[0-9])+') as card, regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]') as phone from t)
+select doc_id, len(email) as n_email, len(list_filter(ip, lambda m: list_max(list_transform(string_split(m, '.'), lambda p: case when length(ltrim(p, '0')) > 3 then 999 else coalesce(try_cast(p as int), 0) end)) <= 255)) as n_ip,
+  len(list_filter(card, lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) between 14 and 19 and
+    list_sum(list_transform(list_reverse({_DIGITS}), lambda d, i: case when i % 2 = 1 then d when d > 4 then 2 * d - 9 else 2 * d end)) % 10 = 0)) as n_card,
+  len(list_filter(phone, lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) between 10 and 15)) as n_phone from found""",
+    "quality_base_counts": r"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as words from documents),
+line as (select doc_id, unnest(string_split(text, chr(10))) as line from t),
+dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from line where regexp_matches(line, '[^ 	-]') group by doc_id),
+win as (select doc_id, unnest(range(1, len(words) - 3)) as i, words from t where len(words) >= 5),
+named as (select doc_id, i, array_to_string(words[i:i + 4], ' ') as w from win),
+twice as (select doc_id, w from named group by doc_id, w having count(*) > 1),
+held as (select distinct doc_id, unnest(range(i, i + 5)) as pos from named join twice using (doc_id, w)),
+rep as (select doc_id, count(*) as n_repeat_words from held group by doc_id)
+select doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(words) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(words) as base_failed
+from t left join dup using (doc_id) left join rep using (doc_id)""",
     "op12_prefix_trie": """
 with own as (select conv_id as c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x, length(coalesce(text, '')) as n, turn from conversations where conv_id is not null),
 conv as (select c, x, n, row_number() over (partition by c order by turn nulls first, x) - 1 as pos from own),
@@ -135,7 +187,8 @@ from keyed left join firsts using (k) group by doc_id""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    found = {name: f for name, f in globals().items() if name.startswith("op")}
+    return found | {f.__name__: f for f in (text_bytes, urls_by_rules, personal_data_by_rules, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

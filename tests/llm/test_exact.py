@@ -490,3 +490,12 @@ def test_vector_recall_at_64_dimensions(spark):
     assert len(links) > 300 and 0.99 * 2 * len(links) <= sum(x.n_links for x in got) <= 2 * len(links)
     components = groups(len(v), links.tolist())
     assert sum(x.component_id == components[x.vec_id] for x in got) >= 0.99 * len(v)
+
+
+@pytest.mark.parametrize("name", ["text_bytes", "urls_by_rules", "personal_data_by_rules", "quality_base_counts"])
+def test_what_sql_can_state(spark, name):
+    from chartspan.llm import queries
+    from tests.conftest import DATA
+    from tests.oracle import connect, difference
+
+    assert difference(queries.queries()[name](spark, DATA), connect(DATA), queries.SQL[name]) == ""
