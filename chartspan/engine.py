@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.operators import context, events, facets, labels, ontology, text_index
+from chartspan.operators import context, events, facets, labels, ontology, reach, text_index
 from chartspan.sources import tables, timelines
 
 
 class Engine:
     """Documents, their events and persons, a concept hierarchy and task labels; whatever a tool doesn't need may be missing."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, concepts: DataFrame | None = None, edges: DataFrame | None = None, task_labels: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, documents: DataFrame, concepts: DataFrame | None = None, edges: DataFrame | None = None, task_labels: DataFrame | None = None, index_path: str | None = None):
+        """index_path: a shared folder in which the indexes of events, concepts and the hierarchy are kept from one question to the next."""
+        self.index_path, self._indexes = index_path, {}
         self.spark, self.documents, self.concepts, self.edges, self.task_labels = spark, documents, concepts, edges, task_labels
         self.events = timelines.events(documents)
         self.persons = timelines.persons(documents)
@@ -56,7 +58,11 @@ class Engine:
         """Ranked by BM25 within the person's events, or within all; events without a term of the query score zero."""
         rows = self._rows(person_id)
         asked = text_index.query_terms(self.spark.range(1).select("id", F.lit(query).alias("q")), "id", "q")
-        scores = text_index.bm25(text_index.build(rows, "event_id", "content", only=asked), asked)
+        if self.index_path and person_id is None:
+            index = self._kept("events", lambda path: text_index.cached(rows, "event_id", "content", path))
+        else:
+            index = text_index.build(rows, "event_id", "content", only=asked)
+        scores = text_index.bm25(index, asked)
         return events.search(rows, scores.select(F.col("doc").alias("event_id"), "score"), filters)
 
     def get_events_by_type(self, event_type: str, person_id: str | None = None, filters: events.Filters | None = None) -> DataFrame:
@@ -76,7 +82,7 @@ class Engine:
     def load_timelines(self, path: str) -> Engine:
         """An engine with the documents of the path as well; persons that are there stay as they are."""
         fresh = timelines.append_new(self.documents, timelines.read_documents(self.spark, path))
-        return Engine(self.spark, self.documents.unionByName(fresh), self.concepts, self.edges, self.task_labels)
+        return Engine(self.spark, self.documents.unionByName(fresh), self.concepts, self.edges, self.task_labels, self.index_path)
 
     def get_patient_timeline(self, person_id: str) -> DataFrame:
         return self.documents.where(F.col("person_id") == person_id).select("person_id", "xml", F.length("xml").alias("n_chars"))
@@ -96,7 +102,26 @@ class Engine:
         return ontology.metadata(self.spark.createDataFrame([(c,) for c in codes], "code string"), self.concepts, self.edges)
 
     def _closure(self, code: str, vocabularies: list[str] | None, up: bool) -> tuple[DataFrame, DataFrame]:
-        return ontology.closure(self.spark.createDataFrame([(code,)], "code string"), self.edges, self.concepts, up, vocabularies)
+        start = self.spark.createDataFrame([(code,)], "code string")
+        if not self.index_path or vocabularies:
+            return ontology.closure(start, self.edges, self.concepts, up, vocabularies)
+        return reach.closure(self._kept(f"{'above' if up else 'below'}", lambda path: self._reach(path, up)), start, self.concepts)
+
+    def _kept(self, name: str, make):
+        """An index of this engine, looked for on the disk once."""
+        if name not in self._indexes:
+            self._indexes[name] = make(f"{self.index_path}/{name}")
+        return self._indexes[name]
+
+    def _reach(self, path: str, up: bool) -> reach.Reach:
+        """The stored reachability of these very edges and concepts, or a new one."""
+        marks = (text_index.fingerprint(self.edges, "child", "parent").first(), text_index.fingerprint(self.concepts, "code", "code").first())
+        at = f"{path}/{'-'.join(str(m['digest'] or 0) + '-' + str(m['check'] or 0) for m in marks)}"
+        found = reach.Reach.load(self.spark, at)
+        if found is None:
+            reach.build(self.edges, self.concepts, up).save(at)
+            found = reach.Reach.load(self.spark, at)
+        return found
 
     def get_ancestor_subgraph(self, code: str, vocabularies: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         return self._closure(code, vocabularies, True)
@@ -105,7 +130,8 @@ class Engine:
         return self._closure(code, vocabularies, False)
 
     def search_codes(self, query: str, top_k: int = 10, stem: bool = False) -> DataFrame:
-        return text_index.code_search(self.concepts, query, top_k, stem)
+        index = self._kept(f"concepts{'-stems' if stem else ''}", lambda path: text_index.cached(self.concepts, "code", "description", path, stem)) if self.index_path else None
+        return text_index.code_search(self.concepts, query, top_k, stem, index)
 
     # persons
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspan.functions import text, times
-from chartspan.operators import context, events, facets, labels, metrics, ontology, prompts, sampling, text_index
+from chartspan.operators import cohort, context, events, facets, labels, metrics, ontology, ordered, prompts, sampling, text_index
 from chartspan.plans.catalog import AT, CUTOFF, SHOWN, _events, _facet_docs, _FACET_DOCS, query
 from chartspan.session import table
 from chartspan.sources import tables
@@ -107,8 +107,9 @@ def _neighbour_events(spark: SparkSession, sf: str, anchor: str) -> DataFrame:
     pairs = people.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") + 1).alias("person_id")).join(people.select(F.col("c_custkey").alias("person_id")), "person_id", "left_semi")
     last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("cutoff"))
     landmarks = pairs.join(last, F.col(anchor) == F.col("o_custkey")).drop("o_custkey")
-    rows = orders.select(F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("ts"), "o_totalprice")
-    return landmarks.join(rows, "person_id").where(times.within(F.col("ts"), F.col("cutoff"), "through")).groupBy("query_id", "person_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    rows = orders.select(F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("ts"), "o_totalprice", F.lit(1).cast("long").alias("one"))
+    found = ordered.as_of(landmarks, rows, "person_id", "cutoff", "ts", sums={"n": "one", "total": "o_totalprice"})
+    return found.where("n > 0").select("query_id", "person_id", "n", F.round("total", 2).alias("total"))
 
 
 def _neighbour_sql(anchor: str) -> str:
@@ -132,28 +133,27 @@ def neighbours_at_own_cutoff(spark, sf):
 def labels_by_split(spark, sf):
     key = F.col("doc_id") % 10
     splits = table(spark, sf, "documents").select("doc_id", F.when(key == 0, "test").when(key == 1, "valid").otherwise("train").alias("split"))
-    rows = splits.join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("n_labelled"), F.count_if(F.col("quality") == 1).alias("n_positive"))
+    return cohort.split_counts(splits, table(spark, sf, "labels"), "doc_id", "quality")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def id_set_semi_join(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+    return cohort.in_set(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").where("toxic = 1"), "doc_id")
 
 
 @query("SELECT o_custkey AS person_id FROM orders INTERSECT SELECT user_id FROM events")
 def key_intersection(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id")).intersect(table(spark, sf, "events").select(F.col("user_id").alias("person_id")))
+    return cohort.keys_in(table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id")), table(spark, sf, "events").select(F.col("user_id").alias("person_id")), "both")
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def key_difference(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return cohort.keys_in(table(spark, sf, "customer"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "first", "c_custkey")
 
 
 @query("SELECT event_type AS task FROM events UNION SELECT lang FROM documents")
 def task_union(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("task")).union(table(spark, sf, "documents").select("lang")).distinct()
+    return cohort.keys_in(table(spark, sf, "events").select(F.col("event_type").alias("task")), table(spark, sf, "documents").select(F.col("lang").alias("task")), "either", "task")
 
 
 @query("SELECT count(*) AS n_persons FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderdate) > 1)")

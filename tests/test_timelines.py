@@ -157,6 +157,34 @@ def test_engine(spark, folder, tmp_path):
     assert "metoprolol" in e.patient_context(at(spark, "p1", "2023-02-02T00:00:00"), single_visit=True).first().context
 
 
+def test_engine_keeps_its_indexes(spark, folder, tmp_path, monkeypatch):
+    """Answers over kept indexes are those without; a second engine builds nothing."""
+    from chartspan.engine import Engine
+    from chartspan.operators import reach, text_index
+
+    documents = timelines.read_documents(spark, folder)
+    concepts = spark.createDataFrame([("A/1", "Fractured bones"), ("A/2", "a bone"), ("B/3", "skin")], "code string, description string")
+    edges = spark.createDataFrame([("A/1", "A/2"), ("A/2", "B/3"), ("B/3", "A/1")], "child string, parent string")
+    plain = Engine(spark, documents, concepts, edges)
+
+    def answers(e):
+        hits = [(x.event_id, round(x.score, 9)) for x in e.search_patient_events("metoprolol").collect()]
+        codes = [[tuple(x) for x in e.search_codes("bones", 5, stem).collect()] for stem in (False, True)]
+        graphs = [[sorted(map(tuple, df.collect())) for df in f("A/1", v)] for f in (e.get_ancestor_subgraph, e.get_descendant_subgraph) for v in (None, ["A"])]
+        return hits, codes, graphs
+
+    want = answers(plain)
+    assert len(want[1][0]) == 1 and len(want[1][1]) == 2
+    assert answers(Engine(spark, documents, concepts, edges, index_path=str(tmp_path / "kept"))) == want
+    built = []
+    for module in (text_index, reach):
+        monkeypatch.setattr(module, "build", lambda *a, f=module.build, **k: built.append(k) or f(*a, **k))
+    again = Engine(spark, documents, concepts, edges, index_path=str(tmp_path / "kept"))
+    assert answers(again) == want and built == []
+    more = Engine(spark, documents, concepts.union(spark.createDataFrame([("C/4", "bones")], concepts.schema)), edges, index_path=str(tmp_path / "kept"))
+    assert len(more.search_codes("bones", 5).collect()) == 2 and len(built) == 1
+
+
 def test_sampled_cosines(spark):
     from chartspan.operators import text_index
 
