@@ -19,13 +19,16 @@ _HEADS = r"AKIA|ASIA|ghp_|gho_|xox[bap]-|sk_live_|AIza|glpat-"
 _ASSIGNED = rf"(?<=[=:\s\"'])(?<=[=:][\s\"']{{0,3}})(?<=(?i:{_CUE})(?i:s|[_-][a-z0-9]{{1,12}}|[0-9]{{1,3}})?[\"']?\s{{0,2}}[=:]\s{{0,2}}"
 #: By turns: what a secret's cue is set to, in quotes or up to white space, of 6 or more characters; a bearer's token; a run of 16
 #: or more with a known head; and one with a digit in it. Whole runs only, so that a long run costs one look.
+_RUN = rf"(?<![A-Za-z0-9_+/-])(?=(?:{_HEADS})|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+"
 CANDIDATE = "|".join([
     rf"{_ASSIGNED}\")[^\"\r\n]{{6,200}}(?=\")",
     rf"{_ASSIGNED}')[^'\r\n]{{6,200}}(?=')",
     rf"{_ASSIGNED}[\"']?)(?![\"'])[^\s\"']{{5,}}[^\s\"',;.)\]]",
     r"(?<=\s)(?<=(?i:bearer)\s{1,2})[^\s\"']{5,}[^\s\"',;.)\]]",
-    rf"(?<![A-Za-z0-9_+/-])(?=(?:{_HEADS})|[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{16,}}+={{0,2}}",
+    rf"{_RUN}={{0,2}}",
 ])
+#: What every cue holds one of, in lower case: looked for before the pattern's lookbehinds are tried at every place of a text.
+CUE_PARTS = ("passw", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private")
 #: Characters before and after a candidate that are looked at.
 NEAR = 40
 #: Labelled findings that the forest is fitted on, its trees and their depth, and the share of trees that keeps a finding.
@@ -127,10 +130,21 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Random
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, subsamplingRate=0.8).fit(rows.select("features", "label"))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text can hold a candidate: it has a part of a cue and what sets it, or a long run."""
+    low = F.lower(text)
+    cue = None
+    for part in CUE_PARTS:
+        hit = F.contains(low, F.lit(part))
+        cue = hit if cue is None else cue | hit
+    return ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) | F.contains(low, F.lit("bearer"))) & cue) | text.rlike(_RUN)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: id, start (code points), secret, before, after, path. A null text has none."""
     text = F.col("_text")
-    held = docs.select(F.col(id_col), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("_text")).where(text.rlike(CANDIDATE))
+    held = docs.select(F.col(id_col), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("_text"))
+    held = held.where(may_hold(text)).where(text.rlike(CANDIDATE))
     # between the candidates lie the pieces of a split at the same pattern, one more than there are candidates
     parts = held.withColumns({"_found": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_between": F.split(text, CANDIDATE, -1)})
     sizes = F.transform("_found", lambda s, i: F.length(F.get("_between", i)) + F.when(i > 0, F.length(F.get("_found", i - 1))).otherwise(0))
