@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import TERM
-from chartspan.operators import facets, ordered, reach, sampling, text_index, typo_search
-from chartspan.plans.catalog import _FACET_DOCS, _facet_docs, query
+from chartspan.operators import events, facets, ordered, prompts, reach, sampling, text_index, typo_search
+from chartspan.plans.catalog import _FACET_DOCS, CUTOFF, _events, _facet_docs, query
 from chartspan.session import table
 
 # ---- typing errors
@@ -130,3 +130,22 @@ UNION ALL SELECT 'priorities', p, count(*) FROM (SELECT unnest(priorities) AS p
 def facet_counts_disjunctive(spark: SparkSession, sf: str) -> DataFrame:
     chosen = {"segment": ["BUILDING", "MACHINERY"], "priorities": ["1-URGENT", "2-HIGH"], "nation": ["NATION_3", "NATION_7"]}
     return facets.disjunctive(_facet_docs(spark, sf), chosen, ("segment", "nation", "priorities"))
+
+
+# ---- texts and events
+
+
+@query("""WITH s AS (SELECT item_id, text, list_filter(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM benchmark),
+c AS (SELECT *, len(s) AS n, len(list_filter(s, lambda x: contains(x, 'la') OR contains(x, 'der'))) AS r, len(list_filter(s, lambda x: contains(x, 'en') AND NOT (contains(x, 'la') OR contains(x, 'der')))) AS p,
+  regexp_matches(text, '[0-9]') AS q, contains(text, 'des') AS t FROM s), d AS (SELECT *, CASE WHEN n > 0 THEN round(p / n, 3) ELSE 1.0 END AS share FROM c)
+SELECT item_id, CAST(n AS INTEGER) AS n_sentences, CAST(r AS INTEGER) AS n_result, CAST(p AS INTEGER) AS n_procedure_only, share AS procedure_only, q AS has_quantity, t AS has_trajectory, r >= 2 AND share <= 0.5 AND (q OR t) AS passes FROM d""")
+def text_quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", prompts.text_quality(F.col("text"), "en", "la|der", "[0-9]", "des").alias("q")).select("item_id", "q.*")
+
+
+@query(f"SELECT event_id, user_id AS person_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '{CUTOFF}' AND event_type IN ('click', 'error') ORDER BY ts DESC, event_id LIMIT 120")
+def latest_events_before_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters and order together: a range that ends at the cutoff, some types, latest first, the first 120."""
+    f = events.Filters(start="2024-01-02 00:00:00", end=CUTOFF, event_types=["click", "error"], sort_by="date_desc", max_results=120)
+    rows = _events(spark, sf).withColumn("score", F.lit(1.0))
+    return events.ordered(events.filtered(rows, f), f).select("event_id", "person_id", "event_type")
