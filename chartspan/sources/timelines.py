@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +28,10 @@ PERSON = T.StructType([
 ])
 
 
+#: Parsed rows, and characters of the documents behind them, that a task holds before it passes them on.
+ROWS, CHARS = 1024, 1 << 22
+
+
 def read_documents(spark: SparkSession, path: str, person_ids: list[str] | None = None) -> DataFrame:
     """(person_id, path, xml, size) of a folder, a glob or a file; the id is the file's stem. Of person_ids, only their files are listed
     and read: the ids become the pattern of names."""
@@ -80,6 +84,26 @@ def _people(person: str, xml: str) -> Iterator[dict]:
         yield {"person_id": person, "enc_idx": a, "has_events": enc.find("events") is not None, "has_person": who is not None, "has_demographics": who is not None and who.find("demographics") is not None} | held
 
 
+def _parsed(batches: Iterator[pa.RecordBatch], rows_of: Callable[[str, str], Iterator[dict]], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of the documents. Beside the batch that Spark hands over, whose bytes it bounds, a task holds one document and few rows,
+    however many documents come in a batch."""
+    rows, chars = [], 0
+    for batch in batches:
+        for person, xml in zip(batch["person_id"], batch["xml"]):
+            text = xml.as_py() or ""
+            chars += len(text)
+            for row in rows_of(person.as_py(), text):
+                rows.append(row)
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    rows, chars = [], 0
+            if rows and chars >= CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                rows, chars = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+
 def events(documents: DataFrame, tag: str = "event") -> DataFrame:
     """A row per element of the tag in document order, with its place and all attributes; a file that is no XML gives one row
     with `corrupt` set. Documents are parsed where they lie, one at a time."""
@@ -87,11 +111,7 @@ def events(documents: DataFrame, tag: str = "event") -> DataFrame:
     shape = to_arrow_schema(EVENT)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc in batch.to_pylist():
-                rows = [row | {"attrs": list(row.get("attrs", {}).items())} for row in _rows(doc["person_id"], doc["xml"] or "", tag)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
+        return _parsed(batches, lambda person, xml: (row | {"attrs": list(row.get("attrs", {}).items())} for row in _rows(person, xml, tag)), shape)
 
     return documents.select("person_id", "xml").mapInArrow(parse, EVENT).withColumn("ts", parsed(F.col("ts_raw")))
 
@@ -102,9 +122,7 @@ def persons(documents: DataFrame) -> DataFrame:
     shape = to_arrow_schema(PERSON)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row for doc in batch.to_pylist() for row in _people(doc["person_id"], doc["xml"] or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+        return _parsed(batches, _people, shape)
 
     return documents.select("person_id", "xml").mapInArrow(parse, PERSON)
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,29 @@ def test_sampled_cosines(spark):
     docs = spark.createDataFrame([(i, "a b c" if i % 2 else "x y z") for i in range(40)], "id int, t string")
     got = text_index.sampled_cosines(text_index.build(docs, "id", "t"), 20).collect()
     assert 10 <= len(got) <= 20 and all(abs(r.cosine - ((r.a - r.b) % 2 == 0)) < 1e-9 for r in got)
+
+
+class Asked:
+    """In a DataFrame's place: keeps the function that rows would be mapped by."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.f = f
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+
+@pytest.mark.parametrize("read", [timelines.events, timelines.persons])
+def test_a_batch_of_many_documents_is_parsed_in_little_memory(spark, read):
+    day = "<encounter><person><birthdate>1950-01-01</birthdate></person><events><entry timestamp='2024-01-01 00:00:00'><event type='note'>" + "x" * 600 + "</event></entry></events></encounter>"
+    batch = pa.RecordBatch.from_pydict({"person_id": [f"p{i}" for i in range(1500)], "xml": ["<ROOT>" + 20 * day + "</ROOT>"] * 1500})
+    parse = read(Asked()).f
+    tracemalloc.start()
+    n = sum(out.num_rows for out in parse(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30_000 and peak < 12e6, peak
