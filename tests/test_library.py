@@ -284,3 +284,20 @@ def test_cohort_store(spark, tmp_path):
     assert cohort.updated(s, states.where("embed_time = 't1'").withColumn("vignette", F.lit("new"))).where("vignette = 'new'").count() == 1
     with pytest.raises(ValueError):
         cohort.with_cutoffs(i, "other")
+
+
+def test_tasks_of_the_same_texts_are_searched_once(spark, monkeypatch):
+    texts = {i: f"w{i % 3} w{i % 5} w{i % 7} all" for i in range(40)}
+    rows = [(i, t, i % 2 if t == "b" else 1 - i % 2, x + (" more" if t == "c" and i == 9 else "")) for i, x in texts.items() for t in "abc"]
+    items = spark.createDataFrame([(i, t, label, "t") for i, t, label, _ in rows if i % 4], "person_id long, task string, label int, embed_time string").withColumn("split", F.lit(0))
+    states = spark.createDataFrame([(i, "t", 0, x, {"c": x + " more"} if i == 9 else None) for i, x in texts.items()], "person_id long, embed_time string, split int, vignette string, task_vignettes map<string,string>")
+    asked = text_index.query_terms(spark.createDataFrame([(t, i, x) for i, t, _, x in rows if i % 4 == 0], "corpus string, q long, x string"), "q", "x")
+    index, pool = cohort.task_index(items, states, 0)
+    searched = []
+    real = text_index.bm25_best
+    monkeypatch.setattr(text_index, "bm25_best", lambda index, asked, *a: searched.append(sorted(r[0] for r in asked.select("corpus").distinct().collect())) or real(index, asked, *a))
+    found = {(r.corpus, r["query"], r.position): (r.person_id, r.label, r.score) for r in cohort.neighbours(index, pool, asked, 4).collect()}
+    assert searched == [["a", "c"]] and {c for c, *_ in found} == set("abc")  # c's text of one person is another
+    alone = asked.where("corpus = 'b'")
+    one = cohort.nearest(text_index.top(real(index, alone, 32), 32).join(pool.withColumnRenamed("task", "corpus"), ["corpus", "doc"]).withColumn("query_person", F.col("query")), 4)
+    assert {k: v for k, v in found.items() if k[0] == "b"} == {(r.corpus, r["query"], r.position): (r.person_id, r.label, r.score) for r in one.collect()}
