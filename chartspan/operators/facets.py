@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from chartspan.functions.text import blank_to_null, title_case
 from chartspan.operators import typo_search
 from chartspan.operators.context import normalised_gender
+from chartspan.session import written
 
 FACETS = ("gender", "race", "ethnicity", "insurance_type", "age_range", "diagnosis_codes", "medication_codes", "departments")
 
@@ -79,7 +80,7 @@ def text_hits(docs: DataFrame, query: str, key: str = "person_id") -> DataFrame:
     a word may be only begun; fewest errors first."""
     fields = [f.name for f in docs.schema if f.name != key and isinstance(f.dataType, (T.StringType, T.ArrayType))]
     asked = docs.sparkSession.range(1).select("id", F.lit(query).alias("q"))
-    return typo_search.search(typo_search.build(docs, key, *fields), asked, "id", "q", None, all_begun=True).select(F.col("doc").alias(key), "rank")
+    return typo_search.search(typo_search.build(written(docs.select(key, *fields), "facet-texts"), key, *fields), asked, "id", "q", None, all_begun=True).select(F.col("doc").alias(key), "rank")
 
 
 def in_bounds(name: str, low: float | None = None, high: float | None = None) -> Column:

@@ -19,11 +19,14 @@ from chartspan.session import written
 HEAD = 8
 #: Letters from which a query's word may have one error, and two.
 ONE, TWO = 5, 9
+#: Rows of the queries' matched terms that are sent to all executors, at about 100 bytes each; beyond, they are shuffled.
+SENT_ROWS = 1 << 19
 
 
 @dataclass
 class TypoIndex:
-    """postings(term, doc), terms(term), rests(rest, term)."""
+    """postings(term, doc), terms(term), rests(rest, term). Postings of an index that isn't stored are a plan over the texts: a search reads
+    few of them, and splitting texts again costs less than to write every word of every document."""
 
     postings: DataFrame
     terms: DataFrame
@@ -32,7 +35,7 @@ class TypoIndex:
     def save(self, path: str) -> None:
         """Each table clustered by what it is looked up by."""
         for name, key in (("postings", "term"), ("terms", "term"), ("rests", "rest")):
-            getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+            getattr(self, name).distinct().repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> TypoIndex:
@@ -59,10 +62,15 @@ def allowed(word: Column) -> Column:
 
 
 def build(docs: DataFrame, doc: str, *texts: str) -> TypoIndex:
-    """An index of the words of the text columns, or arrays of texts. A document without a word is in no result."""
+    """An index of the words of the text columns, or arrays of texts. A document without a word is in no result. A document that comes
+    twice has some postings twice. docs should be a table, not a long plan: its texts are split at each use."""
     fields = [F.array_join(c, " ") if docs.schema[c].dataType.typeName() == "array" else F.col(c).cast("string") for c in texts]
     words = F.array_distinct(terms_of(F.concat_ws(" ", *fields)))
-    postings = written(docs.select(F.col(doc).alias("doc"), F.explode(words).alias("term")).distinct(), "typo-postings")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select(F.col(doc).alias("doc"), words.alias("words"))
+    if docs.rdd.getNumPartitions() < cores:
+        rows = written(docs.select(*dict.fromkeys([doc, *texts])).repartition(cores), "typo-texts").select(F.col(doc).alias("doc"), words.alias("words"))
+    postings = rows.select("doc", F.explode("words").alias("term"))
     terms = written(postings.select("term").distinct(), "typo-terms")
     # a query's word has one letter fewer at least than its term has with one error, two with two
     most = F.when(F.length("term") >= TWO - 2, 2).when(F.length("term") >= ONE - 1, 1).otherwise(0)
@@ -88,8 +96,10 @@ def search(index: TypoIndex, queries: DataFrame, query: str, text: str, k: int |
     asked = queries.select(F.col(query).alias("query"), F.size(found).alias("n"), F.posexplode(found).alias("at", "word"))
     asked = written(asked.withColumn("last", F.lit(True) if all_begun else F.col("at") == F.col("n") - 1), "asked-words")
     terms = written(matched(index, asked.select("word", "last").distinct()), "matched-terms")
-    # a document's cost for a word is that of its best term
-    hits = asked.join(terms, ["word", "last"]).join(index.postings, "term").groupBy("query", "n", "doc", "at").agg(F.min("cost").alias("cost"))
+    # a document's cost for a word is that of its best term; words are sent to the postings where they fit, so that these need not move
+    wanted = written(asked.join(terms, ["word", "last"]).select("term", "query", "n", "at", "cost"), "wanted-terms")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+    hits = index.postings.join(wanted, "term").groupBy("query", "n", "doc", "at").agg(F.min("cost").alias("cost"))
     each = hits.groupBy("query", "n", "doc").agg(F.count(F.lit(1)).alias("held"), F.sum(F.floor(F.col("cost") / 2)).alias("edits"), F.sum(F.col("cost") % 2).cast("long").alias("begun"))
     rows = each.where("held = n").select("query", "doc", "edits", "begun")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("edits", "begun", "doc")))

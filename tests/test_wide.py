@@ -194,3 +194,15 @@ def test_stream_compacted_and_restarted(spark, tmp_path):
     assert folded >= 3 and all(int(x.split("=")[1]) > folded for x in left) and len(left) <= 2
     ingest.compact(spark, out, ["start", "end", "event_type"], folded)  # again: nothing changes
     assert {(x.start.hour, x.event_type): x.n for x in ingest.current_counts(spark, out).collect()} == want
+
+
+def test_typo_search_writes_no_word_of_every_document(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(typo_search, "written", lambda df, name, f=typo_search.written: names.append((name, df.columns)) or f(df, name))
+    docs = spark.createDataFrame([(1, "patient with asthma"), (1, "patient with asthma"), (2, "asthmatic patient"), (3, "no word")], "doc long, text string").repartition(16)
+    asked = spark.createDataFrame([(7, "patiemt asthma")], "q long, text string")
+    for rows in (typo_search.SENT_ROWS, 0):
+        monkeypatch.setattr(typo_search, "SENT_ROWS", rows)
+        found = typo_search.search(typo_search.build(docs, "doc", "text"), asked, "q", "text", None).collect()
+        assert [(r.doc, r.edits, r.begun, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1, 0, 1), (2, 1, 1, 2)]
+    assert not [n for n, columns in names if "doc" in columns]
