@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+from chartspan.operators import cohort
 from chartspan.plans import catalog
 
 
@@ -40,3 +41,9 @@ def test_neighbours_among_all_labelled_texts(spark, tmp_path, name, k):
                 first = labels[best[0]][n]
                 assert got[task, q] == [x for pair in zip(sides[first], sides[1 - first]) for x in pair]
     assert len(got) == 8 and got["quality", 11][0] == 17 and got["toxic", 21][0] == 8
+
+
+def test_corpora_alike_of_more_rows_than_a_wide_sum_holds(spark):
+    rows = spark.range(18_000_000).selectExpr("'a' AS corpus", "id AS query", "'x' AS term", "1L AS qtf")
+    words = spark.createDataFrame([("a", 1, ["x"])], "corpus string, doc long, terms array<string>")
+    assert [tuple(r) for r in cohort.alike(words, rows).collect()] == [("a", "a")]
