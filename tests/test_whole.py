@@ -7,8 +7,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from chartspan.operators import cohort
+from chartspan.operators import cohort, text_index
 from chartspan.plans import catalog
 
 
@@ -47,3 +48,22 @@ def test_corpora_alike_of_more_rows_than_a_wide_sum_holds(spark):
     rows = spark.range(18_000_000).selectExpr("'a' AS corpus", "id AS query", "'x' AS term", "1L AS qtf")
     words = spark.createDataFrame([("a", 1, ["x"])], "corpus string, doc long, terms array<string>")
     assert [tuple(r) for r in cohort.alike(words, rows).collect()] == [("a", "a")]
+
+
+@pytest.mark.parametrize("copied, distinct", [(0, 60), (40, 20)])
+def test_documents_and_queries_of_one_text_are_searched_once(spark, monkeypatch, copied, distinct):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 2 for _ in range(r.randint(4, 12))) + f" own{i}" for i in range(60)]
+    texts = [texts[7] if 10 <= i < 10 + copied else t for i, t in enumerate(texts)]  # more of one text than are among a query's best
+    states = spark.createDataFrame([(i, "t", 0, t, None) for i, t in enumerate(texts)], "person_id long, embed_time string, split int, vignette string, task_vignettes map<string,string>")
+    items = spark.createDataFrame([(i, "t", t, i % 2 if t == "a" else i % 3 % 2, 0) for i in range(60) for t in "ab"], "person_id long, embed_time string, task string, label int, split int")
+    queries = spark.createDataFrame([(t, 100 + i, texts[i // 2]) for i in range(20) for t in "ab"], "corpus string, query long, text string")
+    read, real = [], text_index.bm25_best
+    monkeypatch.setattr(text_index, "bm25_best", lambda index, asked, *a: read.append((index.words.count(), asked.select("corpus", "query").distinct().count())) or real(index, asked, *a))
+    got = cohort.neighbours_by_text(items, states, 0, queries, 4)
+    index, pool = cohort.task_index(items, states, 0)
+    scores = text_index.top(text_index.bm25(index, text_index.query_terms(queries, "query", "text")).withColumn("score", F.round("score", 6)), 32)
+    want = cohort.nearest(scores.join(pool.withColumnRenamed("task", "corpus"), ["corpus", "doc"]).withColumn("query_person", F.col("query")), 4)
+    rows = lambda df: sorted(map(tuple, df.select("corpus", "query", "position", "person_id", "label", "score").collect()))
+    assert rows(got) == rows(want) and len({x[:2] for x in rows(got)}) == 40
+    assert read == [(len(set(texts)), 10)] and len(set(texts)) == distinct
